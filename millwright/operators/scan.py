@@ -50,6 +50,8 @@ def running(
     """Add running aggregates per key; `slice_col` must be monotone in `order`.
 
     `order` already carries its directions; `reverse` says that slices are swept downwards.
+    The slice totals read the very shuffle the local window reads: the totals touch every column
+    (a row hash), so column pruning leaves both branches the same exchange and Spark runs it once.
     """
     keys = list(keys)
     end = Window.currentRow if inclusive else -1
@@ -59,11 +61,18 @@ def running(
     sweep_order = F.col(slice_col).desc() if reverse else F.col(slice_col).asc()
     carry_w = _by(keys).orderBy(sweep_order).rowsBetween(Window.unboundedPreceding, -1)
 
-    totals = df.groupBy(*keys, slice_col).agg(*[_AGG[k](c).alias(f"__t_{o}") for o, (k, c) in aggs.items()])
+    names = df.columns
+    placed = df.repartition(*keys, slice_col)
+    touch = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("__touch")
+    totals = placed.groupBy(*keys, slice_col).agg(
+        *[_AGG[k](c).alias(f"__t_{o}") for o, (k, c) in aggs.items()], touch
+    )
     carry = totals.select(
-        *keys, slice_col, *[_CARRY[k](f"__t_{o}").over(carry_w).alias(f"__c_{o}") for o, (k, _) in aggs.items()]
+        *keys, slice_col, "__touch",
+        *[_CARRY[k](f"__t_{o}").over(carry_w).alias(f"__c_{o}") for o, (k, _) in aggs.items()],
     )
-    out = df.select("*", *[_AGG[k](c).over(local).alias(f"__l_{o}") for o, (k, c) in aggs.items()])
+    out = placed.select("*", *[_AGG[k](c).over(local).alias(f"__l_{o}") for o, (k, c) in aggs.items()])
+    carry = carry.where(F.col("__touch").isNotNull()).drop("__touch")
     out = out.join(carry, [*keys, slice_col], "left")
     cols = []
     for o, (k, _) in aggs.items():
@@ -77,14 +86,14 @@ def running(
             if k == "count":
                 v = F.coalesce(v, F.lit(0).cast("bigint"))
         cols.append(v.alias(o))
-    return out.select(*df.columns, *cols)
+    return out.select(*names, *cols)
 
 
 def sweep(
     left: DataFrame,
     by: Sequence[str],
     t: Column,
-    feeds: Mapping[str, tuple[DataFrame, Column, Column, str]],
+    feeds: Sequence[tuple[DataFrame, Column, Mapping[str, tuple[str, Column]]]],
     *,
     reverse: bool = False,
     feed_first: bool = True,
@@ -92,33 +101,34 @@ def sweep(
 ) -> DataFrame:
     """For every left row, aggregate the feed rows met so far in time order.
 
-    `feeds` maps an output name to (frame, time in microseconds, value, "sum" | "max" | "min" | "count").
+    A feed is (frame, time in microseconds, {output: ("sum" | "max" | "min" | "count", value)}).
     All feeds ride one shuffle with the left rows. `feed_first` decides equal instants.
     """
     by = list(by)
     width = slice_seconds(left, slice_s) * US_PER_S
-    prepared = {
-        n: f.select(*by, tt.cast("bigint").alias("__t"), v.alias("__v")).where(F.col("__t").isNotNull())
-        for n, (f, tt, v, _) in feeds.items()
-    }
-    types = {n: p.schema["__v"].dataType for n, p in prepared.items()}
-
-    def lay(frame, owner, left_struct, side):
-        vals = [
-            (F.col("__v") if n == owner else F.lit(None).cast(dt)).alias(f"__v_{n}") for n, dt in types.items()
-        ]
-        return frame.select(*by, "__t", F.lit(side).alias("__s"), left_struct.alias("__left"), *vals)
-
-    base = left.withColumn("__t", t.cast("bigint"))
-    left_type = left.schema
-    rows = lay(base, None, F.struct(*[F.col(f"`{c}`") for c in left.columns]), 1)
-    for n, p in prepared.items():
-        rows = rows.unionByName(lay(p, n, F.lit(None).cast(left_type), 0 if feed_first else 2))
+    kinds = {n: k for _, _, vals in feeds for n, (k, _) in vals.items()}
+    prepared = []
+    types = {}
+    for f, tt, vals in feeds:
+        p = f.select(*by, tt.cast("bigint").alias("__t"), *[v.alias(f"__v_{n}") for n, (_, v) in vals.items()])
+        p = p.where(F.col("__t").isNotNull())
+        prepared.append(p)
+        types.update({n: p.schema[f"__v_{n}"].dataType for n in vals})
+
+    names = left.columns
+    rows = left.select(
+        *by, t.cast("bigint").alias("__t"), F.lit(1).alias("__s"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("__left"),
+        *[F.lit(None).cast(dt).alias(f"__v_{n}") for n, dt in types.items()],
+    )
+    side = F.lit(0 if feed_first else 2).alias("__s")
+    for p in prepared:
+        rows = rows.unionByName(p.withColumn("__s", side), allowMissingColumns=True)
     rows = rows.withColumn("__slice", floor_div(F.col("__t"), width))
     order = [F.col("__t").desc() if reverse else F.col("__t").asc(), F.col("__s").asc()]
-    aggs = {n: (feeds[n][3], F.col(f"__v_{n}")) for n in feeds}
+    aggs = {n: (k, F.col(f"__v_{n}")) for n, k in kinds.items()}
     swept = running(rows, by, order, "__slice", aggs, reverse=reverse)
-    return swept.where(F.col("__s") == 1).select("__left.*", *feeds.keys())
+    return swept.where(F.col("__s") == 1).select("__left.*", *kinds)
 
 
 def asof(
@@ -142,7 +152,7 @@ def asof(
     forward = direction == "forward"
     value = F.struct(right_t.cast("bigint").alias("t"), *[F.col(c) for c in take])
     res = sweep(
-        left, by, left_t, {out: (right, right_t, value, "min" if forward else "max")},
+        left, by, left_t, [(right, right_t, {out: ("min" if forward else "max", value)})],
         reverse=forward, feed_first=exact, slice_s=slice_s,
     )
     if tolerance_us is not None:
@@ -167,7 +177,7 @@ def in_any_interval(
     A point is covered exactly when the latest end among intervals already started reaches it.
     """
     e = F.coalesce(end, start).cast("bigint")
-    res = sweep(points, by, t, {"__reach": (intervals, start, e, "max")}, slice_s=slice_s)
+    res = sweep(points, by, t, [(intervals, start, {"__reach": ("max", e)})], slice_s=slice_s)
     return res.withColumn(out, F.coalesce(F.col("__reach") >= t.cast("bigint"), F.lit(False))).drop("__reach")
 
 
@@ -196,7 +206,7 @@ def range_max(
         .groupBy(*by, "__st").agg(F.max("__sv").alias("__sv"))
         .withColumn("__blk", floor_div(F.col("__st"), span_us))
     )
-    feed = {"__head": (s, F.col("__st"), F.col("__sv"), "max")}
+    feed = [(s, F.col("__st"), {"__head": ("max", F.col("__sv"))})]
     head = sweep(
         queries.withColumn("__blk", floor_div(q, span_us)), [*by, "__blk"], q, feed,
         feed_first=not strict, slice_s=sub,
@@ -204,7 +214,7 @@ def range_max(
     lo = q - F.lit(span_us)
     both = sweep(
         head.withColumn("__blk", floor_div(lo, span_us)), [*by, "__blk"], lo,
-        {"__tail": (s, F.col("__st"), F.col("__sv"), "max")},
+        [(s, F.col("__st"), {"__tail": ("max", F.col("__sv"))})],
         reverse=True, feed_first=not strict, slice_s=sub,
     )
     return both.withColumn(out, F.greatest("__head", "__tail")).drop("__head", "__tail", "__blk")

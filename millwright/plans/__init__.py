@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    from . import group_kpi  # noqa: F401
+    from . import group_kpi, group_time  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES

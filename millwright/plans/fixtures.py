@@ -182,6 +182,12 @@ class Plant:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def memo(self, key: str, build) -> DataFrame:
+        """Reuse one analysed frame for every plan that starts from it."""
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
+
     def __getattr__(self, short: str) -> DataFrame:
         name = short if short == "ev" else f"fx_{short}"
         if short.startswith("_") or name not in VIEWS:
@@ -216,3 +222,15 @@ class Plant:
         )
         stops = stops.select("machine", F.col("started_on").alias("start"))
         return future_label(rows, stops, horizon_min=60)
+
+
+_PLANTS: dict[tuple[int, str], Plant] = {}
+
+
+def plant(spark: SparkSession, folder: str) -> Plant:
+    key = (id(spark), folder)
+    if key not in _PLANTS or _PLANTS[key].spark is not spark:
+        _PLANTS.clear()
+        _PLANTS[key] = Plant(spark, folder)
+    utc(spark)
+    return _PLANTS[key]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixtures import Plant, ctes
+from .fixtures import ctes, plant
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,12 +21,16 @@ def shared(name: str, sql: str) -> None:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Output contract: doubles to 6 decimals (never -0.0), instants as zone-free UTC timestamps."""
+    """Output contract: doubles to 6 decimals (never -0.0), instants as zone-free UTC timestamps.
+
+    Rounding goes through 8 decimals first so that a value on a rounding boundary does not depend on
+    the order in which an average was summed.
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), 8), 6) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         cols.append(c.alias(f.name))
@@ -38,7 +42,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return tidy(fn(Plant(spark, sf_dir)))
+            return tidy(fn(plant(spark, sf_dir)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -49,7 +53,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
             body = sql.strip()
             if doubles:
                 repl = ", ".join(
-                    f"round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE AS {c}" for c in doubles.split()
+                    f"round(round(CAST({c} AS DOUBLE), 8), 6) + 0.0::DOUBLE AS {c}" for c in doubles.split()
                 )
                 body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) AS answer"
             ORACLES[name] = ctes(body, SHARED)

@@ -1,40 +1,100 @@
-"""Frames several registered plans start from."""
+"""Frames several registered plans start from, analysed once per data folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import dims, events, kpi
+from ..operators import dims, events, grid, kpi, predict
+from ..sources import tables
 from .fixtures import Plant
 
+GRID_S = 3600
 
-def master(p: Plant) -> DataFrame:
+
+def _memo(fn):
+    def get(p: Plant) -> DataFrame:
+        return p.memo(f"view:{fn.__name__}", lambda: fn(p))
+
+    return get
+
+
+@_memo
+def master(p):
     return dims.machine_master(p.unit, p.device, p.monitor_unit)
 
 
-def signals(p: Plant) -> DataFrame:
+@_memo
+def signals(p):
     return dims.signal_map(p.monitor_reading_def, p.monitor_unit, master(p), p.mes_reading_def)
 
 
-def roles(p: Plant) -> DataFrame:
+@_memo
+def roles(p):
     return dims.role_uid_map(signals(p))
 
 
-def instances(p: Plant) -> DataFrame:
+@_memo
+def instances(p):
     return dims.machine_instance(p.mes_reading_def, master(p))
 
 
-def stops(p: Plant) -> DataFrame:
+@_memo
+def stops(p):
     return events.stoppage_events(p.stops)
 
 
-def alerts(p: Plant) -> DataFrame:
+@_memo
+def alerts(p):
     return events.alert_events(p.alerts)
 
 
-def offline(p: Plant) -> DataFrame:
+@_memo
+def offline(p):
     return events.offline_events(p.status, instances(p))
 
 
+@_memo
+def base_day(p):
+    return kpi.oee_baseline(p.oee_daily, p.unit, 1)
+
+
 def baseline(p: Plant, level: int | None = 1) -> DataFrame:
-    return kpi.oee_baseline(p.oee_daily, p.unit, level)
+    return base_day(p) if level == 1 else kpi.oee_baseline(p.oee_daily, p.unit, level)
+
+
+@_memo
+def readings(p):
+    return tables.feature_scan(p.telemetry, roles(p))
+
+
+@_memo
+def outages(p):
+    return grid.offline_intervals(p.status, instances(p))
+
+
+@_memo
+def feature_grid(p):
+    return grid.feature_grid(readings(p), outages(p), GRID_S)
+
+
+@_memo
+def unplanned(p):
+    return events.unplanned(stops(p))
+
+
+@_memo
+def significant(p):
+    return events.unplanned(stops(p), 15.0)
+
+
+@_memo
+def live_grid(p):
+    """Grid rows the supervised features are computed on: online and outside significant stops."""
+    online = feature_grid(p).where(~F.col("is_offline"))
+    return predict.drop_active_stops(online, significant(p))
+
+
+@_memo
+def split_scored(p):
+    return predict.chrono_split(p.scored, 0.6, ties=("event_id",))
