@@ -53,3 +53,13 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 
 def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
+
+
+def half_up(x: Column | str, digits: int) -> Column:
+    """Rounding that does not depend on the last bits of a sum."""
+    return F.round(F.round(F.col(x) if isinstance(x, str) else x, 8), digits)
+
+
+def half_even(x: Column | str, digits: int) -> Column:
+    """Banker's rounding, for reported figures that are summed up again."""
+    return F.bround(F.round(F.col(x) if isinstance(x, str) else x, 8), digits)

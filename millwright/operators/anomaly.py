@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules
-from ..functions.timex import US_PER_HOUR, US_PER_MIN, hours, us
+from ..functions.timex import US_PER_HOUR, US_PER_MIN, half_up, hours, us
 from .scan import asof, ewma, in_any_interval, percentiles, range_max, rank_share, row_blocks, row_index, slice_seconds
 
 MAD_SCALE = 1.4826
@@ -116,10 +116,10 @@ def machine_scores(dev: DataFrame, top: int = 3) -> DataFrame:
     )
     roles = F.transform(
         F.col("t"),
-        lambda x: F.struct(x["feature"].alias("role"), F.round(x["dev_score"], 3).alias("dev_score"), x["direction"].alias("direction")),
+        lambda x: F.struct(x["feature"].alias("role"), half_up(x["dev_score"], 3).alias("dev_score"), x["direction"].alias("direction")),
     )
     ranked = rank_share(g.withColumn("top_roles", roles).drop("t"), ["machine"], "score_raw", steps=64)
-    return ranked.select("machine", "ts", "score_raw", F.round(F.col("pct") * 100, 2).alias("score_baseline"), "top_roles")
+    return ranked.select("machine", "ts", "score_raw", half_up(F.col("pct") * 100, 2).alias("score_baseline"), "top_roles")
 
 
 def fuse(grid: DataFrame, baseline: DataFrame, recon: DataFrame | None = None) -> DataFrame:
@@ -179,7 +179,7 @@ def event_pr(
     parts = ", ".join(f"CAST({x!r} AS DOUBLE), f{i}, t{i}, m{i}" for i, x in enumerate(levels))
     long = wide.select("total", F.expr(f"stack({n}, {parts}) AS (thresh, flags, tp, matched)"))
     return long.select(
-        F.round("thresh", 1).alias("thresh"), F.try_divide(F.col("tp"), F.col("flags")).alias("precision"),
+        half_up("thresh", 1).alias("thresh"), F.try_divide(F.col("tp"), F.col("flags")).alias("precision"),
         F.try_divide(F.col("matched"), F.col("total")).alias("recall"), "flags",
     )
 
@@ -189,10 +189,10 @@ def summary(scores: DataFrame, labels: DataFrame, offline: DataFrame, thresh: fl
     lt = lead_time(drop_intervals(scores, offline), labels, thresh, score=score)
     g = lt.groupBy("machine").agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.round(F.avg(F.col("lead_time_min").isNotNull().cast("double")) * 100, 1).alias("pct_with_warning"),
+        half_up(F.avg(F.col("lead_time_min").isNotNull().cast("double")) * 100, 1).alias("pct_with_warning"),
     )
     med = percentiles(lt, ["machine"], "lead_time_min", {"m": 0.5})
-    return g.join(med, "machine", "left").select("machine", "n_events", F.round("m", 1).alias("median_lead_min"), "pct_with_warning")
+    return g.join(med, "machine", "left").select("machine", "n_events", half_up("m", 1).alias("median_lead_min"), "pct_with_warning")
 
 
 def signature(scores: DataFrame, incidents: DataFrame, key: str, *, before_min: int = 30, after_min: int = 10, top: int = 5) -> DataFrame:
@@ -204,11 +204,11 @@ def signature(scores: DataFrame, incidents: DataFrame, key: str, *, before_min:
     s = s.withColumn("bin", F.floor(F.col("t") / US_PER_HOUR))
     hit = w.join(s, ["machine", "bin"]).where("t >= w0 AND t <= w1")
     g = hit.groupBy(key, F.col("r.role").alias("role")).agg(
-        F.avg("r.dev_score").alias("dev"), F.count_if(F.col("r.direction") == "up").alias("up"), F.count(F.lit(1)).alias("n"),
+        half_up(F.avg("r.dev_score"), 2).alias("dev"), F.count_if(F.col("r.direction") == "up").alias("up"), F.count(F.lit(1)).alias("n"),
     ).where(F.col("dev") > 0.05)
     direction = F.when(F.col("up") * 2 >= F.col("n"), "up").otherwise("down")
     pos = F.row_number().over(Window.partitionBy(key).orderBy(F.col("dev").desc(), F.col("role")))
-    return g.select(key, "role", F.round("dev", 2).alias("dev"), direction.alias("direction"), pos.alias("position")).where(
+    return g.select(key, "role", "dev", direction.alias("direction"), pos.alias("position")).where(
         F.col("position") <= top
     )
 
@@ -283,5 +283,5 @@ def recon_scores(windows: DataFrame, columns: Sequence[str], k: int = 8, length:
     total = F.aggregate(F.col("per"), F.lit(0.0), lambda s, v: s + v) / float(d)
     return e.select(
         "machine", "ts", total.alias("recon_err"),
-        F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.transform("per", lambda v: F.round(v, 4))).alias("per_feature_err"),
+        F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.transform("per", lambda v: half_up(v, 4))).alias("per_feature_err"),
     )

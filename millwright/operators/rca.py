@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.timex import MS_PER_HOUR, US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_us, hours, us
+from ..functions.timex import MS_PER_HOUR, US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_us, half_even, half_up, hours, us
 from .events import overlapping
 from .scan import asof
 
@@ -151,14 +151,14 @@ def cards(
             F.lit("AD telemetry anomaly; deviating: "), F.coalesce(F.col("ad.roles"), F.lit("None"))))
     )
     lag_line = F.concat(
-        F.lit("Nearest alarm->stop lag: "), F.bround("lag_seconds", 0).cast("bigint").cast("string"), F.lit("s")
+        F.lit("Nearest alarm->stop lag: "), half_even("lag_seconds", 0).cast("bigint").cast("string"), F.lit("s")
     )
     drift_line = F.when(casc_ok & F.col("has_drift"), "Telemetry drift preceded the alarm (predictive signal)")
     evidence = F.filter(F.array(head, lag_line, drift_line), lambda x: x.isNotNull())
     out = j.select(
         key, "machine", at(lo).alias("window_start"), at(hi).alias("window_end"), trigger.alias("trigger"),
         pattern.alias("pattern"), primary.alias("primary_category"), evidence.alias("evidence"),
-        "casc", "lag_seconds", F.bround(F.coalesce(F.col("linked_ms"), F.lit(0.0)) / MS_PER_HOUR, 2).alias("linked_hours"),
+        "casc", "lag_seconds", half_even(F.coalesce(F.col("linked_ms"), F.lit(0.0)) / MS_PER_HOUR, 2).alias("linked_hours"),
         "is_connectivity",
     )
     out = out.withColumn("hypotheses", hypotheses(F.col("primary_category"), F.col("pattern") == "DRIFT_ALARM_STOP"))
@@ -190,7 +190,7 @@ def recurrence(
         F.array_sort(F.collect_list("machine")).alias("machines"), F.count("machine").alias("n_machines"),
         F.coalesce(F.sum("h"), F.lit(0.0)).alias("total_hours"),
     )
-    score = F.round(F.col("n_machines") * F.greatest(F.col("total_hours"), F.lit(0.01)), 2)
+    score = half_up(F.col("n_machines") * F.greatest(F.col("total_hours"), F.lit(0.01)), 2)
     return g.where(F.col("n_machines") >= min_machines).select(
         at("b").alias("bucket_start"), "category", "machines", "n_machines", "total_hours",
         score.alias("systemic_score"), rules.facility_cause("category").alias("facility_root"),

@@ -46,10 +46,12 @@ def running(
     aggs: Mapping[str, tuple[str, Column]],
     reverse: bool = False,
     inclusive: bool = True,
+    overall: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Add running aggregates per key; `slice_col` must be monotone in `order`.
 
     `order` already carries its directions; `reverse` says that slices are swept downwards.
+    `overall` adds whole-key aggregates, taken from the same slice totals.
     The slice totals read the very shuffle the local window reads: the totals touch every column
     (a row hash), so column pruning leaves both branches the same exchange and Spark runs it once.
     """
@@ -64,12 +66,14 @@ def running(
     names = df.columns
     placed = df.repartition(*keys, slice_col)
     touch = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("__touch")
+    whole = dict(overall or {})
     totals = placed.groupBy(*keys, slice_col).agg(
-        *[_AGG[k](c).alias(f"__t_{o}") for o, (k, c) in aggs.items()], touch
+        *[_AGG[k](c).alias(f"__t_{o}") for o, (k, c) in {**aggs, **whole}.items()], touch
     )
     carry = totals.select(
         *keys, slice_col, "__touch",
         *[_CARRY[k](f"__t_{o}").over(carry_w).alias(f"__c_{o}") for o, (k, _) in aggs.items()],
+        *[_CARRY[k](f"__t_{o}").over(_by(keys)).alias(o) for o, (k, _) in whole.items()],
     )
     out = placed.select("*", *[_AGG[k](c).over(local).alias(f"__l_{o}") for o, (k, c) in aggs.items()])
     carry = carry.where(F.col("__touch").isNotNull()).drop("__touch")
@@ -86,7 +90,7 @@ def running(
             if k == "count":
                 v = F.coalesce(v, F.lit(0).cast("bigint"))
         cols.append(v.alias(o))
-    return out.select(*names, *cols)
+    return out.select(*names, *cols, *whole)
 
 
 def sweep(
@@ -221,13 +225,14 @@ def range_max(
 
 
 def row_index(
-    df: DataFrame, by: Sequence[str], t: str, *, ties: Sequence[str] = (), slice_s: int | None = None, out: str = "rn"
+    df: DataFrame, by: Sequence[str], t: str, *, ties: Sequence[str] = (), slice_s: int | None = None, out: str = "rn",
+    overall: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Dense 1-based position of each row in its key's time order."""
     width = slice_seconds(df, slice_s) * US_PER_S
     rows = df.withColumn("__slice", floor_div(F.unix_micros(t), width))
     order = [F.col(t).asc(), *[F.col(c).asc() for c in ties]]
-    return running(rows, by, order, "__slice", {out: ("count", F.lit(1))}).drop("__slice")
+    return running(rows, by, order, "__slice", {out: ("count", F.lit(1))}, overall=overall).drop("__slice")
 
 
 def row_blocks(df: DataFrame, rn: str, size: int, halo: int) -> DataFrame:
@@ -247,16 +252,31 @@ def row_blocks(df: DataFrame, rn: str, size: int, halo: int) -> DataFrame:
 def islands(
     df: DataFrame, by: Sequence[str], t: str, max_gap_us: int, *, slice_s: int | None = None, out: str = "island"
 ) -> DataFrame:
-    """Number maximal runs whose consecutive gaps are at most `max_gap_us` (a gap of exactly that merges)."""
+    """Number maximal runs whose consecutive gaps are at most `max_gap_us` (a gap of exactly that merges).
+
+    Inside a slice only the first row does not know its predecessor; the slice table (first and last
+    instant, breaks inside) tells whether it continues the run of the slice before.
+    """
+    by = list(by)
     width = slice_seconds(df, slice_s) * US_PER_S
+    names = df.columns
     rows = df.withColumn("__us", F.unix_micros(t)).withColumn("__slice", floor_div(F.col("__us"), width))
-    order = [F.col("__us").asc()]
-    prev = running(rows, by, order, "__slice", {"__prev": ("max", F.col("__us"))}, inclusive=False)
-    new = F.when(F.col("__us") - F.col("__prev") <= max_gap_us, 0).otherwise(1).cast("bigint")
-    marked = prev.withColumn("__new", new)
-    return running(marked, by, order, "__slice", {out: ("sum", F.col("__new"))}).drop(
-        "__us", "__slice", "__prev", "__new"
+    placed = rows.repartition(*by, "__slice")
+    w = Window.partitionBy(*by, "__slice").orderBy("__us")
+    step = placed.withColumn("__brk", F.coalesce((F.col("__us") - F.lag("__us").over(w) > max_gap_us).cast("bigint"), F.lit(0)))
+    local = step.withColumn("__loc", F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slices = local.groupBy(*by, "__slice").agg(
+        F.min("__us").alias("__first"), F.max("__us").alias("__last"), F.max("__loc").alias("__n"),
+        F.max(F.xxhash64(*[F.col(f"`{c}`") for c in local.columns])).alias("__touch"),
     )
+    ws = _by(by).orderBy("__slice")
+    fresh = F.coalesce((F.col("__first") - F.lag("__last").over(ws) > max_gap_us).cast("bigint"), F.lit(1))
+    slices = slices.withColumn("__fresh", fresh)
+    before = F.coalesce(F.sum(F.col("__n") + F.col("__fresh")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = slices.select(*by, "__slice", (before + F.col("__fresh")).alias("__off"), "__touch")
+    offset = offset.where(F.col("__touch").isNotNull()).drop("__touch")
+    joined = local.join(offset, [*by, "__slice"], "left")
+    return joined.select(*names, (F.col("__off") + F.col("__loc")).alias(out))
 
 
 def percentiles(
@@ -277,9 +297,9 @@ def percentiles(
         .groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__slice", value_slice(F.col("__x"), steps))
     )
-    cum = running(v, by, [F.col("__x").asc()], "__slice", {"__cum": ("sum", F.col("__n"))})
-    sizes = v.groupBy(*by).agg(F.sum("__n").alias("__tot"))
-    ranked = cum.join(sizes, by)
+    ranked = running(
+        v, by, [F.col("__x").asc()], "__slice", {"__cum": ("sum", F.col("__n"))}, overall={"__tot": ("sum", F.col("__n"))}
+    )
     aggs, outs = [], []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__tot") - 1)
@@ -305,9 +325,9 @@ def rank_share(
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__slice", value_slice(F.col(value), steps))
     )
-    cum = running(v, by, [F.col(value).asc()], "__slice", {"__cum": ("sum", F.col("__n"))})
-    sizes = v.groupBy(*by).agg(F.sum("__n").alias("__tot"))
-    joined = cum.join(sizes, by)
+    joined = running(
+        v, by, [F.col(value).asc()], "__slice", {"__cum": ("sum", F.col("__n"))}, overall={"__tot": ("sum", F.col("__n"))}
+    )
     share = (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2.0) / F.col("__tot")
     ranks = joined.select(*by, value, share.alias(out))
     return df.join(ranks, [*by, value], "left")

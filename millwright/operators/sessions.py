@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timex import US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_div, floor_us, us
+from ..functions.timex import US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_div, floor_us, half_even, us
 from .scan import asof, islands, row_index, running, slice_seconds
 
 
@@ -44,7 +44,7 @@ def link_labels(windows: DataFrame, labels: DataFrame, horizon_min: int = 360) -
     )
     lead = (F.col("__lab.t") - us("window_start")) / float(US_PER_MIN)
     return hit.select(
-        *windows.columns, F.col("__lab.label_text").alias("nearest_label"), F.bround(lead, 1).alias("lead_time_min")
+        *windows.columns, F.col("__lab.label_text").alias("nearest_label"), half_even(lead, 1).alias("lead_time_min")
     )
 
 
@@ -89,8 +89,7 @@ def downsample_max(df: DataFrame, value: str, seconds: int) -> DataFrame:
 
 def systematic_sample(df: DataFrame, by: Sequence[str], ts: str, ties: Sequence[str], target: int) -> DataFrame:
     """Every n-th row of each group so that about `target` rows remain."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    rows = row_index(df, by, ts, ties=ties).join(sizes, list(by))
+    rows = row_index(df, by, ts, ties=ties, overall={"__n": ("count", F.lit(1))})
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / target))
     return rows.where(F.pmod(F.col("rn") - 1, step) == 0).drop("__n", "rn")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import oee as fx
-from ..functions.timex import MS_PER_HOUR, US_PER_DAY, US_PER_MIN, clamp, us
+from ..functions.timex import MS_PER_HOUR, US_PER_DAY, US_PER_MIN, clamp, half_even, half_up, us
 from .kpi import prorate
 from .scan import range_max
 from .sessions import risk_episodes
@@ -91,7 +91,7 @@ def run_scenarios(components: DataFrame, levers: Sequence[Lever], category_ms: C
     gained = F.when(cycle != 0, recovered / cycle).otherwise(F.col("after.ProductSum") - prod)
     note = F.when((F.col("lever.kind") == "W4") & (prod <= 0), "P lever INERT: ProductSum=0 (no production this scope)")
     return s.select(
-        "*", *[F.round(F.col(f"after.{k}") - F.col(f"before.{k}"), 4).alias(f"d{k}") for k in ("OEE", "A", "P", "Q")],
+        "*", *[half_up(F.col(f"after.{k}") - F.col(f"before.{k}"), 4).alias(f"d{k}") for k in ("OEE", "A", "P", "Q")],
         recovered.alias("recovered_ms"), F.greatest(F.lit(0.0), gained).alias("extra_pieces"), note.alias("note"),
     )
 
@@ -105,8 +105,8 @@ def decompose(scenarios: DataFrame) -> DataFrame:
 
 def waterfall(decomposed: DataFrame, keys: Sequence[str]) -> DataFrame:
     steps = [
-        ("Baseline OEE", F.round(F.col("before.OEE"), 4)), ("dA", F.col("dA_contrib")), ("dP", F.col("dP_contrib")),
-        ("dQ", F.col("dQ_contrib")), ("Scenario OEE", F.round(F.col("after.OEE"), 4)),
+        ("Baseline OEE", half_up(F.col("before.OEE"), 4)), ("dA", F.col("dA_contrib")), ("dP", F.col("dP_contrib")),
+        ("dQ", F.col("dQ_contrib")), ("Scenario OEE", half_up(F.col("after.OEE"), 4)),
     ]
     arr = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("label"), v.alias("value")) for i, (n, v) in enumerate(steps)])
     return decomposed.select(*keys, F.explode(arr).alias("s")).select(*keys, "s.*")
@@ -124,10 +124,10 @@ def financials(scenarios: DataFrame, money: Money, period_days: Column | int = 1
     net = gross - money.intervention_cost
     cost = F.lit(money.intervention_cost)
     return scenarios.select(
-        "*", F.round(hours, 3).alias("recovered_hours"), F.round(margin, 2).alias("margin_gain"),
-        F.round(saving, 2).alias("downtime_saving"), F.round(gross, 2).alias("gross_benefit"),
-        F.round(net, 2).alias("net_benefit"), F.round(F.when(per > 0, cost / per), 2).alias("payback_days"),
-        F.round(F.when(cost > 0, net / cost), 2).alias("roi"),
+        "*", half_up(hours, 3).alias("recovered_hours"), half_up(margin, 2).alias("margin_gain"),
+        half_up(saving, 2).alias("downtime_saving"), half_up(gross, 2).alias("gross_benefit"),
+        half_up(net, 2).alias("net_benefit"), half_up(F.when(per > 0, cost / per), 2).alias("payback_days"),
+        half_up(F.when(cost > 0, net / cost), 2).alias("roi"),
     )
 
 
@@ -187,7 +187,7 @@ def attributable_oee(components: DataFrame, prevented_h: Column, keep: Sequence[
     kb, ka = fx.kpis(b), fx.kpis(a)
     return rows.select(
         *keep, "applied_h", *[kb[n].alias(f"{n}_before") for n in kb], *[ka[n].alias(f"{n}_after") for n in ka],
-        *[F.round(ka[n] - kb[n], 4).alias(f"d{n}") for n in ka],
+        *[half_up(ka[n] - kb[n], 4).alias(f"d{n}") for n in ka],
     )
 
 
@@ -199,10 +199,10 @@ def projection(prevented_h: Column, episodes: Column, observed_days: Column, mon
     net = gross - cost
     factor = F.lit(float(annual_days)) / days
     return {
-        "gross": F.round(gross, 2), "intervention": F.round(cost, 2), "net": F.round(net, 2),
-        "roi": F.round(F.when(cost > 0, net / cost), 4), "annual_factor": F.round(factor, 6),
-        "annual_prevented_h": F.round(prevented_h * factor, 3), "annual_gross": F.round(gross * factor, 2),
-        "annual_intervention": F.round(cost * factor, 2), "annual_net": F.round(net * factor, 2),
+        "gross": half_up(gross, 2), "intervention": half_up(cost, 2), "net": half_up(net, 2),
+        "roi": half_up(F.when(cost > 0, net / cost), 4), "annual_factor": half_up(factor, 6),
+        "annual_prevented_h": half_up(prevented_h * factor, 3), "annual_gross": half_up(gross * factor, 2),
+        "annual_intervention": half_up(cost * factor, 2), "annual_net": half_up(net * factor, 2),
     }
 
 
@@ -215,12 +215,12 @@ def _machine_points(
     w = scored_windows(scored, prevention.horizon_min)
     peaks = stop_peaks(scored, scope_stops(stops, w), prevention.horizon_min)
     arr = F.array(*[F.lit(x) for x in levels])
-    h = F.col("duration_ms") / MS_PER_HOUR
+    ms = F.col("duration_ms")
     # per machine, one small array of (caught stops, caught hours) per threshold: no row per threshold and stop
     caught_n = F.array(*[F.count_if(F.col("max_prior_risk") >= x) for x in levels])
-    caught_h = F.array(*[F.coalesce(F.sum(F.when(F.col("max_prior_risk") >= x, h)), F.lit(0.0)) for x in levels])
+    caught_h = F.array(*[F.coalesce(F.sum(F.when(F.col("max_prior_risk") >= x, ms)), F.lit(0.0)) / MS_PER_HOUR for x in levels])
     per = peaks.groupBy("machine").agg(
-        F.count(F.lit(1)).alias("stops"), F.sum(h).alias("total_h"), F.arrays_zip(
+        F.count(F.lit(1)).alias("stops"), (F.sum(ms) / MS_PER_HOUR).alias("total_h"), F.arrays_zip(
             arr.alias("threshold"), caught_n.alias("caught"), caught_h.alias("caught_h")).alias("by_level"),
     )
     ep = episodes if episodes is not None else risk_episodes(scored, levels, ties=ties)
@@ -254,12 +254,12 @@ def operating_points(
     o = attributable_oee(m, F.col("requested_h"), keep)
     fin = projection(F.col("applied_h"), F.col("episodes"), F.col("observed_days"), money, prevention.annual_days)
     return o.select(
-        "threshold", "machine", F.bround("observed_days", 4).alias("observed_days"), F.col("stops").alias("significant_stops"),
-        F.col("caught").alias("caught_stops"), F.bround(F.try_divide(F.col("caught"), F.col("stops")), 4).alias("recall"),
-        F.bround("total_h", 3).alias("total_downtime_h"), F.bround("caught_h", 3).alias("caught_downtime_h"),
-        F.bround("applied_h", 3).alias("prevented_h"), "episodes", "episode_hits",
+        "threshold", "machine", half_even("observed_days", 4).alias("observed_days"), F.col("stops").alias("significant_stops"),
+        F.col("caught").alias("caught_stops"), half_even(F.try_divide(F.col("caught"), F.col("stops")), 4).alias("recall"),
+        half_even("total_h", 3).alias("total_downtime_h"), half_even("caught_h", 3).alias("caught_downtime_h"),
+        half_even("applied_h", 3).alias("prevented_h"), "episodes", "episode_hits",
         (F.col("episodes") - F.col("episode_hits")).alias("false_alarm_episodes"),
-        F.bround(F.try_divide(F.col("episode_hits"), F.col("episodes")), 4).alias("episode_precision"),
+        half_even(F.try_divide(F.col("episode_hits"), F.col("episodes")), 4).alias("episode_precision"),
         *[c for c in o.columns if c.endswith(("_before", "_after"))], "dOEE", "dA", "dP", "dQ",
         *[v.alias(n) for n, v in fin.items()], "start", "end", *fx.COMPONENTS,
     )
@@ -274,17 +274,16 @@ def portfolio_points(points: DataFrame, prevention: Prevention = Prevention(), m
         *[F.sum(c).alias(c) for c in fx.COMPONENTS], F.min("start").alias("t0"), F.max("end").alias("t1"),
     )
     g = g.withColumn("observed_days", (us("t1") - us("t0")) / float(US_PER_DAY))
-    keep = [c for c in g.columns if c not in fx.COMPONENTS]
-    o = attributable_oee(g, F.col("req_h"), keep)
+    o = attributable_oee(g, F.col("req_h"), g.columns)
     fin = projection(F.col("applied_h"), F.col("episodes"), F.col("observed_days"), money, prevention.annual_days)
     return o.select(
-        F.bround("threshold", 6).alias("threshold"), F.bround("observed_days", 4).alias("observed_days"),
+        half_even("threshold", 6).alias("threshold"), half_even("observed_days", 4).alias("observed_days"),
         "significant_stops", "caught_stops",
-        F.bround(F.try_divide(F.col("caught_stops"), F.col("significant_stops")), 4).alias("recall"),
-        F.bround("caught_downtime_h", 3).alias("caught_downtime_h"), F.bround("applied_h", 3).alias("prevented_h"),
+        half_even(F.try_divide(F.col("caught_stops"), F.col("significant_stops")), 4).alias("recall"),
+        half_even("caught_downtime_h", 3).alias("caught_downtime_h"), half_even("applied_h", 3).alias("prevented_h"),
         "episodes", "episode_hits", (F.col("episodes") - F.col("episode_hits")).alias("false_alarm_episodes"),
-        F.bround(F.try_divide(F.col("episode_hits"), F.col("episodes")), 4).alias("episode_precision"),
-        F.col("dOEE").alias("delta_oee"), *[v.alias(n) for n, v in fin.items()],
+        half_even(F.try_divide(F.col("episode_hits"), F.col("episodes")), 4).alias("episode_precision"),
+        F.col("dOEE").alias("delta_oee"), *[v.alias(n) for n, v in fin.items()], *fx.COMPONENTS,
     )
 
 
@@ -302,6 +301,7 @@ def threshold_sweep(
     pts = operating_points(scored, stops, baseline, sweep_levels(deployed, levels), prevention, money, ties)
     rows = portfolio_points(pts, prevention, money)
     best = rows.agg(F.max(F.struct("annual_net", "threshold")).alias("b")).select(F.col("b.threshold").alias("best"))
+    rows = rows.drop(*fx.COMPONENTS)
     return (
         rows.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one")
         .withColumn("is_optimum", F.col("threshold") == F.col("best")).drop("one", "best")
@@ -334,3 +334,37 @@ def assumption_rows(spark: SparkSession, money: Money, prevention: Prevention) -
     rows = [("money", k, str(v)) for k, v in asdict(money).items()]
     rows += [("prevention", k, str(v)) for k, v in asdict(prevention).items()]
     return spark.createDataFrame([(*r, ASSUMPTION_LABEL) for r in rows], "scope string, name string, value string, label string")
+
+
+def scenario_catalog(rollup: DataFrame, pareto: DataFrame, status: DataFrame, money: Money) -> DataFrame:
+    """Inspectable scenarios: each machine's top fault reason -30 %, cycle +10 %, and repaired connectivity.
+
+    Connectivity recovers schedule visibility only, never machine OEE.
+    """
+    from ..functions import rules
+    from .kpi import offline_dedup_hours, top_per_group
+
+    faults = pareto.where(rules.reason_kind("reason") == "fault")
+    top = top_per_group(faults, ["machine"], [F.col("hours").desc(), F.col("reason")], 1).select("machine", "reason", "hours")
+    base = rollup.select("machine", "period_days", *fx.COMPONENTS)
+    cut = run_scenarios(
+        base.join(top, "machine"), [Lever("W1", 0.30, name="top_reason")], F.col("hours") * MS_PER_HOUR
+    )
+    fast = run_scenarios(base.withColumn("reason", F.lit("whole period")), [Lever("W4", 0.10, name="cycle")])
+    cols = ["machine", "period_days", "reason", "lever", "before", "after", "dOEE", "dA", "dP", "dQ", "recovered_ms", "extra_pieces"]
+    both = cut.select(*cols).unionByName(fast.select(*cols))
+    priced = financials(both, money, F.col("period_days")).select(
+        F.col("lever.name").alias("scenario"), "machine", F.col("reason").alias("scope"), "period_days",
+        "dA", "dP", "dQ", "dOEE", F.col("recovered_hours").alias("runtime_h"), F.lit(0.0).alias("schedule_h"),
+        half_up("extra_pieces", 1).alias("extra_pieces"), "gross_benefit", "net_benefit", "roi", "payback_days",
+    )
+    zero = F.lit(0.0)
+    none = F.lit(None).cast("double")
+    net = offline_dedup_hours(status).select(
+        F.lit("connectivity").alias("scenario"), F.lit("PLANT").alias("machine"),
+        F.concat(F.col("windows").cast("string"), F.lit(" distinct outages")).alias("scope"),
+        F.lit(None).cast("int").alias("period_days"), zero.alias("dA"), zero.alias("dP"), zero.alias("dQ"), zero.alias("dOEE"),
+        zero.alias("runtime_h"), half_up("schedule_hours", 3).alias("schedule_h"), zero.alias("extra_pieces"),
+        zero.alias("gross_benefit"), zero.alias("net_benefit"), none.alias("roi"), none.alias("payback_days"),
+    )
+    return priced.unionByName(net)

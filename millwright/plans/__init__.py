@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    from . import group_kpi, group_time  # noqa: F401
-    from .registry import ORACLES, QUERIES
+    from . import group_kpi, group_rca, group_time  # noqa: F401
+    from .registry import QUERIES, oracle_texts
 
-    return QUERIES, ORACLES
+    return QUERIES, oracle_texts()

@@ -9,7 +9,7 @@ from ..operators import events, grid, predict, rca, scan, sessions, value
 from ..operators.scan import in_any_interval
 from ..sources import tables
 from . import views
-from .registry import query, shared
+from .registry import query, rnd_even, shared
 
 # ------------------------------------------------------------ shared oracle text
 shared("o_unpl", """
@@ -419,7 +419,7 @@ def _(p):
 
 
 @query("range_future_first", """
-SELECT w.id, w.machine, l.label_text AS nearest_label, round(epoch_us(l.start_ts - w.ws)/60000000.0::DOUBLE, 1) AS lead_time_min FROM (
+SELECT w.id, w.machine, l.label_text AS nearest_label, """ + rnd_even("epoch_us(l.start_ts - w.ws)/60000000.0::DOUBLE", 1) + """ AS lead_time_min FROM (
   SELECT id, machine, started_on AS ws, coalesce(ended_on, started_on) AS we FROM fx_stops WHERE display_text='Waiting for work') w
 LEFT JOIN LATERAL (SELECT start_ts, label_text FROM o_labels l WHERE l.machine=w.machine AND l.start_ts >= w.we
   AND l.start_ts <= w.we + INTERVAL 6 HOUR ORDER BY start_ts, label_text LIMIT 1) l ON true""", "lead_time_min")

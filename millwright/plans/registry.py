@@ -37,6 +37,20 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def rnd(x: str, digits: int) -> str:
+    """Half-up rounding in exact decimals (DuckDB rounds doubles by scaling, which misses decimal ties)."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30,8)), {digits}) AS DOUBLE)"
+
+
+def rnd_even(x: str, digits: int) -> str:
+    """Half-even rounding in exact decimals."""
+    y = f"(CAST({x} AS DECIMAL(28,8)) * {10 ** digits})"
+    return (
+        f"(CAST(CASE WHEN {y} - floor({y}) > 0.5 THEN floor({y}) + 1 WHEN {y} - floor({y}) < 0.5 THEN floor({y}) "
+        f"WHEN CAST(floor({y}) AS HUGEINT) % 2 = 0 THEN floor({y}) ELSE floor({y}) + 1 END AS DOUBLE) / {10 ** digits})"
+    )
+
+
 def query(name: str, sql: str | None = None, doubles: str = ""):
     """Register `fn(plant) -> DataFrame`; `doubles` names the oracle columns to round."""
 
@@ -53,10 +67,15 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
             body = sql.strip()
             if doubles:
                 repl = ", ".join(
-                    f"round(round(CAST({c} AS DOUBLE), 8), 6) + 0.0::DOUBLE AS {c}" for c in doubles.split()
+                    f"{rnd(c, 6)} + 0.0::DOUBLE AS {c}" for c in doubles.split()
                 )
                 body = f"SELECT * REPLACE ({repl}) FROM (\n{body}\n) AS answer"
-            ORACLES[name] = ctes(body, SHARED)
+            ORACLES[name] = body
         return fn
 
     return wrap
+
+
+def oracle_texts() -> dict[str, str]:
+    """Complete statements: each oracle with the views and shared sub-queries it reaches."""
+    return {name: ctes(body, SHARED) for name, body in ORACLES.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dims, events, grid, kpi, predict
+from ..session import stage
 from ..sources import tables
 from .fixtures import Plant
 
@@ -75,7 +76,7 @@ def outages(p):
 
 @_memo
 def feature_grid(p):
-    return grid.feature_grid(readings(p), outages(p), GRID_S)
+    return stage(grid.feature_grid(readings(p), outages(p), GRID_S), "grid")
 
 
 @_memo

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` on reliable storage so iterative plans do not grow."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a pipeline stage as a Parquet table in the shared folder and go on from the table.
+
+    Later plans read columns and row groups of it instead of repeating the work behind it, and a lost
+    executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
