@@ -68,13 +68,18 @@ def melt(grid: DataFrame, columns: Sequence[str], keep: Sequence[str] = ("machin
 
 
 def fit_envelopes(
-    grid: DataFrame, columns: Sequence[str], exclude: DataFrame | None = None, *, running_only: bool = True
+    grid: DataFrame, columns: Sequence[str], exclude: DataFrame | str | None = None, *, running_only: bool = True
 ) -> DataFrame:
-    """Median, robust sigma and 5/95 % bounds per (machine, feature) from clean buckets, 20 at least."""
+    """Median, robust sigma and 5/95 % bounds per (machine, feature) from clean buckets, 20 at least.
+
+    `exclude` is a frame of windows, or the name of a flag column already on the grid.
+    """
     clean = grid.where(~F.coalesce(F.col("is_offline"), F.lit(False)))
     if running_only:
         clean = clean.where(~F.coalesce(F.col("is_idle"), F.lit(False)))
-    if exclude is not None:
+    if isinstance(exclude, str):
+        clean = clean.where(~F.col(exclude))
+    elif exclude is not None:
         clean = drop_intervals(clean, exclude)
     keys = ["machine", "feature"]
     long = melt(clean, columns, ("machine",)).where(F.col("value").isNotNull())
@@ -213,7 +218,7 @@ def signature(scores: DataFrame, incidents: DataFrame, key: str, *, before_min:
     )
 
 
-def zscores(grid: DataFrame, envelopes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def zscores(grid: DataFrame, envelopes: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Clipped standard scores (NULL as 0); a feature without envelope falls back to its own median and deviation."""
     long = melt(grid, columns, ("machine",)).where(F.col("value").isNotNull())
     keys = ["machine", "feature"]
@@ -232,13 +237,15 @@ def zscores(grid: DataFrame, envelopes: DataFrame, columns: Sequence[str]) -> Da
         v = (F.col(c).cast("double") - F.col(f"__{c}.c")) / F.col(f"__{c}.s")
         return F.coalesce(F.greatest(F.least(v, F.lit(10.0)), F.lit(-10.0)), F.lit(0.0))
 
-    return j.select("machine", "ts", "is_offline", F.array(*[z(c) for c in columns]).alias("z"))
+    return j.select("machine", "ts", "is_offline", *keep, F.array(*[z(c) for c in columns]).alias("z"))
 
 
-def sliding_windows(z: DataFrame, labels: DataFrame | None = None, *, length: int = 30, stride: int = 5, block: int = 4096) -> DataFrame:
+def sliding_windows(z: DataFrame, labels: DataFrame | str | None = None, *, length: int = 30, stride: int = 5, block: int = 4096) -> DataFrame:
     """Windows of `length` consecutive rows every `stride` rows: end instant, matrix row by row, normal flag."""
     rows = z.withColumn("bad", F.coalesce(F.col("is_offline"), F.lit(False)))
-    if labels is not None:
+    if isinstance(labels, str):
+        rows = rows.withColumn("bad", F.col("bad") | F.col(labels))
+    elif labels is not None:
         rows = flag_intervals(rows, labels, out="__lab").withColumn("bad", F.col("bad") | F.col("__lab")).drop("__lab")
     numbered = row_index(rows, ["machine"], "ts")
     b = row_blocks(numbered, "rn", max(block, length), length)
@@ -275,10 +282,12 @@ def recon_scores(windows: DataFrame, columns: Sequence[str], k: int = 8, length:
     hat = F.transform(rows, lambda r: F.aggregate(F.zip_with(r, F.col("p"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     err = F.zip_with(F.col("x"), hat, lambda a, b: (a - b) * (a - b)).cast(schema_err)
     e = proj.select("machine", "ts", err.alias("e"))
-    per = F.array(*[
-        F.aggregate(F.filter(F.col("e"), lambda v, i, j=j: i % d == j), F.lit(0.0), lambda s, v: s + v) / float(length)
-        for j in range(d)
-    ])
+
+    def feature_error(j: int) -> Column:
+        mine = F.filter(F.col("e"), lambda v, i: i % d == j)
+        return F.aggregate(mine, F.lit(0.0), lambda s, v: s + v) / float(length)
+
+    per = F.array(*[feature_error(j) for j in range(d)])
     e = e.withColumn("per", per)
     total = F.aggregate(F.col("per"), F.lit(0.0), lambda s, v: s + v) / float(d)
     return e.select(

@@ -168,7 +168,10 @@ def ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     for n in order:
         body = VIEWS[n].format(**_DUCK) if n in VIEWS else extra[n]
         parts.append(f"{n} AS ({body.strip()})")
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql.strip()
+    body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, body.removeprefix("WITH RECURSIVE ")])
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 class Plant:

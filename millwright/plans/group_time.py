@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timex import US_PER_HOUR, US_PER_MIN, US_PER_S, us
-from ..operators import events, grid, predict, rca, scan, sessions, value
+from ..functions.timex import us
+from ..operators import anomaly, events, grid, predict, rca, scan, sessions, value
+from ..operators.kpi import top_per_group
 from ..operators.scan import in_any_interval
-from ..sources import tables
 from . import views
 from .registry import query, rnd_even, shared
 
@@ -93,34 +93,18 @@ FROM fx_stops WHERE contains(lower(coalesce(display_text,'')), 'system offline')
 UNION ALL SELECT NULL, started_on, ended_on, 'status_offline', instance_id FROM fx_status WHERE NOT is_online""")
 
 
-def _labels(p):
-    from ..operators import anomaly
-
-    return anomaly.label_windows(p.stops, p.alerts)
-
-
-def _offw(p):
-    from ..operators import anomaly
-
-    return anomaly.offline_windows(p.stops, p.status)
-
-
 @query("interval_flag", """
 SELECT g.machine, g.ts, EXISTS (SELECT 1 FROM o_offw o WHERE (o.machine=g.machine OR o.machine IS NULL)
   AND g.ts BETWEEN o.start_ts AND coalesce(o.end_ts, o.start_ts)) AS inside FROM o_grid g""")
 def _(p):
-    from ..operators import anomaly
-
-    return anomaly.flag_intervals(views.feature_grid(p).select("machine", "ts"), _offw(p), out="inside")
+    return anomaly.flag_intervals(views.feature_grid(p).select("machine", "ts"), views.offline_windows(p), out="inside")
 
 
 @query("interval_anti", """
 SELECT e.event_id, e.machine, e.ts FROM fx_scored e WHERE NOT EXISTS (SELECT 1 FROM o_offw o WHERE (o.machine=e.machine OR o.machine IS NULL)
   AND e.ts BETWEEN o.start_ts AND coalesce(o.end_ts, o.start_ts))""")
 def _(p):
-    from ..operators import anomaly
-
-    return anomaly.drop_intervals(p.scored.select("event_id", "machine", "ts"), _offw(p))
+    return anomaly.drop_intervals(p.scored.select("event_id", "machine", "ts"), views.offline_windows(p))
 
 
 @query("interval_flag_telemetry", """
@@ -272,13 +256,9 @@ FROM (SELECT *, {','.join(_roll_sql(c) for c in ROLL)} FROM o_live
 WHERE g.ts <= (SELECT max(ts) FROM o_live h WHERE h.machine=g.machine) - INTERVAL 60 MINUTE""")
 
 
-def supervised_rows(p):
-    return p.memo("supervised", lambda: predict.supervised(views.feature_grid(p), views.unplanned(p), ROLL))
-
-
 @query("supervised_dataset", "SELECT * FROM o_sup", " ".join(["cycle_time_mean", "run_state_duty", *ROLL_OUT, *REC_OUT, "downtime_min_4h", "hour"]))
 def _(p):
-    return supervised_rows(p)
+    return predict.supervised(views.feature_grid(p), views.unplanned(p), ROLL)
 
 
 AUG = ["cycle_dev", "runstate_dev", "prod_dev", "cycle_short_long", "stop_pressure", "micro_accel", "hour_sin", "hour_cos"]
@@ -290,7 +270,7 @@ SELECT machine, ts, cycle_time_mean - cycle_time_mean__long_mean AS cycle_dev, r
   sigstop_cnt_4h * ln(1 + downtime_min_4h) AS stop_pressure, micro_cnt_1h - micro_cnt_4h/4 AS micro_accel,
   sin(2*pi()*hour/24) AS hour_sin, cos(2*pi()*hour/24) AS hour_cos FROM o_sup""", " ".join(AUG))
 def _(p):
-    return predict.augment(supervised_rows(p)).select("machine", "ts", *AUG)
+    return predict.augment(views.supervised(p)).select("machine", "ts", *AUG)
 
 
 shared("o_split", """
@@ -377,8 +357,6 @@ def _(p):
 SELECT machine, event_id, risk, row_number() OVER (PARTITION BY machine ORDER BY risk DESC, event_id) AS position FROM fx_scored
 QUALIFY position <= 8""", "risk")
 def _(p):
-    from ..operators.kpi import top_per_group
-
     t = top_per_group(p.scored, ["machine"], [F.col("risk").desc(), F.col("event_id")], 8)
     return t.select("machine", "event_id", "risk", F.col("position").cast("bigint").alias("position"))
 
@@ -427,7 +405,7 @@ def _(p):
     w = p.stops.where("display_text = 'Waiting for work'").select(
         "id", "machine", F.col("started_on").alias("window_start"), F.coalesce("ended_on", "started_on").alias("window_end")
     )
-    return sessions.link_labels(w, _labels(p)).select("id", "machine", "nearest_label", "lead_time_min")
+    return sessions.link_labels(w, views.labels(p)).select("id", "machine", "nearest_label", "lead_time_min")
 
 
 @query("stop_scope", """

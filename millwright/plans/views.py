@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dims, events, grid, kpi, predict
+from ..operators import anomaly, dims, events, grid, kpi, predict
 from ..session import stage
 from ..sources import tables
 from .fixtures import Plant
@@ -99,3 +99,55 @@ def live_grid(p):
 @_memo
 def split_scored(p):
     return predict.chrono_split(p.scored, 0.6, ties=("event_id",))
+
+
+@_memo
+def labels(p):
+    return anomaly.label_windows(p.stops, p.alerts)
+
+
+@_memo
+def offline_windows(p):
+    return anomaly.offline_windows(p.stops, p.status)
+
+
+@_memo
+def labelled_grid(p):
+    """The grid with a flag for buckets inside a labelled incident."""
+    return stage(anomaly.flag_intervals(feature_grid(p), labels(p), out="in_label", everyone=False), "labelled")
+
+
+@_memo
+def envelopes(p):
+    return stage(anomaly.fit_envelopes(labelled_grid(p), grid.FEATURES, "in_label"), "envelopes")
+
+
+@_memo
+def deviations(p):
+    return stage(anomaly.deviations(feature_grid(p), envelopes(p), grid.FEATURES), "deviations")
+
+
+@_memo
+def machine_scores(p):
+    return stage(anomaly.machine_scores(deviations(p)), "scores")
+
+
+@_memo
+def scores(p):
+    return anomaly.fuse(feature_grid(p), machine_scores(p))
+
+
+@_memo
+def windows30(p):
+    z = anomaly.zscores(labelled_grid(p), envelopes(p), grid.FEATURES, keep=("in_label",))
+    return anomaly.sliding_windows(z, "in_label")
+
+
+@_memo
+def supervised(p):
+    return stage(predict.supervised(feature_grid(p), unplanned(p), ["cycle_time_mean", "run_state_duty"]), "supervised")
+
+
+@_memo
+def split_supervised(p):
+    return stage(predict.chrono_split(supervised(p), 0.6), "split")
