@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import utc
+from ..session import stage, utc
 
 TABLES = ("events", "orders", "lineitem")
 
@@ -212,7 +212,10 @@ class Plant:
         return self._frames[name]
 
     def _scored(self) -> DataFrame:
-        """Same rows as the view text, with the label found by an as-of join instead of EXISTS."""
+        """Same rows as the view text, with the label found by an as-of join instead of EXISTS.
+
+        Scored risk is a table every consumer starts from, so it is written once.
+        """
         from pyspark.sql import functions as F
 
         from ..operators.predict import future_label
@@ -224,7 +227,7 @@ class Plant:
             "display_text IN ('Not running','Undefined Stoppage') AND duration_milliseconds >= 900000"
         )
         stops = stops.select("machine", F.col("started_on").alias("start"))
-        return future_label(rows, stops, horizon_min=60)
+        return stage(future_label(rows, stops, horizon_min=60), "risk")
 
 
 _PLANTS: dict[tuple[int, str], Plant] = {}
@@ -237,3 +240,8 @@ def plant(spark: SparkSession, folder: str) -> Plant:
         _PLANTS[key] = Plant(spark, folder)
     utc(spark)
     return _PLANTS[key]
+
+
+def forget() -> None:
+    """Drop analysed frames and staged tables, so the next plan starts from the raw tables."""
+    _PLANTS.clear()

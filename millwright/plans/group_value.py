@@ -186,10 +186,17 @@ shared("o_pro", f"""
 SELECT w.machine, w.a, w.b, w.days, {', '.join(f'coalesce(sum(d.{c}*{_FRAC}), 0)::DOUBLE AS {c}' for c in COMP)} FROM o_win w LEFT JOIN o_day d ON d.machine=w.machine GROUP BY 1,2,3,4""")
 
 
+_MS = [c for c in COMP if not c.endswith("Sum")]
+
+
 @query("oee_proration", f"""
-SELECT *, A*P*Q AS OEE FROM (SELECT machine, a AS scope_start, b AS scope_end, {', '.join(COMP)}, {kpis(*COMP)} FROM o_pro)""", " ".join(COMP) + " A P Q OEE")
+SELECT machine, scope_start, scope_end, {', '.join(f'{c}/3600000 AS {c}' for c in _MS)}, "ProductSum", "ScrapeSum", A, P, Q, A*P*Q AS OEE FROM (
+  SELECT machine, a AS scope_start, b AS scope_end, {', '.join(COMP)}, {kpis(*COMP)} FROM o_pro)""", " ".join(COMP) + " A P Q OEE")
 def _(p):
-    return kpi.prorate(views.baseline(p), value.scored_windows(p.scored))
+    w = kpi.prorate(views.baseline(p), value.scored_windows(p.scored))
+    for c in _MS:
+        w = w.withColumn(c, F.col(c) / 3.6e6)
+    return w
 
 
 def _attr(src: str, keys: str, hours: str) -> str:
