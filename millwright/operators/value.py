@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import oee as fx
 from ..functions.timex import MS_PER_HOUR, US_PER_DAY, US_PER_MIN, clamp, half_even, half_up, us
@@ -215,29 +216,22 @@ def _machine_points(
     w = scored_windows(scored, prevention.horizon_min)
     peaks = stop_peaks(scored, scope_stops(stops, w), prevention.horizon_min)
     arr = F.array(*[F.lit(x) for x in levels])
-    ms = F.col("duration_ms")
-    # per machine, one small array of (caught stops, caught hours) per threshold: no row per threshold and stop
-    caught_n = F.array(*[F.count_if(F.col("max_prior_risk") >= x) for x in levels])
-    caught_h = F.array(*[F.coalesce(F.sum(F.when(F.col("max_prior_risk") >= x, ms)), F.lit(0.0)) / MS_PER_HOUR for x in levels])
-    per = peaks.groupBy("machine").agg(
-        F.count(F.lit(1)).alias("stops"), (F.sum(ms) / MS_PER_HOUR).alias("total_h"), F.arrays_zip(
-            arr.alias("threshold"), caught_n.alias("caught"), caught_h.alias("caught_h")).alias("by_level"),
+    totals = peaks.groupBy("machine").agg(
+        F.count(F.lit(1)).alias("stops"), (F.sum("duration_ms") / MS_PER_HOUR).alias("total_h")
+    )
+    hit = peaks.withColumn("threshold", F.explode(F.filter(arr, lambda x: x <= F.col("max_prior_risk"))))
+    caught = hit.groupBy("threshold", "machine").agg(
+        F.count(F.lit(1)).alias("caught"), (F.sum("duration_ms") / MS_PER_HOUR).alias("caught_h")
     )
     ep = episodes if episodes is not None else risk_episodes(scored, levels, ties=ties)
     ep = ep.groupBy("threshold", "machine").agg(
         F.count(F.lit(1)).alias("episodes"), F.count_if("hit").alias("episode_hits")
     )
     comp = prorate(baseline, w).select("machine", *fx.COMPONENTS)
-    none = F.arrays_zip(
-        arr.alias("threshold"), F.array_repeat(F.lit(0).cast("bigint"), len(levels)).alias("caught"),
-        F.array_repeat(F.lit(0.0), len(levels)).alias("caught_h"))
-    base = (
-        w.join(comp, "machine", "left").join(per, "machine", "left")
-        .withColumn("lv", F.explode(F.coalesce(F.col("by_level"), none)))
-        .select("machine", "start", "end", "observed_days", *fx.COMPONENTS, F.coalesce("stops", F.lit(0)).alias("stops"),
-                F.coalesce("total_h", F.lit(0.0)).alias("total_h"), "lv.*")
-    )
-    out = base.join(ep, ["threshold", "machine"], "left").fillna(0, ["episodes", "episode_hits"])
+    base = w.select("machine", "start", "end", "observed_days").join(comp, "machine").join(totals, "machine", "left")
+    base = base.withColumn("threshold", F.explode(arr))
+    out = base.join(caught, ["threshold", "machine"], "left").join(ep, ["threshold", "machine"], "left")
+    out = out.fillna(0, ["stops", "caught", "episodes", "episode_hits"]).fillna(0.0, ["total_h", "caught_h"])
     return out.withColumn("requested_h", F.col("caught_h") * prevention.effectiveness)
 
 
@@ -300,12 +294,10 @@ def threshold_sweep(
     """All thresholds in one job; `is_optimum` marks the best annual net (ties: higher threshold)."""
     pts = operating_points(scored, stops, baseline, sweep_levels(deployed, levels), prevention, money, ties)
     rows = portfolio_points(pts, prevention, money)
-    best = rows.agg(F.max(F.struct("annual_net", "threshold")).alias("b")).select(F.col("b.threshold").alias("best"))
-    rows = rows.drop(*fx.COMPONENTS)
-    return (
-        rows.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one")
-        .withColumn("is_optimum", F.col("threshold") == F.col("best")).drop("one", "best")
-    )
+    # one row per threshold is left: a bounded window finds the best of them
+    everything = Window.partitionBy(F.lit(1))
+    best = F.max(F.struct("annual_net", "threshold")).over(everything)
+    return rows.drop(*fx.COMPONENTS).withColumn("is_optimum", F.col("threshold") == best["threshold"])
 
 
 def effectiveness_slider(
