@@ -45,7 +45,8 @@ def scenario(
     faster = (kind == "W4") & (c0["ProductSum"] > 0)
     scrap = kind == "W5"
 
-    room = F.least(c0["UnPlannedStop"], F.coalesce(F.greatest(F.lit(0.0), category_ms), c0["UnPlannedStop"]))
+    limit = F.when(category_ms.isNull(), c0["UnPlannedStop"]).otherwise(F.greatest(F.lit(0.0), category_ms))
+    room = F.least(c0["UnPlannedStop"], limit)
     shift = F.least(F.greatest(F.lit(0.0), F.coalesce(abs_ms, pct * room)), room)
     speed = c0["WorkingTime"] * (1 + pct)
     base_scrap = scrap_pct * c0["ProductSum"]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules
 from ..functions.timex import US_PER_HOUR, US_PER_MIN, half_up, hours, us
-from .scan import asof, ewma, in_any_interval, percentiles, range_max, rank_share, row_blocks, row_index, slice_seconds
+from .scan import asof, attach, ewma, in_any_interval, percentiles, range_max, rank_share, row_blocks, row_index, slice_seconds
 
 MAD_SCALE = 1.4826
 MIN_FIT = 20
@@ -176,11 +176,11 @@ def event_pr(
     pos = buckets.agg(
         *[F.count_if(F.col("s") >= x).alias(f"f{i}") for i, x in enumerate(levels)],
         *[F.count_if((F.col("s") >= x) & F.col("ev").isNotNull()).alias(f"t{i}") for i, x in enumerate(levels)],
-    ).withColumn("one", F.lit(1))
+    )
     rec = events.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("best") >= x).alias(f"m{i}") for i, x in enumerate(levels)]
-    ).withColumn("one", F.lit(1))
-    wide = pos.join(rec, "one")
+    )
+    wide = attach(pos, rec)
     parts = ", ".join(f"CAST({x!r} AS DOUBLE), f{i}, t{i}, m{i}" for i, x in enumerate(levels))
     long = wide.select("total", F.expr(f"stack({n}, {parts}) AS (thresh, flags, tp, matched)"))
     return long.select(

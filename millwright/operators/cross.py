@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.timex import US_PER_HOUR, US_PER_S, at, floor_us, half_up, us
 from ..session import cut
-from .scan import percentiles, running
+from .scan import attach, percentiles, running
 
 REGIME_ROLES = ("cycle_time_mean", "run_state_duty", "run_time_delta", "axis_move_total", "production_count_delta")
 
@@ -23,9 +24,9 @@ def occupancy(stops: DataFrame, bucket_s: int = 3600, min_events: int = 1) -> Da
     if min_events > 1:
         busy = cells.groupBy("machine").agg(F.sum("n").alias("t")).where(F.col("t") >= min_events)
         cells = cells.join(busy.select("machine"), "machine", "left_semi")
-    rng = cells.agg(F.min("b").alias("b0"), F.max("b").alias("b1")).withColumn("one", F.lit(1))
+    rng = cells.agg(F.min("b").alias("b0"), F.max("b").alias("b1"))
     width = bucket_s * US_PER_S
-    return cells.withColumn("one", F.lit(1)).join(rng, "one").select(
+    return attach(cells, rng).select(
         "machine", at("b").alias("bucket_start"), ((F.col("b") - F.col("b0")) / width).cast("bigint").alias("b_idx"),
         ((F.col("b1") - F.col("b0")) / width + 1).cast("bigint").alias("h"),
     )
@@ -67,33 +68,31 @@ def synchronization(
     """Observed co-stop buckets against each null: expectation, deviation, z and p."""
     occ = occupancy(stops, bucket_s, min_events)
     per_day = max(1, round(86400 / bucket_s))
-    obs = co_stops(occ).agg(F.count(F.lit(1)).alias("observed")).withColumn("one", F.lit(1))
-    size = occ.agg(F.max("h").alias("buckets"), F.count_distinct("machine").alias("machines")).withColumn("one", F.lit(1))
+    obs = co_stops(occ).agg(F.count(F.lit(1)).alias("observed"))
+    size = occ.agg(F.max("h").alias("buckets"), F.count_distinct("machine").alias("machines"))
     out = None
     for name in nulls:
-        nd = null_counts(occ, n_perm, seed, per_day if name == "daily_preserving" else None).withColumn("one", F.lit(1))
-        s = nd.join(obs, "one").groupBy("observed").agg(
+        nd = null_counts(occ, n_perm, seed, per_day if name == "daily_preserving" else None)
+        s = attach(nd, obs).groupBy("observed").agg(
             F.avg("co").alias("expected"), F.stddev_pop("co").alias("sd0"),
             F.avg((F.col("co") >= F.col("observed")).cast("double")).alias("p"),
         )
         sd = F.col("sd0") + 1e-9
         s = s.select(
             F.lit(name).alias("null_model"), "observed", "expected", sd.alias("sd"),
-            ((F.col("observed") - F.col("expected")) / sd).alias("z"), "p", F.lit(1).alias("one"),
+            ((F.col("observed") - F.col("expected")) / sd).alias("z"), "p",
         )
         out = s if out is None else out.unionByName(s)
-    return out.join(size, "one").drop("one")
+    return attach(out, size)
 
 
 def hour_concentration(occ: DataFrame) -> DataFrame:
     """Share of co-stop buckets per hour of day with its rank; the top three hours add up to the headline share."""
     hod = co_stops(occ).groupBy(F.hour("bucket_start").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    tot = hod.agg(F.sum("n").alias("t")).withColumn("one", F.lit(1))
+    tot = hod.agg(F.sum("n").alias("t"))
     # at most 24 rows from here on
-    from pyspark.sql.window import Window
-
-    ranked = hod.withColumn("one", F.lit(1)).join(tot, "one").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("one").orderBy(F.col("n").desc(), F.col("hour")))
+    ranked = attach(hod, tot).withColumn(
+        "rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), F.col("hour")))
     )
     return ranked.select("hour", "n", (F.col("n") / F.col("t")).alias("share"), F.col("rank").cast("bigint").alias("rank"),
                          (F.col("rank") <= 3).alias("busiest"))
@@ -102,9 +101,9 @@ def hour_concentration(occ: DataFrame) -> DataFrame:
 def reason_granularity(stops: DataFrame, bucket_s: int = 3600) -> DataFrame:
     """How many reasons exist at all: with one, reason agreement across machines says nothing."""
     co = stops.groupBy(floor_us(us("start"), bucket_s * US_PER_S).alias("b")).agg(F.count_distinct("machine").alias("m"))
-    a = stops.agg(F.count_distinct("label").alias("reasons")).withColumn("one", F.lit(1))
-    b = co.agg(F.count_if(F.col("m") >= 2).alias("co_stop_buckets")).withColumn("one", F.lit(1))
-    return a.join(b, "one").select("reasons", "co_stop_buckets", (F.col("reasons") <= 1).alias("vacuous"))
+    a = stops.agg(F.count_distinct("label").alias("reasons"))
+    b = co.agg(F.count_if(F.col("m") >= 2).alias("co_stop_buckets"))
+    return attach(a, b).select("reasons", "co_stop_buckets", (F.col("reasons") <= 1).alias("vacuous"))
 
 
 def hourly_scores(scores: DataFrame, mode: str = "running") -> DataFrame:

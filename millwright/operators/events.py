@@ -104,7 +104,7 @@ def event_stream(*parts: DataFrame) -> DataFrame:
 def unplanned(stops: DataFrame, min_minutes: float = 0.0) -> DataFrame:
     """Unplanned run stops of at least the given length, with a non-negative `minutes` column."""
     ev = stops.where(F.col("category") == "UNPLANNED_RUNSTOP")
-    mins = F.greatest(F.col("duration_ms") / 6e4, F.lit(0.0))
+    mins = F.when(F.col("duration_ms").isNotNull(), F.greatest(F.col("duration_ms") / 6e4, F.lit(0.0)))
     out = ev.select("machine", "start", "label", "duration_ms", mins.alias("minutes"))
     return out.where(F.col("minutes") >= min_minutes) if min_minutes > 0 else out
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import oee as fx
 from ..functions import rules
 from ..functions.timex import US_PER_DAY, clamp, hours, us
-from .scan import percentiles
+from .scan import attach, percentiles
 
 
 def oee_baseline(summary: DataFrame, unit: DataFrame, level: int | None = 1) -> DataFrame:
@@ -224,7 +224,7 @@ def workorder_summary(orders: DataFrame) -> DataFrame:
         F.max("started_on").alias("last_start"),
     )
     med = percentiles(orders, [], "stock_cycle", {"p25_cycle": 0.25, "median_cycle": 0.5, "p75_cycle": 0.75})
-    return flags.withColumn("one", F.lit(1)).join(med.withColumn("one", F.lit(1)), "one", "left").drop("one")
+    return attach(flags, med)
 
 
 def time_coverage(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

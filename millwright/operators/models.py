@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from . import metrics
 from .predict import chrono_split, robust_znorm
+from .scan import attach
 
 
 def balanced(train: DataFrame) -> DataFrame:
     """Row weights n / (2 * class size)."""
     sizes = train.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    tot = sizes.agg(F.sum("c").alias("t")).withColumn("one", F.lit(1))
-    w = sizes.withColumn("one", F.lit(1)).join(tot, "one").select("y", (F.col("t") / (2.0 * F.col("c"))).alias("weight"))
+    tot = sizes.agg(F.sum("c").alias("t"))
+    w = attach(sizes, tot).select("y", (F.col("t") / (2.0 * F.col("c"))).alias("weight"))
     return train.join(w, "y")
 
 
@@ -105,11 +106,11 @@ def benchmark(split: DataFrame, columns: Sequence[str], names: Sequence[str] = (
     return rows.orderBy(F.col("pr_auc").desc_nulls_last(), "model")
 
 
-def recent_stop_scores(test: DataFrame, column: str = "anystop_cnt_1h") -> DataFrame:
+def recent_stop_scores(test: DataFrame, column: str = "anystop_cnt_1h", keep: Sequence[str] = ("y",)) -> DataFrame:
     """Persistence baseline: stops in the last hour scaled by their maximum."""
-    mx = test.agg(F.max(column).alias("mx")).withColumn("one", F.lit(1))
+    mx = test.agg(F.max(column).alias("mx"))
     top = F.when(F.col("mx") > 0, F.col("mx")).otherwise(1.0)
-    return test.withColumn("one", F.lit(1)).join(mx, "one").select("y", F.coalesce(F.col(column) / top, F.lit(0.0)).alias("risk"))
+    return attach(test, mx).select(*keep, F.coalesce(F.col(column) / top, F.lit(0.0)).alias("risk"))
 
 
 def importance(split: DataFrame, columns: Sequence[str], top: int = 15, trees: int = 100) -> DataFrame:

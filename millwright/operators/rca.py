@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.timex import MS_PER_HOUR, US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_us, half_even, half_up, hours, us
 from .events import overlapping
-from .scan import asof
+from .scan import asof, attach
 
 GENERIC = "UNPLANNED_RUNSTOP"
 RECURRING = ("CONNECTIVITY", "AIR_PRESSURE", "EMERGENCY_STOP", "UNPLANNED_RUNSTOP")
@@ -203,8 +203,8 @@ def category_rank(rec: DataFrame, category: str = "CONNECTIVITY") -> DataFrame:
     The position is the number of buckets ahead of it; ties go to the earlier bucket, then the name.
     """
     key = F.struct((-F.col("systemic_score")).alias("s"), F.col("bucket_start").alias("b"), F.col("category").alias("c"))
-    best = rec.where(F.col("category") == category).agg(F.min(key).alias("best")).withColumn("one", F.lit(1))
-    rows = rec.withColumn("one", F.lit(1)).join(best, "one")
+    best = rec.where(F.col("category") == category).agg(F.min(key).alias("best"))
+    rows = attach(rec, best)
     return rows.agg(
         F.count(F.lit(1)).alias("systemic_buckets"), F.count_if(key < F.col("best")).alias("rank"),
     )

@@ -224,6 +224,15 @@ def range_max(
     return both.withColumn(out, F.greatest("__head", "__tail")).drop("__head", "__tail", "__blk")
 
 
+def attach(rows: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Put one-row values next to every row.
+
+    The values pass through a global aggregate, so exactly one row is broadcast whatever they came from.
+    """
+    one = scalars.agg(*[F.max(c).alias(c) for c in scalars.columns]).withColumn("__one", F.lit(1))
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+
+
 def row_index(
     df: DataFrame, by: Sequence[str], t: str, *, ties: Sequence[str] = (), slice_s: int | None = None, out: str = "rn",
     overall: Mapping[str, tuple[str, Column]] | None = None,

@@ -88,9 +88,7 @@ SELECT machine, ts, y, coalesce(anystop_cnt_1h/(SELECT CASE WHEN max(anystop_cnt
 FROM o_supsplit WHERE part='test'""", "risk")
 def _(p):
     test = views.split_supervised(p).where("part = 'test'")
-    mx = test.agg(F.max("anystop_cnt_1h").alias("mx")).withColumn("one", F.lit(1))
-    top = F.when(F.col("mx") > 0, F.col("mx")).otherwise(1.0)
-    return test.withColumn("one", F.lit(1)).join(mx, "one").select("machine", "ts", "y", F.coalesce(F.col("anystop_cnt_1h") / top, F.lit(0.0)).alias("risk"))
+    return models.recent_stop_scores(test, keep=("machine", "ts", "y"))
 
 
 @query("usable_columns", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n FROM o_supsplit WHERE part='train'" for c in DEVICE))

@@ -290,7 +290,7 @@ def _(p):
     s = views.split_scored(p)
     bad = predict.leakage(s).agg(F.count(F.lit(1)).alias("leaking"))
     n = s.agg(F.count_distinct("machine").alias("machines"))
-    return n.withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one").drop("one")
+    return scan.attach(n, bad)
 
 
 @query("base_rate_drift", "SELECT machine, part, count(*) AS n, avg(y)::DOUBLE AS base_rate FROM o_split GROUP BY 1,2", "base_rate")

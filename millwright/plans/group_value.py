@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import oee as fx
 from ..operators import kpi, value
+from ..operators.scan import attach
 from ..operators.value import Lever, Money, Prevention
 from . import views
 from .registry import query, rnd, rnd_even, shared
@@ -18,8 +19,8 @@ SIDES = "bA bP bQ bOEE aA aP aQ aOEE"
 def scenario_sql(src: str, keys: str, kind: str, pct: float, abs_ms: str = "NULL", cat: str = "NULL", scrap: float = 0.0) -> str:
     """Before / after KPI columns of one lever, straight from its definition."""
     b, a = dict(C0), dict(C0)
-    room = f"least({C0['UnPlannedStop']}, coalesce(greatest(0, {cat}), {C0['UnPlannedStop']}))"
-    shift = f"least(greatest(0, coalesce({abs_ms}, {pct}::DOUBLE*{room})), {room})"
+    room = f"CASE WHEN {cat} IS NULL THEN {C0['UnPlannedStop']} ELSE least({C0['UnPlannedStop']}, greatest(0, {cat})) END"
+    shift = f"least(greatest(0, coalesce({abs_ms}, {pct}::DOUBLE*({room}))), {room})"
     if kind in ("W1", "W3"):
         a["UnPlannedStop"] = f"greatest(0, {C0['UnPlannedStop']} - {shift})"
     elif kind == "W2":
@@ -295,5 +296,5 @@ SELECT a.scope, a.name, a.value, a.label, (SELECT count(*) FROM fx_scored) AS sc
     f"('{s}','{k}','{v}','{value.ASSUMPTION_LABEL}')" for s, d in (("money", vars(Money())), ("prevention", vars(Prevention()))) for k, v in d.items()) + """) a(scope, name, value, label)""")
 def _(p):
     """Assumptions stamped on the scored rows they are applied to."""
-    n = p.scored.agg(F.count(F.lit(1)).alias("scored_rows")).withColumn("one", F.lit(1))
-    return value.assumption_rows(p.spark, Money(), Prevention()).withColumn("one", F.lit(1)).join(n, "one").drop("one")
+    n = p.scored.agg(F.count(F.lit(1)).alias("scored_rows"))
+    return attach(value.assumption_rows(p.spark, Money(), Prevention()), n)
