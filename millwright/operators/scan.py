@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.timex import US_PER_S, floor_div, value_slice
@@ -38,6 +39,31 @@ def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
+_NO_SLICE = -(2**62)
+
+
+def placed(df: DataFrame, keys: Sequence[str], slice_col: str) -> tuple[DataFrame, list[str], str]:
+    """Shuffle rows by (key, slice) on columns that are never NULL.
+
+    Returns the frame, the names standing for the key (a NULL key is a group of its own) and the slice.
+    Because the join back needs no NOT NULL filter on them, both branches of a scan keep one exchange.
+    """
+    cols, names = [], []
+    flags = F.lit(0)
+    for i, k in enumerate(keys):
+        dtype = df.schema[k].dataType
+        blank = F.lit("1970-01-01" if isinstance(dtype, T.DateType) else 0).cast(dtype)
+        cols.append(F.coalesce(F.col(k), blank).alias(f"__k{i}"))
+        names.append(f"__k{i}")
+        flags = flags + F.when(F.col(k).isNull(), 1 << i).otherwise(0)
+    if keys:
+        cols.append(flags.alias("__kn"))
+        names.append("__kn")
+    cols.append(F.coalesce(F.col(slice_col).cast("bigint"), F.lit(_NO_SLICE).cast("bigint")).alias("__sl"))
+    out = df.select("*", *cols)
+    return out.repartition(*names, "__sl"), names, "__sl"
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,17 +83,17 @@ def running(
     """
     keys = list(keys)
     end = Window.currentRow if inclusive else -1
+    names = df.columns
+    rows, keys, slice_col = placed(df, keys, slice_col)
     local = (
         Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     )
     sweep_order = F.col(slice_col).desc() if reverse else F.col(slice_col).asc()
     carry_w = _by(keys).orderBy(sweep_order).rowsBetween(Window.unboundedPreceding, -1)
 
-    names = df.columns
-    placed = df.repartition(*keys, slice_col)
     touch = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in names])).alias("__touch")
     whole = dict(overall or {})
-    totals = placed.groupBy(*keys, slice_col).agg(
+    totals = rows.groupBy(*keys, slice_col).agg(
         *[_AGG[k](c).alias(f"__t_{o}") for o, (k, c) in {**aggs, **whole}.items()], touch
     )
     carry = totals.select(
@@ -75,7 +101,7 @@ def running(
         *[_CARRY[k](f"__t_{o}").over(carry_w).alias(f"__c_{o}") for o, (k, _) in aggs.items()],
         *[_CARRY[k](f"__t_{o}").over(_by(keys)).alias(o) for o, (k, _) in whole.items()],
     )
-    out = placed.select("*", *[_AGG[k](c).over(local).alias(f"__l_{o}") for o, (k, c) in aggs.items()])
+    out = rows.select("*", *[_AGG[k](c).over(local).alias(f"__l_{o}") for o, (k, c) in aggs.items()])
     carry = carry.where(F.col("__touch").isNotNull()).drop("__touch")
     out = out.join(carry, [*keys, slice_col], "left")
     cols = []
@@ -132,7 +158,8 @@ def sweep(
     order = [F.col("__t").desc() if reverse else F.col("__t").asc(), F.col("__s").asc()]
     aggs = {n: (k, F.col(f"__v_{n}")) for n, k in kinds.items()}
     swept = running(rows, by, order, "__slice", aggs, reverse=reverse)
-    return swept.where(F.col("__s") == 1).select("__left.*", *kinds)
+    known = F.col("__t").isNotNull()
+    return swept.where(F.col("__s") == 1).select("__left.*", *[F.when(known, F.col(n)).alias(n) for n in kinds])
 
 
 def asof(
@@ -270,21 +297,21 @@ def islands(
     width = slice_seconds(df, slice_s) * US_PER_S
     names = df.columns
     rows = df.withColumn("__us", F.unix_micros(t)).withColumn("__slice", floor_div(F.col("__us"), width))
-    placed = rows.repartition(*by, "__slice")
-    w = Window.partitionBy(*by, "__slice").orderBy("__us")
-    step = placed.withColumn("__brk", F.coalesce((F.col("__us") - F.lag("__us").over(w) > max_gap_us).cast("bigint"), F.lit(0)))
+    rows, keys, sl = placed(rows, by, "__slice")
+    w = Window.partitionBy(*keys, sl).orderBy("__us")
+    step = rows.withColumn("__brk", F.coalesce((F.col("__us") - F.lag("__us").over(w) > max_gap_us).cast("bigint"), F.lit(0)))
     local = step.withColumn("__loc", F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    slices = local.groupBy(*by, "__slice").agg(
+    slices = local.groupBy(*keys, sl).agg(
         F.min("__us").alias("__first"), F.max("__us").alias("__last"), F.max("__loc").alias("__n"),
         F.max(F.xxhash64(*[F.col(f"`{c}`") for c in local.columns])).alias("__touch"),
     )
-    ws = _by(by).orderBy("__slice")
+    ws = _by(keys).orderBy(sl)
     fresh = F.coalesce((F.col("__first") - F.lag("__last").over(ws) > max_gap_us).cast("bigint"), F.lit(1))
     slices = slices.withColumn("__fresh", fresh)
     before = F.coalesce(F.sum(F.col("__n") + F.col("__fresh")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = slices.select(*by, "__slice", (before + F.col("__fresh")).alias("__off"), "__touch")
+    offset = slices.select(*keys, sl, (before + F.col("__fresh")).alias("__off"), "__touch")
     offset = offset.where(F.col("__touch").isNotNull()).drop("__touch")
-    joined = local.join(offset, [*by, "__slice"], "left")
+    joined = local.join(offset, [*keys, sl], "left")
     return joined.select(*names, (F.col("__off") + F.col("__loc")).alias(out))
 
 
@@ -354,16 +381,19 @@ def ewma(
     q = 1.0 - alpha
     reach = max(1, math.ceil(math.log(1e-20) / (block * math.log(q))))
     b = floor_div(F.col(rn) - 1, block)
-    rows = df.withColumn("__b", b).withColumn("__i", (F.col(rn) - 1 - F.col("__b") * block).cast("double"))
+    names = df.columns
+    rows, by, blk = placed(df.withColumn("__b", b), by, "__b")
+    rows = rows.withColumn("__i", (F.col(rn) - 1 - F.col("__b") * block).cast("double"))
     x = F.col(value).cast("double")
     up = F.pow(F.lit(q), -F.col("__i"))
-    local = Window.partitionBy(*by, "__b").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*by, blk).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     num, den = F.sum(x * up).over(local), F.sum(F.when(x.isNotNull(), up)).over(local)
     end = F.pow(F.lit(q), F.lit(float(block - 1)) - F.col("__i"))
-    totals = rows.groupBy(*by, "__b").agg(
-        F.sum(x * end).alias("__n"), F.sum(F.when(x.isNotNull(), end)).alias("__d")
+    totals = rows.groupBy(*by, blk).agg(
+        F.sum(x * end).alias("__n"), F.sum(F.when(x.isNotNull(), end)).alias("__d"),
+        F.max(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).alias("__touch"),
     )
-    wb = _by(by).orderBy("__b")
+    wb = _by(by).orderBy(blk)
 
     def inflow(c):
         terms = [
@@ -374,9 +404,10 @@ def ewma(
             total = total + term
         return total
 
-    carry = totals.select(*by, "__b", inflow("__n").alias("__cn"), inflow("__d").alias("__cd"))
-    res = rows.select("*", num.alias("__ln"), den.alias("__ld")).join(carry, [*by, "__b"], "left")
+    carry = totals.select(*by, blk, "__touch", inflow("__n").alias("__cn"), inflow("__d").alias("__cd"))
+    carry = carry.where(F.col("__touch").isNotNull()).drop("__touch")
+    res = rows.select("*", num.alias("__ln"), den.alias("__ld")).join(carry, [*by, blk], "left")
     down = F.pow(F.lit(q), F.col("__i"))
     n = down * (F.coalesce("__ln", F.lit(0.0)) + F.lit(q) * F.col("__cn"))
     d = down * (F.coalesce("__ld", F.lit(0.0)) + F.lit(q) * F.col("__cd"))
-    return res.withColumn(out, F.when(d > 0, n / d)).select(*df.columns, out)
+    return res.withColumn(out, F.when(d > 0, n / d)).select(*names, out)
