@@ -42,8 +42,10 @@ def _by(keys: Sequence[str]):
 _NO_SLICE = -(2**62)
 
 
-def placed(df: DataFrame, keys: Sequence[str], slice_col: str) -> tuple[DataFrame, list[str], str]:
-    """Shuffle rows by (key, slice) on columns that are never NULL.
+def placed(
+    df: DataFrame, keys: Sequence[str], slice_col: str, keep: Sequence[str] | None = None
+) -> tuple[DataFrame, list[str], str]:
+    """Shuffle rows by (key, slice) on columns that are never NULL, carrying `keep` (default: all but the slice).
 
     Returns the frame, the names standing for the key (a NULL key is a group of its own) and the slice.
     Because the join back needs no NOT NULL filter on them, both branches of a scan keep one exchange.
@@ -60,7 +62,8 @@ def placed(df: DataFrame, keys: Sequence[str], slice_col: str) -> tuple[DataFram
         cols.append(flags.alias("__kn"))
         names.append("__kn")
     cols.append(F.coalesce(F.col(slice_col).cast("bigint"), F.lit(_NO_SLICE).cast("bigint")).alias("__sl"))
-    out = df.select("*", *cols)
+    carried = [c for c in df.columns if c != slice_col] if keep is None else list(keep)
+    out = df.select(*[F.col(f"`{c}`") for c in carried], *cols)
     return out.repartition(*names, "__sl"), names, "__sl"
 
 
@@ -73,8 +76,9 @@ def running(
     reverse: bool = False,
     inclusive: bool = True,
     overall: Mapping[str, tuple[str, Column]] | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add running aggregates per key; `slice_col` must be monotone in `order`.
+    """Add running aggregates per key; `slice_col` must be monotone in `order` and is not carried on.
 
     `order` already carries its directions; `reverse` says that slices are swept downwards.
     `overall` adds whole-key aggregates, taken from the same slice totals.
@@ -83,8 +87,8 @@ def running(
     """
     keys = list(keys)
     end = Window.currentRow if inclusive else -1
-    names = df.columns
-    rows, keys, slice_col = placed(df, keys, slice_col)
+    names = [c for c in df.columns if c != slice_col] if keep is None else list(keep)
+    rows, keys, slice_col = placed(df, keys, slice_col, names)
     local = (
         Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     )
@@ -157,7 +161,8 @@ def sweep(
     rows = rows.withColumn("__slice", floor_div(F.col("__t"), width))
     order = [F.col("__t").desc() if reverse else F.col("__t").asc(), F.col("__s").asc()]
     aggs = {n: (k, F.col(f"__v_{n}")) for n, k in kinds.items()}
-    swept = running(rows, by, order, "__slice", aggs, reverse=reverse)
+    keep = ["__t", "__s", "__left", *[f"__v_{n}" for n in kinds]]
+    swept = running(rows, by, order, "__slice", aggs, reverse=reverse, keep=keep)
     known = F.col("__t").isNotNull()
     return swept.where(F.col("__s") == 1).select("__left.*", *[F.when(known, F.col(n)).alias(n) for n in kinds])
 
@@ -268,7 +273,7 @@ def row_index(
     width = slice_seconds(df, slice_s) * US_PER_S
     rows = df.withColumn("__slice", floor_div(F.unix_micros(t), width))
     order = [F.col(t).asc(), *[F.col(c).asc() for c in ties]]
-    return running(rows, by, order, "__slice", {out: ("count", F.lit(1))}, overall=overall).drop("__slice")
+    return running(rows, by, order, "__slice", {out: ("count", F.lit(1))}, overall=overall)
 
 
 def row_blocks(df: DataFrame, rn: str, size: int, halo: int) -> DataFrame:
@@ -381,9 +386,9 @@ def ewma(
     q = 1.0 - alpha
     reach = max(1, math.ceil(math.log(1e-20) / (block * math.log(q))))
     b = floor_div(F.col(rn) - 1, block)
-    names = df.columns
+    names = [c for c in df.columns if c != "__b"]
     rows, by, blk = placed(df.withColumn("__b", b), by, "__b")
-    rows = rows.withColumn("__i", (F.col(rn) - 1 - F.col("__b") * block).cast("double"))
+    rows = rows.withColumn("__i", (F.col(rn) - 1 - F.col(blk) * block).cast("double"))
     x = F.col(value).cast("double")
     up = F.pow(F.lit(q), -F.col("__i"))
     local = Window.partitionBy(*by, blk).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)

@@ -133,6 +133,6 @@ def test_hot_key_is_spread_over_tasks(spark):
     out = scan.row_index(rows, ["machine"], "ts", slice_s=86400)
     assert out.agg(F.max("rn")).first()[0] == 20000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "__slice" in plan
+    assert "__sl" in plan
     sizes = rows.groupBy("machine", F.floor(F.unix_micros("ts") / 86_400_000_000)).count().agg(F.max("count")).first()[0]
     assert sizes <= 1440
