@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import packing, sharding, suffix_dedup, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = os.environ.get("MILLWRIGHT_TOKENIZERS")
@@ -33,6 +33,10 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packing.pack(cut)
@@ -42,5 +46,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op5_best_fit_packing, op6_token_counts)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_jump_shards, op3_toxicity, op5_best_fit_packing, op6_token_counts, op10_suffix_dedup)
+}
 ORACLES: dict[str, str] = {}
