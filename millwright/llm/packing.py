@@ -8,6 +8,7 @@ as the number of sequences falls and is above the bound of what is left.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +16,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +27,23 @@ LOOSE = 0.995
 """A sequence filled to a smaller share is taken apart when its group misses its bound."""
 CACHE = 400_000
 
-# The pre-token pattern of the vocabulary.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-#: Outside these, normalisation may do more than lower the case; such texts go to the library whole.
-UNSURE = regex.compile(r"[^\x00-įı-ſ]")
+#: Outside these, normalisation may do more than lower the case, or white space be cut differently; such texts go to the
+#: library whole.
+UNSURE = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 
 
 class Ids(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit numbers."""
+    """Word between white space -> its ids as little-endian unsigned 32-bit numbers; no token reaches over white space."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, pre_token: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(pre_token, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE:
             self.clear()
-        self[pre_token] = ids
+        self[word] = ids
         return ids
 
 
@@ -61,7 +60,7 @@ def encode(text: str, path: str) -> bytes:
     tokenizer, ids, marks = _loaded(path)
     if UNSURE.search(text) or any(m in text for m in marks):
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(map(ids.__getitem__, PATTERN.findall(text.lower())))
+    return b"".join(map(ids.__getitem__, text.lower().split()))
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
