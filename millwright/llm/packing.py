@@ -26,6 +26,7 @@ GROUP = 2048
 LOOSE = 0.995
 """A sequence filled to a smaller share is taken apart when its group misses its bound."""
 CACHE = 400_000
+"""Words in each of the two generations that a process keeps."""
 
 #: Outside these, normalisation may do more than lower the case, or white space be cut differently; such texts go to the
 #: library whole.
@@ -33,15 +34,21 @@ UNSURE = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 
 
 class Ids(dict):
-    """Word between white space -> its ids as little-endian unsigned 32-bit numbers; no token reaches over white space."""
+    """Word between white space -> its ids as little-endian unsigned 32-bit numbers; no token reaches over white space,
+    nor from a letter to the comma or stop after it. Words seen lately survive when the table is full."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            if word[-1] in ",." and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
