@@ -19,8 +19,8 @@ from .common import slices, staged, texts
 
 SIZES = (3, 4, 5)
 BITS = 20
-FEATURES = 8192
-MAX_ROWS = 20_000
+FEATURES = 4096
+MAX_ROWS = 8_000
 """Bound of the labelled rows that the model is fitted on, half of them for either label; a hash of the id draws them."""
 
 
@@ -144,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id
 
     learned = train.mapInArrow(rows, "y int, features array<int>").toPandas()  # at most about max_rows short lists
     y = learned["y"].to_numpy(np.float64)
-    row = np.repeat(np.arange(len(y)), learned["features"].map(len).to_numpy())
-    feature = np.concatenate([*learned["features"], np.zeros(0, np.int32)]).astype(np.int64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), learned["features"].map(len).to_numpy())
+    feature = np.concatenate([*learned["features"], np.zeros(0, np.int32)])
+    del learned
     weight = np.where(y == 1, n1 / m1, n0 / m0)
     w, bias = fit_logistic(row, feature, y, weight, values)
     return buckets, w * values, float(bias)
