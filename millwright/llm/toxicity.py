@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, key: str = "doc_id
     learned = train.mapInArrow(rows, "y int, features array<int>").toPandas()  # at most about max_rows short lists
     y = learned["y"].to_numpy(np.float64)
     row = np.repeat(np.arange(len(y), dtype=np.int32), learned["features"].map(len).to_numpy())
-    feature = np.concatenate([*learned["features"], np.zeros(0, np.int32)])
+    feature = np.concatenate([*learned["features"], np.zeros(0)]).astype(np.int32)
     del learned
     weight = np.where(y == 1, n1 / m1, n0 / m0)
     w, bias = fit_logistic(row, feature, y, weight, values)
