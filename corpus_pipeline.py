@@ -1,20 +1,52 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's docs. All but the last
+return the columns of `documents`. SQL cannot learn the classifier, so the stages are tested against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millwright.llm import packing
+from millwright.llm import decontamination, order_minhash, packing, suffix_dedup, toxicity
 from millwright.llm.common import staged, table
 from millwright.llm.queries import vocabulary
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class."""
+    return order_minhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that an earlier document has; what is emptied by it goes."""
+    cut = suffix_dedup.remove_repeats(docs)
+    cut = cut.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of what is left; the last stage, so its columns are those of the packing."""
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json")))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic), ("near_duplicates", drop_near_copies), ("substrings", cut_repeats),
+    ("decontamination", drop_contaminated), ("packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -250,3 +250,14 @@ def classes(
         F.col("doc").alias(key), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
     )
     return out.unionByName(missing)
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """Rows of `df` with one row of each class: the least key's, of several rows with that key the one of least text hash.
+
+    Rows without a key stay.
+    """
+    lead = classes(df, key, text, **how).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_lead")).distinct()
+    one = Window.partitionBy("_lead").orderBy(F.xxhash64(F.col(f"`{text}`")))
+    kept = df.join(lead, F.col(f"`{key}`") == F.col("_lead")).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    return kept.drop("_lead", "_row").unionByName(df.filter(F.col(f"`{key}`").isNull()))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = os.environ.get("MILLWRIGHT_TOKENIZERS")
@@ -33,10 +33,19 @@ def op1_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.remove_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return packing.pack(cut)
@@ -46,12 +55,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jump_shards, op3_toxicity, op5_best_fit_packing, op6_token_counts, op10_suffix_dedup)
-}
+    for f in (
+        op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
+        op8_order_minhash, op10_suffix_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -183,3 +183,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return scored.select(
         key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rows of `docs` that the classifier does not reject, all columns as they were; one narrow pass after the fit."""
+    buckets, weights, bias = fit(docs, labels, F.coalesce(held_out(key), F.lit(True)), key, text, max_rows=max_rows)
+    base = docs.withColumnRenamed(text, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = _index(buckets)
+        for part in slices(batches, "text"):
+            z = np.full(part.num_rows, bias)
+            if len(weights):
+                row, feature = features(texts(part.column("text")), at)
+                z += np.bincount(row, weights[feature], minlength=part.num_rows)
+            yield part.filter(pa.array(z < 0))
+
+    return base.mapInArrow(run, base.schema).withColumnRenamed("text", text)
