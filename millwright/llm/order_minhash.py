@@ -26,8 +26,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words before each row) for words between ASCII white space."""
+def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, words before each row, place of each word) for words between ASCII white space."""
     ink = ~SPACES[buf]
     head = ink.copy()
     head[1:] &= ~ink[:-1]
@@ -36,7 +36,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     tail = ink.copy()
     tail[:-1] &= ~ink[1:] | head[1:]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    return rolling.hashes(rolling.prefix(buf), start, end), np.searchsorted(start, offsets)
+    return rolling.hashes(rolling.prefix(buf), start, end), np.searchsorted(start, offsets), start
 
 
 def labelled_kmers(word: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,13 +48,7 @@ def labelled_kmers(word: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndar
     row = np.repeat(np.arange(len(n)), count)
     start = begin[row] + np.arange(len(row)) - before[row]
     h = rolling.hashes(p, start, np.minimum(start + k, begin[row + 1]))
-    own = rolling.mix(h ^ rolling.mix(row.astype(np.uint64), 7))
-    order = np.argsort(own, kind="stable")
-    new = np.ones(len(own), bool)
-    new[1:] = own[order][1:] != own[order][:-1]
-    at = np.arange(len(own))
-    label = np.empty(len(own), np.uint64)
-    label[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    label = rolling.occurrences(h, row)
     return rolling.mix(h + label * np.uint64(0xD6E8FEB86659FD93)), before
 
 
@@ -83,7 +77,7 @@ def sketches(docs: DataFrame, k: int = K, tables: int = TABLES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            word, begin = words(*text_buffer(part.column(2)))
+            word, begin, _ = words(*text_buffer(part.column(2)))
             n = np.diff(begin)
             keys = sketch(*labelled_kmers(word, begin, k), tables).T[n > 0].ravel().view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, tables, 0))))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, fingerprints, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = os.environ.get("MILLWRIGHT_TOKENIZERS")
@@ -59,6 +59,10 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
-        op8_order_minhash, op10_suffix_dedup,
+        op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -48,3 +48,15 @@ def windows(p: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of k values."""
     n = max(len(p) - k, 0)
     return mix((p[k:] - p[:n]) * _inverses[:n])
+
+
+def occurrences(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many equal hashes of the same row stand before each one."""
+    own = mix(h ^ mix(row.astype(np.uint64), 7))
+    order = np.argsort(own, kind="stable")
+    new = np.ones(len(own), bool)
+    new[1:] = own[order][1:] != own[order][:-1]
+    at = np.arange(len(own))
+    label = np.empty(len(own), np.uint64)
+    label[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return label
