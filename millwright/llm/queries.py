@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity
+from . import decontamination, fingerprints, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, wrapper
 from .common import table
 
 TOKENIZERS = os.environ.get("MILLWRIGHT_TOKENIZERS")
@@ -55,6 +55,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
-        op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup,
+        op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
