@@ -3,7 +3,9 @@
 Every distinct text gets TABLES keys. A key draws the two least of the text's occurrence-labelled k-mers of words and
 keeps them in text order, so texts agree in a key more often the closer they are in edit distance. Members of a bucket
 are aligned with its leader; those that are not near it meet the next leader among themselves until none is left, so a
-bucket never emits its pairs. Classes are the connected components of the verified links.
+bucket never emits its pairs. A bucket that keeps many unlike texts, as a line that is common in the data makes it, is
+split by prefix filtering: texts near each other share all but a fifth of their words, so each shares one of the rarest
+fifth of its own. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from .common import slices, staged, text_buffer
 K = 5
 TABLES = 12
 SIMILARITY = 0.8
+LEADERS = 2
+"""Rounds of leaders that a bucket of keys gets before its rest is split by rare words."""
+COMMON = 4096
+"""Words of the rest that are told apart by how common they are; all others count as equally rare."""
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -161,37 +167,75 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
     for batch in batches:
         texts = batch.column(2), batch.column(3)
         ok = [near(x.as_py(), y.as_py(), similarity) for x, y in zip(*texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["doc", "leader", "ok"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+
+def _bag(text: str) -> list[tuple[int, int]]:
+    """(hash, occurrence) of the words of a text."""
+    buf, offsets = text_buffer(pa.array([text], pa.string()))
+    word, _, _ = words(buf, offsets)
+    return list(zip(word.view(np.int64).tolist(), rolling.occurrences(word, np.zeros(len(word), np.int64)).tolist(), strict=True))
+
+
+def _split(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Members of each bucket dealt anew by each word of their prefix: the rarest words, as many as a near text may lack
+    and one more. Two members that are near share one of them, whatever order the words are ranked in."""
+    rest = staged(texts.join(member.select("doc").distinct(), "doc", "left_semi"), "rest")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = [w for t in part.column("text").to_pylist() for w in {w for w, _ in _bag(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["w"])
+
+    counted = rest.mapInArrow(distinct, "w bigint").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rank = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(COMMON).collect()}
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            lists = []
+            for t in part.column("text").to_pylist():
+                bag = sorted(_bag(t), key=lambda x: (rank.get(x[0], 0), x))
+                least = int(np.ceil(similarity * len(bag) - 1e-9))
+                lists.append([hash(x) for x in bag[: len(bag) - least + 1]])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(lists, pa.list_(pa.int64()))], ["doc", "prefix"])
+
+    prefixes = rest.mapInArrow(prefix, "doc bigint, prefix array<bigint>")
+    dealt = member.join(prefixes, "doc").select("doc", "n_words", "key", F.explode("prefix").alias("w"))
+    return dealt.select("doc", "n_words", F.xxhash64("key", "w").alias("key"))
+
+
+def _shared(member: DataFrame) -> DataFrame:
+    """Members of buckets with more than one."""
+    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return staged(member.join(several, "key"), "members")
 
 
 def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified (doc, leader) pairs of distinct texts. found: sketches of distinct texts; docs: (doc, text)."""
-    member = found.select("doc", "n_words", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    member = staged(member.join(shared, "key"), "members")
-    wanted = member.select("doc").distinct()
-    texts = staged(docs.join(wanted, "doc", "left_semi").select("doc", "text"), "texts")
-    done: DataFrame | None = None
+    """Verified pairs (a, b), a < b, of distinct texts. found: sketches of distinct texts; docs: (doc, text)."""
+    member = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
+    texts = staged(docs.join(member.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "texts")
+    done, turn = None, 0
     while not member.isEmpty():
+        if turn == LEADERS:
+            member = _shared(_split(member, texts, similarity))
+        turn += 1
         # every bucket draws its own leader, so a document that joins one class can lead elsewhere
-        leader = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc").alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m"))).alias("l"))
-        led = staged(member.join(leader.select("key", "l.leader", "l.m"), "key").filter("doc != leader"), "led")
+        drawn = F.min(F.struct(F.xxhash64("key", "doc").alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
+        leader = member.groupBy("key").agg(drawn.alias("l")).select("key", "l.leader", "l.m")
+        led = staged(member.join(leader, "key").filter("doc != leader").withColumns({"a": F.least("doc", "leader"), "b": F.greatest("doc", "leader")}), "led")
         close = F.least("n_words", "m") >= similarity * F.greatest("n_words", "m") - 1e-9
-        pairs = led.filter(close).select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+        pairs = led.filter(close).select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
             texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
         )
-        fresh = staged(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint, ok boolean"), "verified")
+        fresh = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint, ok boolean")
+        fresh = staged(fresh, "verified")
         done = fresh if done is None else done.unionByName(fresh)
-        ok = done.filter("ok").select("a", "b")
-        linked = led.join(ok, (F.least("doc", "leader") == F.col("a")) & (F.greatest("doc", "leader") == F.col("b")), "left_anti")
-        rest = linked.select("key", "doc", "n_words")
-        alone = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        member = staged(rest.join(alone, "key"), "members")
+        member = _shared(led.join(done.filter("ok"), ["a", "b"], "left_anti").select("doc", "n_words", "key"))
     if done is None:
-        return texts.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+        return docs.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     return done.filter("ok").select("a", "b")
 
 

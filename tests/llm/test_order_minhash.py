@@ -63,6 +63,23 @@ def test_classes_equal_all_pairs(spark, docs):
     assert got[given[len(rows)][0]].n_copies == 5
 
 
+def test_common_line(spark, docs, monkeypatch):
+    """Many unlike short texts share a line; the pairs among them are found all the same, in a few rounds."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(14))
+    rows = []
+    for i in range(0, 160, 2):
+        own = [word() for _ in range(16)]
+        rows += [(i, f"{line} {' '.join(own)}"), (i + 1, f"{line} {' '.join(own[:-2] + [word(), word()])}")]
+    rounds = []
+    whole = om._shared
+    monkeypatch.setattr(om, "_shared", lambda m: rounds.append(1) or whole(m))
+    got = {r.doc_id: r.class_id for r in om.classes(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(160)}
+    assert len(rounds) < 14
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in om.components(edges).collect()}
