@@ -31,7 +31,7 @@ def floor_us(x: Column, width: int) -> Column:
 
 
 def value_slice(x: Column, steps: int = 64) -> Column:
-    """Order-preserving coarse bucket of a double: signed logarithmic steps."""
+    """Order-preserving coarse bucket of a double: signed logarithmic steps. For values such as scores whose range is known."""
     x = x.cast("double")
     return (F.signum(x) * F.floor(F.log1p(F.abs(x)) * F.lit(steps))).cast("bigint")
 

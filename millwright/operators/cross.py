@@ -208,17 +208,17 @@ def coupling_summary(pairs: DataFrame) -> DataFrame:
     return mx.join(med, keys).join(best, keys)
 
 
-def clusters(pairs: DataFrame, thr: float = 0.5, max_rounds: int = 50) -> DataFrame:
+def clusters(pairs: DataFrame, thr: float = 0.5) -> DataFrame:
     """Connected components of machines linked at r >= thr, as (machine, cluster = smallest member).
 
     Labels jump along two hops per round (own minimum, then the minimum of that label's own label), so
     rounds grow with the logarithm of a component's diameter; each round is cut by a checkpoint on
-    shared storage, which also lets the loop survive a lost executor.
+    shared storage, which also lets the loop survive a lost executor. It ends when no label moves.
     """
     e = pairs.where(F.col("r") >= thr).select("a", "b")
     edges = cut(e.union(e.select("b", "a")).toDF("src", "dst").distinct())
     labels = cut(edges.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node"))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         nxt = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.timex import MS_PER_HOUR, US_PER_MIN, us
+from .scan import attach, sweep
 
 TOP_ROLES_DDL = "array<struct<role:string,dev_score:double,direction:string>>"
 META = {
@@ -109,40 +110,70 @@ def unplanned(stops: DataFrame, min_minutes: float = 0.0) -> DataFrame:
     return out.where(F.col("minutes") >= min_minutes) if min_minutes > 0 else out
 
 
+LEVELS = 27
+"""Power-of-two levels of hours that hold every length between two timestamps."""
+
+
+def padded(windows: DataFrame, pre_min: int = 15, post_min: int = 5) -> DataFrame:
+    """Windows with the padded bounds w0 and w1 in microseconds."""
+    return windows.withColumn("w0", us("w_start") - pre_min * US_PER_MIN).withColumn("w1", us("w_end") + post_min * US_PER_MIN)
+
+
+def standing(windows: DataFrame, events: DataFrame) -> DataFrame:
+    """Events with e0, e1 and `__open`: without an end, or with one that no padded window starts after.
+
+    Such an event touches every window that starts after it, so it is counted, not paired.
+    """
+    last = windows.agg(F.max("w0").alias("__last"))
+    e = attach(events.withColumn("e0", us("start")).withColumn("e1", us("end")), last)
+    return e.withColumn("__open", F.col("e1").isNull() | F.coalesce(F.col("e1") >= F.col("__last"), F.lit(False))).drop("__last")
+
+
 def overlapping(
     windows: DataFrame, events: DataFrame, key: str, pre_min: int = 15, post_min: int = 5
 ) -> DataFrame:
-    """Events touching each padded window [start - pre, end + post] of the same machine.
+    """Events touching each padded window [start - pre, end + post] of the same machine, but for standing ones.
 
-    Closed events sit in at most two bins of the power-of-two level that fits their length, and
-    every window probes one bin range per level; open events are matched through their start day
-    onward by a separate level. Only overlapping candidates meet, never all events of a machine.
+    Paired are events that start inside the window and closed ones that run at its start. Earlier events
+    that stand open (see `standing`) touch all later windows of their machine; `open_before` and
+    `standing` tell them without a pair each. Closed events sit in at most two bins of the power-of-two
+    level that fits their length, and every window probes one bin of each level.
     """
-    w0 = us("w_start") - pre_min * US_PER_MIN
-    w1 = us("w_end") + post_min * US_PER_MIN
-    w = windows.withColumn("w0", w0).withColumn("w1", w1)
-    e = events.withColumn("e0", us("start")).withColumn("e1", us("end"))
+    w = padded(windows, pre_min, post_min)
+    e = standing(w, events)
 
     hour = 3600 * 1_000_000
     # (a) events that start inside the window: hour bins of the start
     wa = w.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("w0") / hour), F.floor(F.col("w1") / hour))))
     ea = e.withColumn("__bin", F.floor(F.col("e0") / hour))
-    inside = wa.join(ea, ["machine", "__bin"]).where("e0 >= w0 AND e0 <= w1").drop("__bin")
+    inside = wa.join(ea, ["machine", "__bin"]).where("e0 >= w0 AND e0 <= w1")
 
-    # (b) events already running at w0: dyadic levels of the event length
+    # (b) closed events already running at w0: dyadic levels of the event length
     length_h = F.greatest(F.ceil((F.col("e1") - F.col("e0")) / hour), F.lit(1))
     level = F.ceil(F.log2(length_h.cast("double"))).cast("int")
     width = F.pow(F.lit(2.0), level) * hour
     first, last = F.floor(F.col("e0") / width), F.floor(F.col("e1") / width)
     eb = (
-        e.where("e1 IS NOT NULL AND e1 >= e0").withColumn("__lvl", level)
+        e.where("NOT __open AND e1 >= e0").withColumn("__lvl", level)
         .withColumn("__bin", F.explode(F.sequence(first, last)))
     )
-    wb = w.withColumn("__lvl", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    wb = w.withColumn("__lvl", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     wb = wb.withColumn("__bin", F.floor(F.col("w0") / (F.pow(F.lit(2.0), F.col("__lvl")) * hour)))
-    running = wb.join(eb, ["machine", "__lvl", "__bin"]).where("e0 < w0 AND e1 >= w0").drop("__lvl", "__bin")
-
-    # (c) events without an end that started before the window: they touch every later window
-    open_ended = w.join(e.where("e1 IS NULL"), "machine").where("e0 < w0")
+    running = wb.join(eb, ["machine", "__lvl", "__bin"]).where("e0 < w0 AND e1 >= w0")
     cols = [key, "machine", "w0", "w1", *[c for c in events.columns if c not in (key, "machine")]]
-    return inside.select(*cols).unionByName(running.select(*cols)).unionByName(open_ended.select(*cols))
+    return inside.select(*cols).unionByName(running.select(*cols))
+
+
+def open_before(
+    windows: DataFrame, events: DataFrame, key: str, pre_min: int = 15, post_min: int = 5, *, slice_s: int | None = None
+) -> DataFrame:
+    """(key, machine, source, category, n_open): standing events that began before each padded window.
+
+    A running count over time per machine, source and category; categories without any are left out.
+    """
+    w = padded(windows, pre_min, post_min)
+    e = standing(w, events).where("__open")
+    by = ["machine", "source", "category"]
+    asked = w.select(key, "machine", "w0").join(e.select(*by).distinct(), "machine")
+    out = sweep(asked, by, F.col("w0"), [(e, F.col("e0"), {"n_open": ("count", F.col("e0"))})], feed_first=False, slice_s=slice_s)
+    return out.where("n_open > 0").select(key, *by, "n_open")

@@ -22,11 +22,11 @@ from .scan import attach
 
 
 def balanced(train: DataFrame) -> DataFrame:
-    """Row weights n / (2 * class size)."""
-    sizes = train.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
-    tot = sizes.agg(F.sum("c").alias("t"))
-    w = attach(sizes, tot).select("y", (F.col("t") / (2.0 * F.col("c"))).alias("weight"))
-    return train.join(w, "y")
+    """Row weights n / (2 * class size). The two class sizes are one row next to every training row, no join on y."""
+    sizes = train.agg(F.count_if(F.col("y") == 1).alias("__ones"), F.count_if(F.col("y") == 0).alias("__zeros"))
+    own = F.when(F.col("y") == 1, F.col("__ones")).when(F.col("y") == 0, F.col("__zeros"))
+    weight = (F.col("__ones") + F.col("__zeros")) / (2.0 * own)
+    return attach(train, sizes).where(own.isNotNull()).withColumn("weight", weight).drop("__ones", "__zeros")
 
 
 def usable_columns(train: DataFrame, columns: Sequence[str]) -> list[str]:

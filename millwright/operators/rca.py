@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.timex import MS_PER_HOUR, US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_us, half_even, half_up, hours, us
-from .events import overlapping
-from .scan import asof, attach
+from .events import overlapping, padded, standing
+from .scan import asof, attach, sweep
 
 GENERIC = "UNPLANNED_RUNSTOP"
 RECURRING = ("CONNECTIVITY", "AIR_PRESSURE", "EMERGENCY_STOP", "UNPLANNED_RUNSTOP")
@@ -102,14 +102,27 @@ def cards(
     def of(src: str, x: Column) -> Column:
         return F.when(F.col("source") == src, x)
 
-    first_alarm = F.min(of("alert", F.struct("start", "label", "category")))
-    first_ad = F.min(of("ad_window", F.struct("start", F.to_json("meta.top_roles").alias("roles"))))
-    linked = F.sum(F.when((F.col("source") == "stoppage") & (F.col("category") == GENERIC), F.col("duration_ms")))
-    facts = hit.groupBy(key).agg(
-        F.count(of("alert", F.lit(1))).alias("n_alarms"), F.count(of("stoppage", F.lit(1))).alias("n_stops"),
-        F.count(of("offline", F.lit(1))).alias("n_offline"), F.count(of("ad_window", F.lit(1))).alias("n_drift"),
-        first_alarm.alias("alarm"), first_ad.alias("ad"), linked.alias("linked_ms"),
-    )
+    generic = (F.col("source") == "stoppage") & (F.col("category") == GENERIC)
+    asked = {
+        "n_alarms": ("count", of("alert", F.lit(1))), "n_stops": ("count", of("stoppage", F.lit(1))),
+        "n_offline": ("count", of("offline", F.lit(1))), "n_drift": ("count", of("ad_window", F.lit(1))),
+        "alarm": ("min", of("alert", F.struct("start", "label", "category"))),
+        "ad": ("min", of("ad_window", F.struct("start", F.to_json("meta.top_roles").alias("roles")))),
+        "linked_ms": ("sum", F.when(generic, F.col("duration_ms").cast("double"))),
+    }
+    fold = {"count": F.count, "min": F.min, "sum": F.sum}
+    paired = hit.groupBy(key).agg(*[fold[how](x).alias(f"p_{name}") for name, (how, x) in asked.items()])
+    # what stands open from before is met by one running aggregate for each fact
+    bounds = padded(w, pre_min, post_min)
+    before = sweep(
+        bounds.select(key, "machine", "w0"), ["machine"], F.col("w0"),
+        [(standing(bounds, ev).where("__open"), F.col("e0"), asked)], feed_first=False,
+    )
+    facts = before.join(paired, key, "left")
+    for name, (how, _) in asked.items():
+        own, old = F.col(f"p_{name}"), F.col(name)
+        facts = facts.withColumn(name, F.least(own, old) if how == "min" else F.coalesce(own + old, own, old))
+    facts = facts.select(key, *asked)
     lags = alarm_to_stop(alerts, stops).where("matched").groupBy("machine").agg(F.min("lag_seconds").alias("min_lag"))
     casc = cascades(alerts).select(
         "machine", us("bucket_start").alias("__b"), F.col("n_alarms").alias("size"), "root_alarm", "root_category",

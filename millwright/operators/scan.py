@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.timex import US_PER_S, floor_div, value_slice
+from ..functions.timex import US_PER_S, floor_div
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 _CARRY = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.sum}
@@ -320,6 +320,23 @@ def islands(
     return joined.select(*names, (F.col("__off") + F.col("__loc")).alias(out))
 
 
+def value_slices(folded: DataFrame, by: Sequence[str], value: str, steps: int) -> DataFrame:
+    """Add `__slice`, the range of its key that a value falls into, with bounds drawn from the data.
+
+    The bounds are approximate quantiles of the distinct values, so each slice holds about a `steps`-th of them whether
+    they are narrow, wide or skewed; they only divide the work, so the approximation changes no result.
+    """
+    cuts = F.percentile_approx(value, [i / steps for i in range(1, steps)], 20 * steps)
+    bounds = folded.groupBy(*by).agg(cuts.alias("__cuts"))
+    renamed = bounds.select(*[F.col(k).alias(f"__b_{k}") for k in by], "__cuts")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
+    joined = folded.join(renamed, same).drop(*[f"__b_{k}" for k in by])
+    place = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    return joined.withColumn("__slice", place.cast("bigint")).drop("__cuts")
+
+
 def percentiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], *, count: str | None = None,
     steps: int = 64,
@@ -336,8 +353,8 @@ def percentiles(
         df.where(F.col(value).isNotNull())
         .select(*by, F.col(value).cast("double").alias("__x"))
         .groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__slice", value_slice(F.col("__x"), steps))
     )
+    v = value_slices(v, by, "__x", steps)
     ranked = running(
         v, by, [F.col("__x").asc()], "__slice", {"__cum": ("sum", F.col("__n"))}, overall={"__tot": ("sum", F.col("__n"))}
     )
@@ -355,7 +372,7 @@ def percentiles(
 
 
 def rank_share(
-    df: DataFrame, by: Sequence[str], value: str, *, steps: int = 1024, out: str = "pct"
+    df: DataFrame, by: Sequence[str], value: str, *, steps: int = 64, out: str = "pct"
 ) -> DataFrame:
     """Average-tie rank divided by the number of non-null values of the key, in (0, 1]."""
     by = list(by)
@@ -364,8 +381,8 @@ def rank_share(
     v = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__slice", value_slice(F.col(value), steps))
     )
+    v = value_slices(v, by, value, steps)
     joined = running(
         v, by, [F.col(value).asc()], "__slice", {"__cum": ("sum", F.col("__n"))}, overall={"__tot": ("sum", F.col("__n"))}
     )
@@ -380,10 +397,15 @@ def ewma(
     """Bias-corrected exponentially weighted mean over densely numbered rows; NULLs only decay.
 
     With q = 1 - alpha, weights q^(t-i) factor as q^t * q^-i, so a running sum inside a block plus the
-    decayed block totals before it is the full recursion, without a user function.
+    decayed block totals before it is the full recursion, without a user function. Blocks are cut short
+    enough that the powers stay far from the limits of a double. Until a block's first value the mean is
+    the one at the end of the last block that has any, however many blocks back that is.
     """
+    if not 0.0 < alpha < 1.0:
+        raise ValueError("alpha must lie between 0 and 1")
     by = list(by)
     q = 1.0 - alpha
+    block = max(1, min(block, int(300 / -math.log(q))))
     reach = max(1, math.ceil(math.log(1e-20) / (block * math.log(q))))
     b = floor_div(F.col(rn) - 1, block)
     names = [c for c in df.columns if c != "__b"]
@@ -400,19 +422,22 @@ def ewma(
     )
     wb = _by(by).orderBy(blk)
 
-    def inflow(c):
-        terms = [
-            F.coalesce(F.lag(c, k).over(wb), F.lit(0.0)) * F.lit(q ** ((k - 1) * block)) for k in range(1, reach + 1)
-        ]
-        total = terms[0]
+    def decayed(c):
+        """Total of up to `reach` blocks before this one, weighted to the last row of the block before."""
+        terms = [F.when(F.lag(blk, k).over(wb) >= F.col(blk) - reach, F.lag(c, k).over(wb)
+                        * F.pow(F.lit(q), ((F.col(blk) - F.lag(blk, k).over(wb) - 1) * block).cast("double"))) for k in range(1, reach + 1)]
+        total = F.coalesce(terms[0], F.lit(0.0))
         for term in terms[1:]:
-            total = total + term
+            total = total + F.coalesce(term, F.lit(0.0))
         return total
 
-    carry = totals.select(*by, blk, "__touch", inflow("__n").alias("__cn"), inflow("__d").alias("__cd"))
-    carry = carry.where(F.col("__touch").isNotNull()).drop("__touch")
+    carry = totals.select("*", decayed("__n").alias("__cn"), decayed("__d").alias("__cd"))
+    whole = F.lit(q ** block)
+    mean = (F.col("__n") + whole * F.col("__cn")) / (F.col("__d") + whole * F.col("__cd"))
+    held = F.last(F.when(F.col("__d") > 0, mean), ignorenulls=True)
+    carry = carry.withColumn("__held", held.over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+    carry = carry.where(F.col("__touch").isNotNull()).drop("__touch", "__n", "__d")
     res = rows.select("*", num.alias("__ln"), den.alias("__ld")).join(carry, [*by, blk], "left")
-    down = F.pow(F.lit(q), F.col("__i"))
-    n = down * (F.coalesce("__ln", F.lit(0.0)) + F.lit(q) * F.col("__cn"))
-    d = down * (F.coalesce("__ld", F.lit(0.0)) + F.lit(q) * F.col("__cd"))
-    return res.withColumn(out, F.when(d > 0, n / d)).select(*names, out)
+    n = F.col("__ln") + F.lit(q) * F.col("__cn")
+    d = F.col("__ld") + F.lit(q) * F.col("__cd")
+    return res.withColumn(out, F.when(F.col("__ld") > 0, n / d).otherwise(F.col("__held"))).select(*names, out)

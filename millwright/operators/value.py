@@ -15,9 +15,7 @@ from .kpi import prorate
 from .scan import range_max
 from .sessions import risk_episodes
 
-ASSUMPTION_LABEL = (
-    "USER-PROVIDED ASSUMPTIONS: the data holds no cost or price, treat currency figures as hypotheses."
-)
+ASSUMPTION_LABEL = "Entered by the user, not measured; results in currency are only as good as this entry."
 
 
 @dataclass(frozen=True)

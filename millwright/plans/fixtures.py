@@ -85,7 +85,7 @@ SELECT machine, concat('u',CAST(m AS STRING)) AS unit_uid, date_trunc('day', ts)
   3600000*count(CASE WHEN event_type IN ('click','view') THEN 1 END) AS PlannedTime,
   count(CASE WHEN event_type='purchase' THEN 1 END) AS ProductSum,
   count(CASE WHEN event_type='purchase' AND k < 5 THEN 1 END) AS ScrapeSum
-FROM ev WHERE user_id < 150 GROUP BY machine, m, date_trunc('day', ts)""",
+FROM ev GROUP BY machine, m, date_trunc('day', ts)""",
     "fx_oee_all": """
 SELECT * FROM fx_oee_components UNION ALL
 SELECT 'PLANT' AS machine, 'plant' AS unit_uid, trans_date, sum(WorkTotal), sum(PlannedStop),
@@ -203,12 +203,13 @@ class Plant:
                 self._frames[name] = self._scored()
             else:
                 text = VIEWS[name].format(**_SPARK)
-                for t in TABLES:
-                    if re.search(rf"\b{t}\b", text):
-                        self.table(t).createOrReplaceTempView(t)
-                for dep in _needs(name):
-                    self.view(dep).createOrReplaceTempView(dep)
+                used = {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", text)} | {dep: self.view(dep) for dep in _needs(name)}
+                for n, frame in used.items():  # names that a user's own views do not meet
+                    frame.createOrReplaceTempView(f"_mw_{n}")
+                    text = re.sub(rf"\b{n}\b(?=[\s)]|$)", f"_mw_{n}", text)
                 self._frames[name] = self.spark.sql(text)
+                for n in used:
+                    self.spark.catalog.dropTempView(f"_mw_{n}")
         return self._frames[name]
 
     def _scored(self) -> DataFrame:
@@ -230,11 +231,19 @@ class Plant:
         return stage(future_label(rows, stops, horizon_min=60), "risk")
 
 
-_PLANTS: dict[tuple[int, str], Plant] = {}
+_PLANTS: dict[tuple, Plant] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in the folder, by the file system that Spark reads it from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def plant(spark: SparkSession, folder: str) -> Plant:
-    key = (id(spark), folder)
+    """The views of a folder, built anew when its files have changed."""
+    key = (id(spark), folder, _state(spark, folder))
     if key not in _PLANTS or _PLANTS[key].spark is not spark:
         _PLANTS.clear()
         _PLANTS[key] = Plant(spark, folder)

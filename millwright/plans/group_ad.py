@@ -73,7 +73,7 @@ WINDOW w AS (PARTITION BY machine ORDER BY rn)""", "ewma")
 def _(p):
     gaps = p.scored.withColumn("x", F.when(F.col("event_id") % 7 > 0, F.col("risk")))
     rows = scan.row_index(gaps, ["machine"], "ts", ties=("event_id",))
-    return scan.ewma(rows, ["machine"], "rn", "x", 0.05, block=256).select("machine", "ts", "event_id", "ewma")
+    return scan.ewma(rows, ["machine"], "rn", "x", 0.05).select("machine", "ts", "event_id", "ewma")
 
 
 shared("o_raw", "SELECT machine, ts, quantile_cont(dev_score, 0.95::DOUBLE) AS score_raw FROM o_dev GROUP BY 1,2")

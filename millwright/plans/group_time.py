@@ -196,7 +196,7 @@ ROLL_OUT = [f"{c}__{s}" for c in ROLL for s in ("roll_mean", "roll_std", "slope"
 
 @query("rolling_stats", f"SELECT machine, ts, {','.join(_roll_sql(c) for c in ROLL)} FROM o_live {ROLL_WINDOW}", " ".join(ROLL_OUT))
 def _(p):
-    f = predict.rolling_stats(views.live_grid(p), ROLL, block=128)
+    f = predict.rolling_stats(views.live_grid(p), ROLL)
     return f.select("machine", "ts", *ROLL_OUT)
 
 
@@ -380,20 +380,30 @@ def _(p):
 
 # ------------------------------------------------------------ windows x events
 
+shared("o_ow", """
+SELECT id, machine, started_on - INTERVAL 15 MINUTE AS w0, coalesce(ended_on, started_on) + INTERVAL 5 MINUTE AS w1 FROM fx_stops
+WHERE display_text='Undefined Stoppage'""")
+shared("o_oe", """
+SELECT *, end_ts IS NULL OR end_ts >= (SELECT max(w0) FROM o_ow) AS is_open FROM (
+  SELECT machine, source, category, label, start_ts, end_ts FROM o_stops UNION ALL SELECT machine, source, category, label, start_ts, end_ts FROM o_alerts
+  UNION ALL SELECT machine, source, category, label, start_ts, end_ts FROM o_offline)""")
+
+
 @query("interval_overlap", """
-SELECT w.machine, w.id, e.source, e.category, e.label, e.start_ts AS start, e.end_ts AS "end" FROM (
-  SELECT id, machine, started_on - INTERVAL 15 MINUTE AS w0, coalesce(ended_on, started_on) + INTERVAL 5 MINUTE AS w1 FROM fx_stops
-  WHERE display_text='Undefined Stoppage') w
-JOIN (SELECT machine, source, category, label, start_ts, end_ts FROM o_stops UNION ALL SELECT machine, source, category, label, start_ts, end_ts FROM o_alerts
-  UNION ALL SELECT machine, source, category, label, start_ts, end_ts FROM o_offline) e
-  ON e.machine=w.machine AND e.start_ts <= w.w1 AND (e.end_ts >= w.w0 OR e.end_ts IS NULL OR e.start_ts >= w.w0)""")
+SELECT w.machine, w.id, e.source, e.category, e.label, e.start_ts AS start, e.end_ts AS "end", CAST(1 AS BIGINT) AS n_events FROM o_ow w JOIN o_oe e
+  ON e.machine=w.machine AND e.start_ts <= w.w1 AND (e.start_ts >= w.w0 OR NOT e.is_open AND e.end_ts >= w.w0)
+UNION ALL
+SELECT w.machine, w.id, e.source, e.category, NULL, NULL, NULL, count(*) FROM o_ow w JOIN o_oe e ON e.machine=w.machine AND e.start_ts < w.w0 AND e.is_open
+GROUP BY w.machine, w.id, e.source, e.category""")
 def _(p):
+    """One row per paired event; one per window, source and category for the open events from before it."""
     w = p.stops.where("display_text = 'Undefined Stoppage'").select(
         "id", "machine", F.col("started_on").alias("w_start"), F.coalesce("ended_on", "started_on").alias("w_end")
     )
     s = events.event_stream(views.alerts(p), views.stops(p), views.offline(p)).drop("unit_uid", "meta")
-    hit = events.overlapping(w, s, "id")
-    return hit.select("machine", "id", "source", "category", "label", "start", "end")
+    hit = events.overlapping(w, s, "id").select("machine", "id", "source", "category", "label", "start", "end", F.lit(1).cast("bigint").alias("n_events"))
+    old = events.open_before(w, s, "id").withColumnRenamed("n_open", "n_events")
+    return hit.unionByName(old, allowMissingColumns=True)
 
 
 @query("range_future_first", """

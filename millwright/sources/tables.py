@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob as _glob
+import csv
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +48,14 @@ SCHEMAS = {
 TURKISH_CODEPAGE = "windows-1254"
 
 
+# Tables whose text may hold line breaks; the others stay splittable.
+MULTILINE = {"alert", "mes_reading_def", "monitor_reading_def", "unit", "device", "telemetry_string", "oee_summary"}
+
+
 def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
+    """Names in the first line; quoted names may hold commas."""
     line = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-    return [c.strip().strip('"') for c in line[0][0].split(",")] if line else []
+    return [c.strip().lstrip("\ufeff") for c in next(csv.reader([line[0][0]]))] if line else []
 
 
 def coerce(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
@@ -76,13 +81,15 @@ def coerce(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 
 def read_csv(
     spark: SparkSession, folder: str, table: str, schema: str | None = None, *, encoding: str = TURKISH_CODEPAGE,
-    multiline: bool = True, typed: bool = True,
+    multiline: bool | None = None, typed: bool = True,
 ) -> DataFrame:
     """One logical table from `<table>_NNN.csv` parts, else `<table>.csv`.
 
-    Columns are taken by header name. Event and dimension text may hold line breaks (`multiline`);
-    telemetry must be read with multiline=False so that big files stay splittable.
+    Columns are taken by header name. Only the tables of MULTILINE are read as one record stream per file, unless
+    `multiline` says otherwise; large files of the others are split over tasks.
     """
+    if multiline is None:
+        multiline = table in MULTILINE
     if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     parts = sorted(_list(spark, f"{folder}/{table}_[0-9][0-9][0-9].csv"))
@@ -104,9 +111,7 @@ def read_csv(
 
 
 def _list(spark: SparkSession, pattern: str) -> list[str]:
-    """Names behind a glob, through Hadoop so that any file system works; plain paths use the local disk."""
-    if "://" not in pattern:
-        return _glob.glob(pattern)
+    """Names behind a glob, by the file system that Spark itself reads the path from."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +24,54 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return r.parquet(path)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+FAR = "9000-01-01 00:00:00"
+
+
+class Closing:
+    """The end of a finite input: one row far ahead that moves the watermark past every open window.
+
+    `over(stream, column)` unions a second file stream that is empty while the input is drained; `drain` then writes the
+    row to it and lets the query go on from its checkpoint. The row's own window stays open and is never emitted.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder, self.column = spark, f"{spark.sparkContext.getCheckpointDir()}/closing-{uuid.uuid4().hex}", None
+
+    def over(self, stream: DataFrame, column: str) -> DataFrame:
+        self.column = column
+        self._rows([]).write.parquet(self.folder)
+        end = self.spark.readStream.schema(f"`{column}` timestamp").parquet(self.folder)
+        return stream.unionByName(end, allowMissingColumns=True)
+
+    def _rows(self, instants: list[str]) -> DataFrame:
+        return self.spark.createDataFrame([(x,) for x in instants], "t string").select(F.to_timestamp("t").alias(self.column))
+
+    def close(self) -> None:
+        self._rows([FAR]).coalesce(1).write.mode("append").parquet(self.folder)
+
+
+def drain(stream: DataFrame, name: str, closing: Closing | None = None) -> DataFrame:
     """Process everything available now into a Parquet sink with its own checkpoint, then read the sink.
 
-    In append mode a window is written once the watermark has passed its end, so the still open
-    windows at the end of the input are not part of the result.
+    In append mode a window is written once the watermark has passed its end. With `closing` the input is taken to be
+    finite, and the windows still open at its end are written as well.
     """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    q = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+
+    def go() -> None:
+        q = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+
+    go()
+    if closing is not None:
+        closing.close()
+        go()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -80,22 +116,29 @@ def dedup_stops(stops: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def ewma(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Drift average per machine with two doubles of state; a NULL only decays.
 
-    Rows of one Arrow batch are put in time order; batches follow arrival order, as a stream does.
+    All rows of a machine in one trigger are put in time order before they are averaged, whatever batches they come in;
+    triggers follow arrival order, as a stream does. A trigger's rows of one machine are held at once: bound them by
+    `files_per_trigger`.
     """
     q = 1.0 - alpha
+    block = max(1, min(4096, int(300 / -math.log(q))))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         num, den = state.get if state.exists else (0.0, 0.0)
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            out = []
-            for x in pdf["value"].to_numpy(dtype=float, na_value=float("nan")):
-                num, den = num * q, den * q
-                if x == x:
-                    num, den = num + x, den + 1.0
-                out.append(num / den if den > 0 else None)
-            yield pd.DataFrame({"machine": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "ewma": out})
-        state.update((num, den))
+        rest = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
+        held = num / den if den > 0 else np.nan
+        for at in range(0, len(rest), block):
+            pdf = rest.iloc[at : at + block]
+            x = pdf["value"].to_numpy(dtype=float, na_value=np.nan)
+            there = ~np.isnan(x)
+            fall = q ** np.arange(1, len(x) + 1)
+            nums = fall * (num + np.cumsum(np.where(there, x, 0.0) / fall))
+            dens = fall * (den + np.cumsum(there / fall))
+            mean = np.where(np.cumsum(there) > 0, nums / np.where(dens > 0, dens, 1.0), held)
+            num, den, held = float(nums[-1]), float(dens[-1]), mean[-1]
+            yield pd.DataFrame({"machine": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "ewma": [None if v != v else v for v in mean]})
+        # long runs of NULL would let both vanish; their ratio is kept
+        state.update((num, den) if den > 1e-200 or held != held else (float(held) * 1e-200, 1e-200))
 
     return rows.select("machine", "ts", "event_id", "value").groupBy("machine").applyInPandasWithState(
         step, "machine string, ts timestamp, event_id bigint, ewma double", "num double, den double", "append",

@@ -179,11 +179,19 @@ def test_cascade_splits_on_fixed_buckets_and_folds_repeats(spark):
 
 
 def test_overlap_keeps_open_and_long_events(spark):
-    w = frame(spark, "id int, machine string, w_start timestamp, w_end timestamp", (1, "A", t(1000), t(1010)))
-    e = frame(spark, "machine string, name string, start timestamp, end timestamp",
-              ("A", "open", t(0), None), ("A", "long", t(1), t(5000)), ("A", "over", t(0), t(984.9)), ("A", "edge", t(900), t(985)),
-              ("A", "after", t(1015), None), ("A", "late", t(1015.1), None), ("B", "other", t(1000), t(1001)))
-    assert sorted(r.name for r in events.overlapping(w, e, "id").collect()) == ["after", "edge", "long", "open"]
+    w = frame(spark, "id int, machine string, w_start timestamp, w_end timestamp", (1, "A", t(1000), t(1010)), (2, "A", t(6000), t(6010)))
+    e = frame(spark, "machine string, source string, category string, name string, start timestamp, end timestamp",
+              *[("A", "alert", "X", *x) for x in (("open", t(0), None), ("long", t(1), t(5000)), ("over", t(0), t(984.9)), ("edge", t(900), t(985)),
+              ("after", t(1015), None), ("late", t(1015.1), None), ("for ever", t(2), dt.datetime(9999, 12, 31)))], ("B", "alert", "X", "other", t(1000), t(1001)))
+    pairs = sorted((r.id, r.name) for r in events.overlapping(w, e, "id").collect())
+    assert pairs == [(1, "after"), (1, "edge"), (1, "long")]
+    assert sorted((r.id, r.n_open) for r in events.open_before(w, e, "id").collect()) == [(1, 2), (2, 4)]
+
+
+def test_closed_events_of_any_length_are_paired(spark):
+    w = frame(spark, "id int, machine string, w_start timestamp, w_end timestamp", (1, "A", dt.datetime(9000, 1, 1), dt.datetime(9000, 1, 2)), (2, "A", dt.datetime(9999, 6, 1), dt.datetime(9999, 6, 2)))
+    e = frame(spark, "machine string, name string, start timestamp, end timestamp", ("A", "ages", dt.datetime(1, 2, 1), dt.datetime(9999, 1, 1)))
+    assert [(r.id, r.name) for r in events.overlapping(w, e, "id").collect()] == [(1, "ages")]
 
 
 def test_clusters_follow_chains(spark):
@@ -205,3 +213,46 @@ def test_model_learns_a_planted_signal(spark):
                  *[("A", t(i), int((i * 7) % 10 > 5), float((i * 7) % 10) if i % 9 else None, 1.0) for i in range(200)])
     s = models.train_and_score(predict.chrono_split(rows, 0.6), ["x", "z"], "logreg")
     assert metrics.roc_auc(s, ["machine"]).first().roc_auc > 0.9
+
+
+def test_stream_average_ignores_file_order_and_batch_size(spark, tmp_path):
+    """Shuffled rows in one trigger, Arrow batches of 100: the same answer as in time order."""
+    import random
+
+    from millwright.streaming import jobs
+
+    rows = [("A", t(i), i, None if i % 7 == 3 or 900 < i < 1900 else float(i % 13)) for i in range(3000)]
+    want, num, den = {}, 0.0, 0.0
+    for _, _, i, v in rows:
+        num, den = num * 0.7, den * 0.7
+        if v is not None:
+            num, den = num + v, den + 1
+            held = num / den
+        want[i] = held if i else 0.0
+    shuffled = list(rows)
+    random.Random(1).shuffle(shuffled)
+    schema = "machine string, ts timestamp, event_id bigint, value double"
+    spark.createDataFrame(shuffled, schema).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        stream = jobs.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        got = {r.event_id: r.ewma for r in jobs.drain(jobs.ewma(stream, 0.3), "test-ewma").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rules_by_literal_cases(spark):
+    """Written out here, apart from the rule tables, so that a wrong table cannot stay green."""
+    alarms = {
+        "AIR PRESSURE FAILED!": "AIR_PRESSURE", "EMERGENCY STOP.": "EMERGENCY_STOP", "DOOR INTERLOCK ALARM.": "DOOR_INTERLOCK",
+        "Z AXIS NEED  ZERO RETURN !": "AXIS_ZERO_RETURN", " LUBE OIL LAST.": "LUBE_OIL", "CHUCK UNCLAMP.": "CHUCK", "MOTOR OVERLOAD": "MOTOR_OVERLOAD",
+        "x axis over travel": "OVERTRAVEL", "ILLEGAL G CODE": "PROGRAM_ERROR", "UNKNOWN 7": "OTHER_ALARM", None: "OTHER_ALARM",
+    }
+    got = {r.v: r.c for r in frame(spark, "v string", *[(k,) for k in alarms]).select("v", rules.alarm_category("v").alias("c")).collect()}
+    assert got == alarms
+    assert rules.RECOVERY_SHARE["AIR_PRESSURE"] == 0.8 and rules.RECOVERY_SHARE["CONNECTIVITY"] == 0.0
+    assert rules.FACILITY_CAUSE["CONNECTIVITY"] == "FACILITY_NETWORK" and rules.FACILITY_CAUSE["AIR_PRESSURE"] == "FACILITY_AIR"
+    ranked = sorted(rules.CAUSAL_RANK, key=rules.CAUSAL_RANK.get)
+    assert ranked[:3] == ["AIR_PRESSURE", "LUBE_OIL", "MOTOR_OVERLOAD"] and ranked[-2:] == ["EMERGENCY_STOP", "OTHER_ALARM"]

@@ -136,3 +136,39 @@ def test_hot_key_is_spread_over_tasks(spark):
     assert "__sl" in plan
     sizes = rows.groupBy("machine", F.floor(F.unix_micros("ts") / 86_400_000_000)).count().agg(F.max("count")).first()[0]
     assert sizes <= 1440
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.05, 0.3, 0.5, 0.9])
+def test_ewma_of_long_rows_and_null_runs(spark, alpha):
+    """The recursion at the default block, with NULL runs over several blocks at the start, inside and at the end."""
+    n = 30_000
+    x = np.where(np.arange(n) % 3 > 0, np.round(np.random.default_rng(4).normal(size=n), 3) + 5, np.nan)
+    x[:50] = x[200:14_000] = x[16_000:16_500] = x[25_000:] = np.nan
+    want, num, den, q = [], 0.0, 0.0, 1 - alpha
+    last = None
+    for v in x:
+        num, den = num * q, den * q
+        if not np.isnan(v):
+            num, den = num + v, den + 1
+            last = num / den
+        want.append(last)
+    df = spark.createDataFrame(pd.DataFrame({"machine": "A", "rn": np.arange(1, n + 1), "v": x})).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    got = scan.ewma(df, ["machine"], "rn", "v", alpha).orderBy("rn").toPandas().ewma
+    have = np.array([np.nan if v is None else v for v in want], float)
+    assert got.isna().tolist() == np.isnan(have).tolist()
+    assert np.nanmax(np.abs(got.to_numpy() - have)) < 1e-9
+
+
+def test_ewma_refuses_other_weights(spark):
+    with pytest.raises(ValueError):
+        scan.ewma(spark.createDataFrame([("A", 1, 1.0)], "machine string, rn int, v double"), ["machine"], "rn", "v", 1.0)
+
+
+def test_narrow_values_spread_over_slices(spark):
+    """A million distinct values in [100, 101) are cut into even slices, and their percentiles stay exact."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("A").alias("k"), (100 + F.col("id") / n).alias("v"))
+    sizes = scan.value_slices(df, ["k"], "v", 64).groupBy("__slice").count().toPandas()["count"]
+    assert len(sizes) == 64 and sizes.max() < 3 * n / 64
+    got = scan.percentiles(df, ["k"], "v", {"p25": 0.25, "p50": 0.5}, count="n").first()
+    assert got.n == n and got.p25 == pytest.approx(100 + (n - 1) / 4 / n) and got.p50 == pytest.approx(100 + (n - 1) / 2 / n)
