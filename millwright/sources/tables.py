@@ -58,6 +58,12 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
     return [c.strip().lstrip("\ufeff") for c in next(csv.reader([line[0][0]]))] if line else []
 
 
+def allow_charsets(spark: SparkSession, encoding: str) -> None:
+    """Let Spark read and write a code page beyond the few it knows by itself."""
+    if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def coerce(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Text to typed columns; a value that does not parse becomes NULL, never an error."""
     types = types or {}
@@ -90,8 +96,7 @@ def read_csv(
     """
     if multiline is None:
         multiline = table in MULTILINE
-    if encoding.lower() not in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    allow_charsets(spark, encoding)
     parts = sorted(_list(spark, f"{folder}/{table}_[0-9][0-9][0-9].csv"))
     paths = parts or [f"{folder}/{table}.csv"]
     names = _header(spark, paths[0], encoding)
