@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,9 +17,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import metrics
+from .anomaly import melt
 from .predict import chrono_split, robust_znorm
-from .scan import attach
+from .scan import attach, percentiles
 
 
 def balanced(train: DataFrame) -> DataFrame:
@@ -123,11 +126,12 @@ def importance(split: DataFrame, columns: Sequence[str], top: int = 15, trees: i
     return split.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def regime_experiment(split: DataFrame, columns: Sequence[str], device: Sequence[str], groups: dict[str, list[str]], name: str = "logreg", **kw) -> DataFrame:
-    """Own, merged and z-normed training for each group, always tested on the same rows."""
+def regime_experiment(split: DataFrame, columns: Sequence[str], device: Sequence[str], groups: dict[str, list[str]],
+    names: Sequence[str] = ("logreg", "random_forest", "gbt"), **kw) -> DataFrame:
+    """Own, merged and z-normed training for each group and learner, always tested on the same rows."""
     everyone = sorted({m for ms in groups.values() for m in ms})
     merged = split.where(F.col("machine").isin(*everyone))
-    normed = robust_znorm(merged, list(device))
+    normed = stage(robust_znorm(merged, list(device)), "znorm")  # every learner reads it
     runs = []
     for g, members in groups.items():
         own = split.where(F.col("machine").isin(*members))
@@ -136,27 +140,54 @@ def regime_experiment(split: DataFrame, columns: Sequence[str], device: Sequence
         runs += [(f"own|{g}|{g}", own, test), (f"cross|merged|{g}", merged, test), (f"znorm|merged|{g}", normed, ztest)]
     out = None
     for label, train, test in runs:
-        s = train_and_score(train, columns, name, test=test, **kw).select(F.lit(label).alias("run"), "y", "risk")
-        out = s if out is None else out.unionByName(s)
+        for name in names:
+            s = train_and_score(train, columns, name, test=test, **kw).select(F.lit(f"{label}|{name}").alias("run"), "y", "risk")
+            out = s if out is None else out.unionByName(s)
     r = metrics.report(out, ["run"])
     parts = F.split("run", r"\|")
-    return r.select(parts[0].alias("experiment"), parts[1].alias("train_regime"), parts[2].alias("test_set"), *[c for c in r.columns if c != "run"])
-
-
-def tuning_search(split: DataFrame, columns: Sequence[str], grid: Sequence[dict], inner_frac: float = 0.75) -> DataFrame:
-    """Parameter search on an inner chronological validation; the winner is refitted and tested once."""
-    outer = split.where(F.col("part") == "train").drop("part")
-    inner = chrono_split(outer, inner_frac)
-    trials = []
-    for i, params in enumerate(grid):
-        s = train_and_score(inner, columns, "gbt", gbt=params)
-        ap = metrics.average_precision(metrics.pr_points(s.withColumn("g", F.lit(1)), ["g"]), ["g"]).first()
-        trials.append((i, str(params), float(ap["pr_auc"] or 0.0) if ap else 0.0))
-    best = max(trials, key=lambda t: (t[2], -t[0]))
-    final = metrics.report(train_and_score(split, columns, "gbt", gbt=grid[best[0]]).withColumn("g", F.lit(1)), ["g"])
-    rows = split.sparkSession.createDataFrame(trials, "trial int, params string, inner_pr_auc double")
-    test = final.select(F.lit(best[0]).alias("trial"), F.col("pr_auc").alias("test_pr_auc"), F.col("roc_auc").alias("test_roc_auc"), F.col("threshold"))
-    return rows.join(test, "trial", "left").withColumn("selected", F.col("trial") == best[0])
+    return r.select(parts[0].alias("experiment"), parts[1].alias("train_regime"), parts[2].alias("test_set"), parts[3].alias("learner"), *[c for c in r.columns if c != "run"])
+
+
+SPACE = {
+    "maxDepth": (3, 4, 5, 6, 8), "maxIter": (100, 200, 300, 400, 500), "stepSize": (0.02, 0.03, 0.05, 0.07, 0.1), "minInstancesPerNode": (10, 20, 40, 80),
+    "subsamplingRate": (0.6, 0.8, 1.0), "featureSubsetStrategy": ("all", "0.5", "sqrt"), "maxBins": (32, 64, 128),
+}
+"""What a search draws from: seven parameters of the boosted trees."""
+
+
+def draws(n: int, seed: int = 0, space: dict | None = None) -> list[dict]:
+    """`n` parameter sets drawn independently with a seed."""
+    pick = random.Random(seed)
+    return [{k: pick.choice(v) for k, v in (space or SPACE).items()} for _ in range(n)]
+
+
+def tuning_search(
+    split: DataFrame, columns: Sequence[str], extra: Sequence[str] = (), trials: int = 40, seed: int = 0, space: dict | None = None, inner_frac: float = 0.75, rounds: int = 350,
+) -> DataFrame:
+    """A ladder of three steps, each tested once on the held-out rows: the default, with the extra columns, and tuned.
+
+    The tuned step takes the best of the default and `trials` seeded draws by average precision on an inner
+    chronological validation. The extra columns must be in `split`. One row per trial and one per step.
+    """
+    wide = [*columns, *extra]
+    inner = chrono_split(split.where(F.col("part") == "train").drop("part"), inner_frac)
+    options, found = [{"maxIter": rounds}, *draws(trials, seed, space)], []
+    for i, params in enumerate(options):
+        s = train_and_score(inner, wide, "gbt", gbt=params).withColumn("g", F.lit(1))
+        ap = metrics.average_precision(metrics.pr_points(s, ["g"]), ["g"]).first()
+        found.append(("search", i, str(params), float(ap["pr_auc"] or 0.0) if ap else 0.0))
+    best = max(found, key=lambda t: (t[3], -t[1]))[1]
+    steps = {"default": (list(columns), options[0]), "features": (wide, options[0]), "tuned": (wide, options[best])}
+    tested = None
+    for step, (cols, params) in steps.items():
+        s = train_and_score(split, cols, "gbt", gbt=params).select(F.lit(step).alias("step"), "y", "risk")
+        tested = s if tested is None else tested.unionByName(s)
+    report = metrics.report(tested, ["step"]).select(
+        "step", F.lit(None).cast("int").alias("trial"), F.lit(None).cast("string").alias("params"), F.lit(None).cast("double").alias("inner_pr_auc"),
+        F.col("pr_auc").alias("test_pr_auc"), F.col("roc_auc").alias("test_roc_auc"), "threshold",
+    )
+    rows = split.sparkSession.createDataFrame(found, "step string, trial int, params string, inner_pr_auc double")
+    return rows.unionByName(report, allowMissingColumns=True).withColumn("selected", F.coalesce(F.col("trial") == best, F.lit(False)))
 
 
 def ablation(split: DataFrame, sets: dict[str, Sequence[str]], name: str = "logreg", **kw) -> DataFrame:
@@ -202,9 +233,18 @@ def one_hot(split: DataFrame, columns: Sequence[str], name: str = "random_forest
 
 
 def imputed_scaled(split: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Imputer and scaler fitted on train, applied to all rows, as one array column."""
+    """Exact train medians for missing values, then train means and deviations; all rows, as one array column.
+
+    Columns without a training value are left out, a constant one becomes 0. The statistics are single rows.
+    """
     df = prepare(split, columns)
     train = df.where(F.col("part") == "train")
     cols = usable_columns(train, columns)
-    model = Pipeline(stages=preprocess(cols, scale=True)).fit(train)
-    return model.transform(df).select("machine", "ts", "part", vector_to_array("features").alias("x"))
+    medians = percentiles(melt(train, cols, ()), ["feature"], "value", {"m": 0.5})
+    row = medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"__m_{c}") for c in cols])
+    filled = attach(df, row).select("machine", "ts", "part", *[F.coalesce(c, f"__m_{c}").alias(c) for c in cols])
+    spread = filled.where(F.col("part") == "train").agg(
+        *[F.avg(c).alias(f"__a_{c}") for c in cols], *[F.stddev_samp(c).alias(f"__s_{c}") for c in cols]
+    )
+    scaled = [F.when(F.col(f"__s_{c}") > 1e-12, (F.col(c) - F.col(f"__a_{c}")) / F.col(f"__s_{c}")).otherwise(0.0) for c in cols]
+    return attach(filled, spread).select("machine", "ts", "part", F.array(*scaled).alias("x"))

@@ -119,19 +119,44 @@ def _(p):
     return predict.comparator_scores(views.split_supervised(p), views.scores(p)).select("machine", "ts", "y", "risk")
 
 
-# ------------------------------------------------------------ learned models (rows-only)
+# ------------------------------------------------------------ preprocessing
 
+_IN = [f"CAST({c} AS DOUBLE)" for c in FEATURES]
+shared("o_imp_k", f"SELECT {', '.join(f'quantile_cont({x}, 0.5::DOUBLE) AS k{i}' for i, x in enumerate(_IN))} FROM o_supsplit WHERE part='train'")
+shared("o_imp_f", f"SELECT machine, ts, part, {', '.join(f'coalesce({x}, k{i}) AS f{i}' for i, x in enumerate(_IN))} FROM o_supsplit, o_imp_k")
+shared("o_imp_s", f"SELECT {', '.join(f'avg(f{i}) AS a{i}, stddev_samp(f{i}) AS s{i}' for i in range(len(_IN)))} FROM o_imp_f WHERE part='train'")
 
-@query("median_impute_scale")
+
+@query("median_impute_scale", f"""
+SELECT machine, ts, part, CAST({' + '.join(f'CASE WHEN k{i} IS NULL THEN 0 ELSE 1 END' for i in range(len(_IN)))} AS INTEGER) AS inputs,
+  {' + '.join(f'CASE WHEN s{i} > 1e-12 THEN (f{i} - a{i})/s{i} ELSE 0 END' for i in range(len(_IN)))} AS total FROM o_imp_f, o_imp_k, o_imp_s""", "total")
 def _(p):
     x = models.imputed_scaled(views.split_supervised(p), FEATURES)
     return x.select("machine", "ts", "part", F.size("x").alias("inputs"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
-def _model(key: str, name: str, **kw) -> None:
-    @query(key)
+# ------------------------------------------------------------ learned models: scores have no oracle, the scored rows have
+
+
+def _scored_rows(key: str) -> None:
+    """Which rows a model scores, with which label, and that every risk is a probability."""
+
+    @query(f"{key}_rows", "SELECT machine, ts, CAST(y AS INTEGER) AS y, true AS in_range FROM o_supsplit WHERE part='test'")
     def _(p):
-        return models.train_and_score(views.split_supervised(p), FEATURES, name, **kw)
+        risk = F.col("risk")
+        return _SCORES[key](p).select("machine", "ts", F.col("y").cast("int").alias("y"), (risk.isNotNull() & risk.between(0, 1)).alias("in_range"))
+
+
+_SCORES = {}
+
+
+def _model(key: str, name: str, **kw) -> None:
+    def build(p):
+        return p.memo(key, lambda: models.train_and_score(views.split_supervised(p), FEATURES, name, **kw))
+
+    _SCORES[key] = build
+    query(key)(build)
+    _scored_rows(key)
 
 
 _model("model_logreg", "logreg")
@@ -150,18 +175,19 @@ def _(p):
     return models.importance(views.split_supervised(p), FEATURES, trees=40)
 
 
-HALVES = {"cell": ["M00", "M03", "M06", "M09"], "side": ["M01", "M04", "M07"]}
+HALVES = {"cell": [f"M{i:02d}" for i in range(0, 10, 2)], "side": [f"M{i:02d}" for i in range(1, 10, 2)]}
 
 
 @query("regime_experiment")
 def _(p):
-    return models.regime_experiment(views.split_supervised(p), FEATURES, DEVICE, HALVES)
+    return models.regime_experiment(views.split_supervised(p), FEATURES, DEVICE, HALVES, rounds=4, trees=10)
 
 
 @query("tuning_search")
 def _(p):
-    trials = [dict(maxIter=5, maxDepth=3, stepSize=0.1), dict(maxIter=8, maxDepth=4, stepSize=0.05)]
-    return models.tuning_search(views.split_supervised(p), FEATURES, trials)
+    # few short trials: one fit of the full space takes minutes here; the operator's defaults are 40 draws and 350 rounds
+    space = models.SPACE | {"maxIter": (4, 6, 8), "maxDepth": (3, 4, 5)}
+    return models.tuning_search(predict.augment(views.split_supervised(p)), FEATURES, AUG, trials=3, rounds=5, space=space)
 
 
 @query("ablation")
@@ -180,8 +206,12 @@ def _(p):
     return models.one_hot(views.split_supervised(p), FEATURES, trees=40)
 
 
-@query("risk_scoring")
-def _(p):
+def _risk(p):
     s = predict.augment(views.split_supervised(p))
     z = predict.robust_znorm(s, DEVICE)
-    return models.train_and_score(z, [*FEATURES, *AUG], "gbt", rounds=8)
+    return p.memo("risk_scoring", lambda: models.train_and_score(z, [*FEATURES, *AUG], "gbt", rounds=8))
+
+
+_SCORES["risk_scoring"] = _risk
+query("risk_scoring")(_risk)
+_scored_rows("risk_scoring")
