@@ -2,10 +2,10 @@
 
 Every distinct text gets TABLES keys. A key draws the two least of the text's occurrence-labelled k-mers of words and
 keeps them in text order, so texts agree in a key more often the closer they are in edit distance. Members of a bucket
-are aligned with its leader; those that are not near it meet the next leader among themselves until none is left, so a
-bucket never emits its pairs. A bucket that keeps many unlike texts, as a line that is common in the data makes it, is
-split by prefix filtering: texts near each other share all but a fifth of their words, so each shares one of the rarest
-fifth of its own. Classes are the connected components of the verified links.
+are aligned with its leader, and those that are not near it with a next one, so a bucket never emits its pairs. A bucket
+that still has members then is one that unlike texts share, as a line makes it that is common in the data: its k-mers
+are struck from those texts, which get keys anew from the rest of theirs, until no text meets another. Classes are the
+connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from . import rolling
 from .common import slices, staged, text_buffer
 
 K = 5
-TABLES = 12
+TABLES = 10
 SIMILARITY = 0.8
 LEADERS = 2
-"""Rounds of leaders that a bucket of keys gets before its rest is split by rare words."""
-COMMON = 4096
-"""Words of the rest that are told apart by how common they are; all others count as equally rare."""
+"""Leaders that the members of a first bucket meet before the k-mers behind its key are struck; one in later ones."""
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -58,12 +56,12 @@ def labelled_kmers(word: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndar
     return rolling.mix(h + label * np.uint64(0xD6E8FEB86659FD93)), before
 
 
-def sketch(kmer: np.ndarray, before: np.ndarray, tables: int) -> np.ndarray:
-    """tables x rows keys; rows without k-mers get 0."""
+def sketch(kmer: np.ndarray, before: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, first k-mers, second k-mers), each tables x rows; rows without k-mers get 0."""
     full = np.flatnonzero(np.diff(before))
-    out = np.zeros((tables, len(before) - 1), np.uint64)
+    out = np.zeros((3, tables, len(before) - 1), np.uint64)
     if not len(full):
-        return out
+        return tuple(out)
     starts = before[:-1][full]
     low = np.uint64((1 << max(len(kmer).bit_length(), 1)) - 1)
     place = np.arange(len(kmer), dtype=np.uint64)
@@ -74,8 +72,13 @@ def sketch(kmer: np.ndarray, before: np.ndarray, tables: int) -> np.ndarray:
         two = (np.minimum.reduceat(value, starts) & low).astype(np.int64)
         two = np.where(np.diff(before)[full] > 1, two, one)
         first, second = kmer[np.minimum(one, two)], kmer[np.maximum(one, two)]
-        out[t, full] = rolling.mix(rolling.mix(first, 3) + second * np.uint64(0xA24BAED4963EE407), t + 101)
-    return out
+        out[:, t, full] = rolling.mix(rolling.mix(first, 3) + second * np.uint64(0xA24BAED4963EE407), t + 101), first, second
+    return tuple(out)
+
+
+def _lists(values: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum(count)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
 def sketches(docs: DataFrame, k: int = K, tables: int = TABLES) -> DataFrame:
@@ -85,14 +88,60 @@ def sketches(docs: DataFrame, k: int = K, tables: int = TABLES) -> DataFrame:
         for part in slices(batches, "text"):
             word, begin, _ = words(*text_buffer(part.column(2)))
             n = np.diff(begin)
-            keys = sketch(*labelled_kmers(word, begin, k), tables).T[n > 0].ravel().view(np.int64)
-            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, tables, 0))))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), lists], ["doc", "content", "n_words", "keys"])
+            keys = sketch(*labelled_kmers(word, begin, k), tables)[0].T[n > 0].ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(n), _lists(keys, np.where(n > 0, tables, 0))], ["doc", "content", "n_words", "keys"]
+            )
 
     return docs.select("doc", "content", "text").mapInArrow(run, "doc bigint, content binary, n_words bigint, keys array<bigint>")
 
 
+def _of_row(value: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hashes that stand for a value in one row."""
+    return rolling.mix(value ^ rolling.mix(row.astype(np.uint64), 7), 5)
+
+
+def redrawn(rest: DataFrame, k: int, tables: int) -> DataFrame:
+    """(doc, n_words, keys, struck) of rest (doc, text, shared, struck): texts whose keys in `shared` led to unlike texts.
+
+    The k-mers behind those keys join the struck ones, and the keys are drawn from what is left; none left, no keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            word, begin, _ = words(*text_buffer(part.column("text")))
+            kmer, before = labelled_kmers(word, begin, k)
+            rows = np.arange(part.num_rows)
+
+            def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+                lists = part.column(name)
+                return lists.flatten().to_numpy().view(np.uint64), np.repeat(rows, np.diff(lists.offsets.to_numpy()))
+
+            def left(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = np.repeat(rows, np.diff(before))
+                keep = ~np.isin(_of_row(kmer, at), _of_row(value, row))
+                return kmer[keep], np.concatenate(([0], np.cumsum(keep)))[before]
+
+            struck, at = flat("struck")
+            keys, first, second = sketch(*left(struck, at), tables)
+            row = np.broadcast_to(rows, keys.shape)
+            hot = np.isin(_of_row(keys, row), _of_row(*flat("shared"))) & (keys != 0)
+            value = np.concatenate([struck, first[hot], second[hot]])
+            at = np.concatenate([at, row[hot], row[hot]])
+            _, one = np.unique(_of_row(value, at), return_index=True)
+            one = one[np.argsort(at[one], kind="stable")]
+            value, at = value[one], at[one]
+            rest_kmer, rest_before = left(value, at)
+            some = np.diff(rest_before) > 0
+            keys = sketch(rest_kmer, rest_before, tables)[0].T[some].ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc"), pa.array(np.diff(begin)), _lists(keys, np.where(some, tables, 0)), _lists(value.view(np.int64), np.bincount(at, minlength=len(rows)))],
+                ["doc", "n_words", "keys", "struck"],
+            )
+
+    return rest.select("doc", "text", "shared", "struck").mapInArrow(run, "doc bigint, n_words bigint, keys array<bigint>, struck array<bigint>")
+
+
 def distance_within(a: list, b: list, most: int) -> bool:
     """Whether the edit distance of two sequences is at most `most`: a bit-parallel alignment of the diagonal band of that
     half width, the band tried from narrow to wide."""
@@ -170,57 +219,20 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _bag(text: str) -> list[tuple[int, int]]:
-    """(hash, occurrence) of the words of a text."""
-    buf, offsets = text_buffer(pa.array([text], pa.string()))
-    word, _, _ = words(buf, offsets)
-    return list(zip(word.view(np.int64).tolist(), rolling.occurrences(word, np.zeros(len(word), np.int64)).tolist(), strict=True))
-
-
-def _split(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Members of each bucket dealt anew by each word of their prefix: the rarest words, as many as a near text may lack
-    and one more. Two members that are near share one of them, whatever order the words are ranked in."""
-    rest = staged(texts.join(member.select("doc").distinct(), "doc", "left_semi"), "rest")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            found = [w for t in part.column("text").to_pylist() for w in {w for w, _ in _bag(t)}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["w"])
-
-    counted = rest.mapInArrow(distinct, "w bigint").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rank = {r["w"]: r["n"] for r in counted.orderBy(F.desc("n"), "w").limit(COMMON).collect()}
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            lists = []
-            for t in part.column("text").to_pylist():
-                bag = sorted(_bag(t), key=lambda x: (rank.get(x[0], 0), x))
-                least = int(np.ceil(similarity * len(bag) - 1e-9))
-                lists.append([hash(x) for x in bag[: len(bag) - least + 1]])
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(lists, pa.list_(pa.int64()))], ["doc", "prefix"])
-
-    prefixes = rest.mapInArrow(prefix, "doc bigint, prefix array<bigint>")
-    dealt = member.join(prefixes, "doc").select("doc", "n_words", "key", F.explode("prefix").alias("w"))
-    return dealt.select("doc", "n_words", F.xxhash64("key", "w").alias("key"))
-
-
 def _shared(member: DataFrame) -> DataFrame:
     """Members of buckets with more than one."""
     several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return staged(member.join(several, "key"), "members")
 
 
-def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(found: DataFrame, docs: DataFrame, k: int = K, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b), a < b, of distinct texts. found: sketches of distinct texts; docs: (doc, text)."""
     member = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
     texts = staged(docs.join(member.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "texts")
-    done, turn = None, 0
+    done, struck, turn = None, None, 0
     while not member.isEmpty():
-        if turn == LEADERS:
-            member = _shared(_split(member, texts, similarity))
-        turn += 1
         # every bucket draws its own leader, so a document that joins one class can lead elsewhere
-        drawn = F.min(F.struct(F.xxhash64("key", "doc").alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
+        drawn = F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
         leader = member.groupBy("key").agg(drawn.alias("l")).select("key", "l.leader", "l.m")
         led = staged(member.join(leader, "key").filter("doc != leader").withColumns({"a": F.least("doc", "leader"), "b": F.greatest("doc", "leader")}), "led")
         close = F.least("n_words", "m") >= similarity * F.greatest("n_words", "m") - 1e-9
@@ -234,6 +246,15 @@ def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         fresh = staged(fresh, "verified")
         done = fresh if done is None else done.unionByName(fresh)
         member = _shared(led.join(done.filter("ok"), ["a", "b"], "left_anti").select("doc", "n_words", "key"))
+        turn += 1
+        if turn >= LEADERS and not member.isEmpty():
+            rest = member.groupBy("doc").agg(F.collect_set("key").alias("shared")).join(texts, "doc")
+            if struck is None:
+                rest = rest.withColumn("struck", F.array().cast("array<bigint>"))
+            else:
+                rest = rest.join(struck.select("doc", "struck"), "doc")
+            struck = staged(redrawn(rest, k, tables), "redrawn")
+            member = _shared(struck.select("doc", "n_words", F.explode("keys").alias("key")))
     if done is None:
         return docs.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     return done.filter("ok").select("a", "b")
@@ -276,7 +297,7 @@ def classes(
         F.min("doc").alias("doc"), F.min("n_words").alias("n_words"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("n_copies")
     )
     distinct = staged(distinct, "distinct")
-    found = staged(links(distinct.select("doc", "n_words", "keys"), docs.select("doc", "text"), similarity), "links")
+    found = staged(links(distinct.select("doc", "n_words", "keys"), docs.select("doc", "text"), k, tables, similarity), "links")
     root = components(found)
     count = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     led = distinct.select("content", "doc", "n_copies").join(root, F.col("doc") == F.col("node"), "left").drop("node")
