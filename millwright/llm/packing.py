@@ -2,8 +2,8 @@
 
 Documents become pieces of at most one capacity. Pieces are dealt into groups of bounded size; each group is packed by
 best-fit decreasing and gets a lower bound from dual-feasible functions. A group that meets its bound is finished. The
-others keep their full sequences, put the pieces of the loose ones together, deal them anew and pack again, for as long
-as the number of sequences falls and is above the bound of what is left.
+others keep their full sequences, put the pieces of the loose ones together, deal them anew and pack again, while the
+number of sequences is above the bound of what is left; a deal that gains nothing is not taken.
 """
 
 from __future__ import annotations
@@ -179,6 +179,6 @@ def pack(cut: DataFrame, capacity: int = 2048, key: str = "doc_id", turns: int =
             break
         again = _packed(loose.drop("sequence_id", "offset", "kept"), key, capacity, turn, sum(sizes.values()))
         if _bins(again) >= bins:
-            break
+            continue  # another deal may do better
         done, loose = done.unionByName(again.filter("kept")), again.filter("not kept")
     return done.unionByName(loose).drop(*drop)
