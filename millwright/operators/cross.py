@@ -134,23 +134,30 @@ def first_differences(hourly: DataFrame) -> DataFrame:
     return g.where("cur IS NOT NULL AND prev IS NOT NULL").select("machine", "h", (F.col("cur") - F.col("prev")).alias("score"))
 
 
-def pair_moments(hourly: DataFrame, hours_per_task: int = 168) -> DataFrame:
+def pair_moments(hourly: DataFrame, hours_per_task: int = 168, machines_per_task: int = 512) -> DataFrame:
     """Additive moments of every machine pair, from dense blocks of one week of hours.
 
     The result itself has one row per pair; blocks turn the per-hour pairing into matrix products, so
-    what is shuffled is one row per pair and block instead of one per pair and hour. A block holds at
-    most machines x hours values, whatever the raw row counts were.
+    what is shuffled is one row per pair and block instead of one per pair and hour. Machines are dealt
+    into groups, and a task takes two groups of one week: it holds at most about twice `machines_per_task`
+    machines, however many there are, and each hourly value is sent once to every group's tasks.
     """
     block = F.floor(F.col("h") / hours_per_task)
+    groups = max(1, -(-hourly.select("machine").distinct().count() // machines_per_task))
+    own = F.pmod(F.xxhash64("machine"), F.lit(groups)).cast("int")
 
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
+    def gram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="h", columns="machine", values="score", aggfunc="mean").sort_index(axis=1)
+        side = pdf.groupby("machine")["g"].first().reindex(wide.columns).to_numpy()
         x = wide.to_numpy(dtype=float)
         ok = ~np.isnan(x)
         z = np.where(ok, x, 0.0)
         k = ok.astype(float)
         n, sx, sxy, sxx = k.T @ k, z.T @ k, z.T @ z, (z * z).T @ k
         ia, ib = np.triu_indices(x.shape[1], 1)
+        if key[1] != key[2]:  # pairs inside a group belong to that group's own task
+            across = side[ia] != side[ib]
+            ia, ib = ia[across], ib[across]
         names = wide.columns.to_numpy()
         out = pd.DataFrame({
             "a": names[ia], "b": names[ib], "n": n[ia, ib], "sa": sx[ia, ib], "sb": sx.T[ia, ib],
@@ -158,7 +165,9 @@ def pair_moments(hourly: DataFrame, hours_per_task: int = 168) -> DataFrame:
         })
         return out[out["n"] > 0]
 
-    parts = hourly.select("machine", "h", "score", block.cast("bigint").alias("blk")).groupBy("blk").applyInPandas(
+    rows = hourly.select("machine", "h", "score", block.cast("bigint").alias("blk"), own.alias("g"))
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"i": F.least("g", "o"), "j": F.greatest("g", "o")})
+    parts = dealt.groupBy("blk", "i", "j").applyInPandas(
         gram, "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
     )
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])

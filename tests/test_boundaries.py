@@ -200,6 +200,16 @@ def test_clusters_follow_chains(spark):
     assert {got[f"M{i}"] for i in range(10)} == {"M0"} and got["X"] == got["Y"] == "X"
 
 
+def test_pair_moments_in_machine_groups(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"M{m}", h, rng.random()) for m in range(9) for h in range(30) if rng.random() < 0.8]
+    df = frame(spark, "machine string, h long, score double", *rows)
+    one, many = ({(r.a, r.b): tuple(round(x, 9) for x in r[2:]) for r in cross.pair_moments(df, 7, n).collect()} for n in (512, 2))
+    assert one == many and len(one) == 36
+
+
 def test_chronological_split_has_no_leakage(spark):
     rows = frame(spark, "machine string, ts timestamp, y int", *[("A", t(i), i % 2) for i in range(11)])
     s = predict.chrono_split(rows, 0.6)
