@@ -4,8 +4,8 @@ Every distinct text gets TABLES keys. A key draws the two least of the text's oc
 keeps them in text order, so texts agree in a key more often the closer they are in edit distance. Members of a bucket
 are aligned with its leader, and those that are not near it with a next one, so a bucket never emits its pairs. A bucket
 that still has members then is one that unlike texts share, as a line makes it that is common in the data: its k-mers
-are struck from those texts, which get keys anew from the rest of theirs, until no text meets another. Classes are the
-connected components of the verified links.
+are struck from those texts, which get keys anew from the rest of theirs, until the buckets hold few pairs in all; those
+are compared in one job. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ TABLES = 10
 SIMILARITY = 0.8
 LEADERS = 2
 """Leaders that the members of a first bucket meet before the k-mers behind its key are struck; one in later ones."""
+LAST = 1_000_000
+"""Once the buckets hold no more pairs than this in all, one job compares what is left, each bucket in a task."""
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -219,18 +222,35 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def _shared(member: DataFrame) -> DataFrame:
-    """Members of buckets with more than one."""
-    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return staged(member.join(several, "key"), "members")
+def _shared(member: DataFrame) -> tuple[DataFrame, int]:
+    """Members of buckets with more than one, and how many pairs those buckets hold."""
+    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = staged(member.join(several, "key"), "members")
+    pairs = kept.agg(F.sum((F.col("n") - 1) / 2)).first()[0]
+    return kept.drop("n"), int(np.ceil(pairs or 0))
+
+
+def _all_near(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Near pairs of one bucket, each pair looked at: (a, b, ok). The caller bounds the pairs of all buckets."""
+    rows = sorted((len(w), int(d), w, set(w)) for d, w in ((d, t.split()) for d, t in zip(group["doc"], group["text"], strict=True)))
+    out = []
+    for i, (n, doc, word, kinds) in enumerate(rows):
+        for m, other, more, others in rows[i + 1 :]:
+            most = int((1 - similarity) * m + 1e-9)
+            if m - n > most:
+                break
+            if len(kinds - others) <= most and len(others - kinds) <= most and distance_within(word, more, most):
+                out.append((min(doc, other), max(doc, other), True))
+    return pd.DataFrame(out, columns=["a", "b", "ok"])
 
 
 def links(found: DataFrame, docs: DataFrame, k: int = K, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b), a < b, of distinct texts. found: sketches of distinct texts; docs: (doc, text)."""
-    member = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
-    texts = staged(docs.join(member.select("doc").distinct(), "doc", "left_semi").select("doc", "text"), "texts")
+    member, left = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
+    # the sides of these joins grow with the data, so none is broadcast
+    texts = staged(docs.join(member.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), "texts")
     done, struck, turn = None, None, 0
-    while not member.isEmpty():
+    while left > LAST or left and turn == 0:
         # every bucket draws its own leader, so a document that joins one class can lead elsewhere
         drawn = F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
         leader = member.groupBy("key").agg(drawn.alias("l")).select("key", "l.leader", "l.m")
@@ -239,25 +259,29 @@ def links(found: DataFrame, docs: DataFrame, k: int = K, tables: int = TABLES, s
         pairs = led.filter(close).select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(
+        both = pairs.hint("merge").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(
             texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
         )
         fresh = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint, ok boolean")
         fresh = staged(fresh, "verified")
         done = fresh if done is None else done.unionByName(fresh)
-        member = _shared(led.join(done.filter("ok"), ["a", "b"], "left_anti").select("doc", "n_words", "key"))
+        member, left = _shared(led.join(done.filter("ok"), ["a", "b"], "left_anti").select("doc", "n_words", "key"))
         turn += 1
-        if turn >= LEADERS and not member.isEmpty():
+        if turn >= LEADERS and left > LAST:
             rest = member.groupBy("doc").agg(F.collect_set("key").alias("shared")).join(texts, "doc")
             if struck is None:
                 rest = rest.withColumn("struck", F.array().cast("array<bigint>"))
             else:
                 rest = rest.join(struck.select("doc", "struck"), "doc")
             struck = staged(redrawn(rest, k, tables), "redrawn")
-            member = _shared(struck.select("doc", "n_words", F.explode("keys").alias("key")))
+            member, left = _shared(struck.select("doc", "n_words", F.explode("keys").alias("key")))
+    if left:
+        rest = member.select("doc", "key").join(texts, "doc").select("key", "doc", "text")
+        found = rest.groupBy("key").applyInPandas(lambda g: _all_near(g, similarity), "a bigint, b bigint, ok boolean").distinct()
+        done = done.unionByName(staged(found, "verified"))
     if done is None:
         return docs.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    return done.filter("ok").select("a", "b")
+    return done.filter("ok").select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -318,5 +342,5 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     """
     lead = classes(df, key, text, **how).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_lead")).distinct()
     one = Window.partitionBy("_lead").orderBy(F.xxhash64(F.col(f"`{text}`")))
-    kept = df.join(lead, F.col(f"`{key}`") == F.col("_lead")).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    kept = df.join(lead.hint("merge"), F.col(f"`{key}`") == F.col("_lead")).withColumn("_row", F.row_number().over(one)).filter("_row = 1")
     return kept.drop("_lead", "_row").unionByName(df.filter(F.col(f"`{key}`").isNull()))

@@ -63,7 +63,8 @@ def test_classes_equal_all_pairs(spark, docs):
     assert got[given[len(rows)][0]].n_copies == 5
 
 
-def test_common_line(spark, docs, monkeypatch):
+@pytest.mark.parametrize("last", [0, 1_000_000])
+def test_common_line(spark, docs, monkeypatch, last):
     """Many unlike short texts share a line; the pairs among them are found all the same, in a few rounds."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -73,6 +74,7 @@ def test_common_line(spark, docs, monkeypatch):
         own = [word() for _ in range(16)]
         rows += [(i, f"{line} {' '.join(own)}"), (i + 1, f"{line} {' '.join(own[:-2] + [word(), word()])}")]
     rounds = []
+    monkeypatch.setattr(om, "LAST", last)
     whole = om._shared
     monkeypatch.setattr(om, "_shared", lambda m: rounds.append(1) or whole(m))
     got = {r.doc_id: r.class_id for r in om.classes(docs(rows)).collect()}
