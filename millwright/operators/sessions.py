@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timex import US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_div, floor_us, half_even, us
-from .scan import asof, islands, row_index, running, slice_seconds
+from .scan import asof, island_totals, islands, row_index, running, slice_seconds
 
 
 def extract_windows(
@@ -67,13 +67,15 @@ def risk_episodes(
         rows, ["machine"], order, "__slice",
         {"rn": ("count", F.lit(1)), "cy": ("sum", F.col("y").cast("bigint")), "cr": ("sum", F.col("__r"))},
     )
-    levels = F.array(*[F.lit(x) for x in many])
-    above = acc.withColumn("threshold", F.explode(F.filter(levels, lambda x: x <= F.col("risk"))))
-    isl = islands(above, ["threshold", "machine"], "ts", merge_gap_min * US_PER_MIN)
-    g = isl.groupBy("threshold", "machine", "island").agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("risk").alias("peak_risk"),
-        F.min("rn").alias("a"), F.max("rn").alias("b"), F.min(F.col("cy") - F.col("y")).alias("y0"),
-        F.max("cy").alias("y1"), F.min(F.col("cr") - F.col("__r")).alias("r0"), F.max("cr").alias("r1"),
+    levels = F.filter(F.array(*[F.lit(x) for x in many]), lambda x: x <= F.col("risk"))
+    g = island_totals(
+        acc, ["machine"], "ts", merge_gap_min * US_PER_MIN,
+        {
+            "start": ("min", F.col("ts")), "end": ("max", F.col("ts")), "peak_risk": ("max", F.col("risk")), "a": ("min", F.col("rn")),
+            "b": ("max", F.col("rn")), "y0": ("min", F.col("cy") - F.col("y")), "y1": ("max", F.col("cy")),
+            "r0": ("min", F.col("cr") - F.col("__r")), "r1": ("max", F.col("cr")),
+        },
+        spread=("threshold", levels),
     )
     n = F.col("b") - F.col("a") + 1
     return g.where(n >= min_buckets).select(
