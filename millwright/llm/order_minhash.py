@@ -23,7 +23,7 @@ from . import rolling
 from .common import slices, staged, text_buffer
 
 K = 5
-TABLES = 10
+TABLES = 16
 SIMILARITY = 0.8
 LEADERS = 2
 """Leaders that the members of a first bucket meet before the k-mers behind its key are struck; one in later ones."""
