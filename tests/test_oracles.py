@@ -14,6 +14,8 @@ FAST = [
     "score_rank_pct", "stop_match", "alarm_cascade", "root_cause_card", "recurrence", "synchronization_test", "fit_envelope",
     "deviation_score", "event_pr", "coupling", "coupling_clusters", "pr_curve", "confusion_metrics", "robust_znorm",
     "scenario_w1", "scenario_run", "scenario_catalog", "operating_point", "threshold_sweep", "stream_cascade",
+    "ewma", "stream_ewma", "stream_feature_grid", "stream_episodes", "median_impute_scale", "model_logreg_rows", "src_csv", "src_parquet",
+    "src_artifact_csv_json",
 ]
 
 
