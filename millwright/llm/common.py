@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millwright.session import stage
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Text bytes that a task works on at once; a longer single text is its own slice."""
 
 

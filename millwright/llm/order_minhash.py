@@ -231,15 +231,28 @@ def _shared(member: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _all_near(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Near pairs of one bucket, each pair looked at: (a, b, ok). The caller bounds the pairs of all buckets."""
+    """Links (a, b, ok) that join all near texts of one bucket: every pair is looked at whose texts no link joins yet.
+
+    The caller bounds the pairs of all buckets.
+    """
     rows = sorted((len(w), int(d), w, set(w)) for d, w in ((d, t.split()) for d, t in zip(group["doc"], group["text"], strict=True)))
-    out = []
+    root, out = list(range(len(rows))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
     for i, (n, doc, word, kinds) in enumerate(rows):
-        for m, other, more, others in rows[i + 1 :]:
+        for j in range(i + 1, len(rows)):
+            m, other, more, others = rows[j]
             most = int((1 - similarity) * m + 1e-9)
             if m - n > most:
                 break
-            if len(kinds - others) <= most and len(others - kinds) <= most and distance_within(word, more, most):
+            if len(kinds - others) > most or len(others - kinds) > most or find(i) == find(j):
+                continue
+            if distance_within(word, more, most):
+                root[find(j)] = find(i)
                 out.append((min(doc, other), max(doc, other), True))
     return pd.DataFrame(out, columns=["a", "b", "ok"])
 
