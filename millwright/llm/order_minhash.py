@@ -2,10 +2,11 @@
 
 Every distinct text gets TABLES keys. A key draws the two least of the text's occurrence-labelled k-mers of words and
 keeps them in text order, so texts agree in a key more often the closer they are in edit distance. Members of a bucket
-are aligned with its leader, and those that are not near it with a next one, so a bucket never emits its pairs. A bucket
-that still has members then is one that unlike texts share, as a line makes it that is common in the data: its k-mers
-are struck from those texts, which get keys anew from the rest of theirs, until the buckets hold few pairs in all; those
-are compared in one job. Classes are the connected components of the verified links.
+are aligned with its leader, and those that are not near it with a next one. A bucket whose members are then joined is
+settled; in every other one, each pair of members that no chain of links joins is a candidate, those near a leader too.
+Small buckets are joined with themselves, the others by the words of which near texts must share one (prefix filter);
+bags of words drop candidates that cannot be near, and the rest are aligned. No step loses a near pair of a bucket, so
+the classes, the components of the verified links, are those of comparing all pairs of every bucket at any input size.
 """
 
 from __future__ import annotations
@@ -14,21 +15,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import slices, staged, text_buffer
+from .common import ranges, slices, staged, text_buffer
 
 K = 5
 TABLES = 16
 SIMILARITY = 0.8
 LEADERS = 2
-"""Leaders that the members of a first bucket meet before the k-mers behind its key are struck; one in later ones."""
-LAST = 1_000_000
-"""Once the buckets hold no more pairs than this in all, one job compares what is left, each bucket in a task."""
+"""Leaders that the members of a bucket meet before the pairs of an unsettled one are enumerated."""
+LAST = 2_000
+"""An unsettled bucket of more pairs than this is split by the words that near texts must share; both ways are exact."""
+COUNTS = 1 << 18
+"""Buckets of hashes by which the words of split buckets are counted, to take rare ones first."""
+BAG = 128
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -99,50 +102,78 @@ def sketches(docs: DataFrame, k: int = K, tables: int = TABLES) -> DataFrame:
     return docs.select("doc", "content", "text").mapInArrow(run, "doc bigint, content binary, n_words bigint, keys array<bigint>")
 
 
-def _of_row(value: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Hashes that stand for a value in one row."""
-    return rolling.mix(value ^ rolling.mix(row.astype(np.uint64), 7), 5)
+def _most(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Word edits that texts may differ by whose longer one has n words."""
+    return ((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def redrawn(rest: DataFrame, k: int, tables: int) -> DataFrame:
-    """(doc, n_words, keys, struck) of rest (doc, text, shared, struck): texts whose keys in `shared` led to unlike texts.
+def _labelled(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    word, begin, _ = words(*text_buffer(part.column("text")))
+    return labelled_kmers(word, begin, 1)
 
-    The k-mers behind those keys join the struck ones, and the keys are drawn from what is left; none left, no keys.
+
+def word_counts(hot: DataFrame) -> np.ndarray:
+    """How often the occurrence-labelled words of `hot` (text) fall into each of COUNTS buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTS, np.int64)
+        for part in slices(batches, "text"):
+            n += np.bincount((_labelled(part)[0] % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["at", "n"])
+
+    got = hot.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTS, np.uint32)
+    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefixes(hot: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(key, doc) of hot (doc, text, keys): a key for each of the given ones and each of a text's rarest words.
+
+    Near texts share all words but as many as they may differ by; so of both the rarest of one more share a word.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            h, before = _labelled(part)
+            n = np.diff(before)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts[(h % np.uint64(COUNTS)).astype(np.int64)], row))
+            taken = np.minimum(_most(n, similarity) + 1, n)
+            lists = part.column("keys")
+            key = lists.flatten().to_numpy().view(np.uint64)
+            at = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+            token = h[order[ranges(before[:-1][at], taken[at])]]
+            out = rolling.mix(np.repeat(key, taken[at]) + token * np.uint64(0xA24BAED4963EE407), 13)
+            doc = np.repeat(part.column("doc").to_numpy()[at], taken[at])
+            for i in range(0, len(out), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(out[i : i + (1 << 16)].view(np.int64)), pa.array(doc[i : i + (1 << 16)])], ["key", "doc"])
+
+    return hot.select("doc", "text", "keys").mapInArrow(run, "key bigint, doc bigint")
+
+
+def bags(docs: DataFrame) -> DataFrame:
+    """(doc, n, bag) of docs (doc, text): words in all and in each of BAG classes of hashes, at most 255."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             word, begin, _ = words(*text_buffer(part.column("text")))
-            kmer, before = labelled_kmers(word, begin, k)
-            rows = np.arange(part.num_rows)
-
-            def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-                lists = part.column(name)
-                return lists.flatten().to_numpy().view(np.uint64), np.repeat(rows, np.diff(lists.offsets.to_numpy()))
-
-            def left(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at = np.repeat(rows, np.diff(before))
-                keep = ~np.isin(_of_row(kmer, at), _of_row(value, row))
-                return kmer[keep], np.concatenate(([0], np.cumsum(keep)))[before]
-
-            struck, at = flat("struck")
-            keys, first, second = sketch(*left(struck, at), tables)
-            row = np.broadcast_to(rows, keys.shape)
-            hot = np.isin(_of_row(keys, row), _of_row(*flat("shared"))) & (keys != 0)
-            value = np.concatenate([struck, first[hot], second[hot]])
-            at = np.concatenate([at, row[hot], row[hot]])
-            _, one = np.unique(_of_row(value, at), return_index=True)
-            one = one[np.argsort(at[one], kind="stable")]
-            value, at = value[one], at[one]
-            rest_kmer, rest_before = left(value, at)
-            some = np.diff(rest_before) > 0
-            keys = sketch(rest_kmer, rest_before, tables)[0].T[some].ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(np.diff(begin)), _lists(keys, np.where(some, tables, 0)), _lists(value.view(np.int64), np.bincount(at, minlength=len(rows)))],
-                ["doc", "n_words", "keys", "struck"],
-            )
+            n = np.diff(begin)
+            at = np.repeat(np.arange(len(n)), n) * BAG + (word % np.uint64(BAG)).astype(np.int64)
+            bag = np.minimum(np.bincount(at, minlength=len(n) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array([x.tobytes() for x in bag], pa.binary())], ["doc", "n", "bag"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, bag binary")
 
-    return rest.select("doc", "text", "shared", "struck").mapInArrow(run, "doc bigint, n_words bigint, keys array<bigint>, struck array<bigint>")
+
+def _may_be_near(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of (a, b, n, x, y): an edit takes at most one word from each bag."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("x", "y"))
+            apart = np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= _most(batch.column("n").to_numpy(), similarity)))
 
 
 def distance_within(a: list, b: list, most: int) -> bool:
@@ -209,8 +240,11 @@ def _banded(a: list, b: list, places: dict, k: int) -> bool:
 
 
 def near(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Word edit distance at most (1 - similarity) of the longer text; a text without words is near to no other."""
-    x, y = a.split(), b.split()
+    """Word edit distance at most (1 - similarity) of the longer text; a text without words is near to no other.
+
+    Words stand between ASCII white space, as in the filters before.
+    """
+    x, y = (t.encode("utf-8", "surrogatepass").split() for t in (a, b))
     n = max(len(x), len(y))
     return bool(x and y) and distance_within(x, y, int((1 - similarity) * n + 1e-9))
 
@@ -230,70 +264,72 @@ def _shared(member: DataFrame) -> tuple[DataFrame, int]:
     return kept.drop("n"), int(np.ceil(pairs or 0))
 
 
-def _all_near(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links (a, b, ok) that join all near texts of one bucket: every pair is looked at whose texts no link joins yet.
-
-    The caller bounds the pairs of all buckets.
-    """
-    rows = sorted((len(w), int(d), w, set(w)) for d, w in ((d, t.split()) for d, t in zip(group["doc"], group["text"], strict=True)))
-    root, out = list(range(len(rows))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for i, (n, doc, word, kinds) in enumerate(rows):
-        for j in range(i + 1, len(rows)):
-            m, other, more, others = rows[j]
-            most = int((1 - similarity) * m + 1e-9)
-            if m - n > most:
-                break
-            if len(kinds - others) > most or len(others - kinds) > most or find(i) == find(j):
-                continue
-            if distance_within(word, more, most):
-                root[find(j)] = find(i)
-                out.append((min(doc, other), max(doc, other), True))
-    return pd.DataFrame(out, columns=["a", "b", "ok"])
-
-
-def links(found: DataFrame, docs: DataFrame, k: int = K, tables: int = TABLES, similarity: float = SIMILARITY) -> DataFrame:
+def _open(member: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, doc, n_words, part, pairs) of the buckets whose members the links do not all join; part: the component."""
+    root = components(linked).withColumnRenamed("node", "doc")
+    parts = member.join(root.hint("merge"), "doc", "left").select("key", "doc", "n_words", F.coalesce("root", "doc").alias("part"))
+    parts = staged(parts, "parts")
+    unlike = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+    return staged(parts.join(unlike.select("key", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs")), "key"), "open")
+
+
+def _pairs(member: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: members (key, doc, n_words, part) of one bucket, of lengths that allow it and of different parts."""
+    x = member.select("key", F.col("doc").alias("a"), F.col("n_words").alias("n"), F.col("part").alias("p"))
+    y = member.select("key", F.col("doc").alias("b"), F.col("n_words").alias("m"), F.col("part").alias("q"))
+    close = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    return x.hint("merge").join(y, "key").filter("a < b and p != q").filter(close).select("a", "b").distinct()
+
+
+def candidates(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of unsettled buckets, member (key, doc, n_words, part, pairs), whose words allow that they are near."""
+    out = _pairs(member.filter(F.col("pairs") <= LAST), similarity)
+    large = member.filter(F.col("pairs") > LAST)
+    if not large.isEmpty():
+        keys = large.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+        hot = staged(texts.hint("merge").join(keys, "doc").select("doc", "text", "keys"), "hot")
+        split = staged(prefixes(hot, word_counts(hot), similarity), "prefixes")
+        # a word that all of a bucket's members have in one part or that only one has makes no pair
+        part = large.select("doc", "n_words", "part").distinct()
+        split = split.join(part.hint("merge"), "doc")
+        unlike = split.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
+        out = out.unionByName(_pairs(staged(split.join(unlike.hint("merge"), "key"), "split"), similarity)).distinct()
+    bag = staged(bags(texts.join(member.select("doc").distinct().hint("merge"), "doc", "left_semi")), "bags")
+    both = out.hint("merge").join(bag.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bag").alias("x")), "a")
+    both = both.hint("merge").join(bag.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bag").alias("y")), "b")
+    both = both.select("a", "b", F.greatest("na", "nb").alias("n"), "x", "y")
+    return both.mapInArrow(lambda it: _may_be_near(it, similarity), "a bigint, b bigint")
+
+
+def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b), a < b, of distinct texts. found: sketches of distinct texts; docs: (doc, text)."""
-    member, left = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
+    whole, left = _shared(found.select("doc", "n_words", F.explode("keys").alias("key")))
     # the sides of these joins grow with the data, so none is broadcast
-    texts = staged(docs.join(member.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), "texts")
-    done, struck, turn = None, None, 0
-    while left > LAST or left and turn == 0:
-        # every bucket draws its own leader, so a document that joins one class can lead elsewhere
-        drawn = F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
-        leader = member.groupBy("key").agg(drawn.alias("l")).select("key", "l.leader", "l.m")
-        led = staged(member.join(leader, "key").filter("doc != leader").withColumns({"a": F.least("doc", "leader"), "b": F.greatest("doc", "leader")}), "led")
-        close = F.least("n_words", "m") >= similarity * F.greatest("n_words", "m") - 1e-9
-        pairs = led.filter(close).select("a", "b").distinct()
+    texts = staged(docs.join(whole.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), "texts")
+    done, member, turn = None, whole, 0
+
+    def verified(pairs: DataFrame) -> DataFrame:
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(done.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         both = pairs.hint("merge").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").hint("merge").join(
             texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b"
         )
         fresh = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, similarity), "a bigint, b bigint, ok boolean")
         fresh = staged(fresh, "verified")
-        done = fresh if done is None else done.unionByName(fresh)
+        return fresh if done is None else done.unionByName(fresh)
+
+    while left and turn < LEADERS:
+        # every bucket draws its own leader, so a document that joins one class can lead elsewhere
+        drawn = F.min(F.struct(F.xxhash64("key", "doc", F.lit(turn)).alias("h"), F.col("doc").alias("leader"), F.col("n_words").alias("m")))
+        leader = member.groupBy("key").agg(drawn.alias("l")).select("key", "l.leader", "l.m")
+        led = staged(member.join(leader, "key").filter("doc != leader").withColumns({"a": F.least("doc", "leader"), "b": F.greatest("doc", "leader")}), "led")
+        close = F.least("n_words", "m") >= similarity * F.greatest("n_words", "m") - 1e-9
+        done = verified(led.filter(close).select("a", "b").distinct())
         member, left = _shared(led.join(done.filter("ok"), ["a", "b"], "left_anti").select("doc", "n_words", "key"))
         turn += 1
-        if turn >= LEADERS and left > LAST:
-            rest = member.groupBy("doc").agg(F.collect_set("key").alias("shared")).join(texts, "doc")
-            if struck is None:
-                rest = rest.withColumn("struck", F.array().cast("array<bigint>"))
-            else:
-                rest = rest.join(struck.select("doc", "struck"), "doc")
-            struck = staged(redrawn(rest, k, tables), "redrawn")
-            member, left = _shared(struck.select("doc", "n_words", F.explode("keys").alias("key")))
-    if left:
-        rest = member.select("doc", "key").join(texts, "doc").select("key", "doc", "text")
-        found = rest.groupBy("key").applyInPandas(lambda g: _all_near(g, similarity), "a bigint, b bigint, ok boolean").distinct()
-        done = done.unionByName(staged(found, "verified"))
     if done is None:
         return docs.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
+    done = verified(staged(candidates(_open(member, done.filter("ok").select("a", "b")), texts, similarity), "candidates"))
     return done.filter("ok").select("a", "b").distinct()
 
 
@@ -334,7 +370,7 @@ def classes(
         F.min("doc").alias("doc"), F.min("n_words").alias("n_words"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("n_copies")
     )
     distinct = staged(distinct, "distinct")
-    found = staged(links(distinct.select("doc", "n_words", "keys"), docs.select("doc", "text"), k, tables, similarity), "links")
+    found = staged(links(distinct.select("doc", "n_words", "keys"), docs.select("doc", "text"), similarity), "links")
     root = components(found)
     count = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     led = distinct.select("content", "doc", "n_copies").join(root, F.col("doc") == F.col("node"), "left").drop("node")

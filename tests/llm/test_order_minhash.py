@@ -82,6 +82,20 @@ def test_common_line(spark, docs, monkeypatch, last):
     assert len(rounds) < 14
 
 
+@pytest.mark.parametrize("last", [0, 10**12])
+def test_pairs_that_share_common_words_only(docs, monkeypatch, last):
+    """Near texts whose whole k-mers all stand in a common line are found, however large the buckets are."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line, rows = " ".join(word() for _ in range(40)), []
+    for i in range(0, 60, 2):
+        own = [word() for _ in range(20)]
+        rows += [(i, f"{line} {' '.join(own)}"), (i + 1, f"{line} {' '.join(word() if j % 4 == 0 else x for j, x in enumerate(own))}")]
+    monkeypatch.setattr(om, "LAST", last)
+    got = {r.doc_id: r.class_id for r in om.classes(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in om.components(edges).collect()}
