@@ -329,7 +329,7 @@ def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         turn += 1
     if done is None:
         return docs.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
-    done = verified(staged(candidates(_open(member, done.filter("ok").select("a", "b")), texts, similarity), "candidates"))
+    done = verified(staged(candidates(_open(whole, done.filter("ok").select("a", "b")), texts, similarity), "candidates"))
     return done.filter("ok").select("a", "b").distinct()
 
 

@@ -96,6 +96,31 @@ def test_pairs_that_share_common_words_only(docs, monkeypatch, last):
     assert got == {i: i - i % 2 for i in range(60)}
 
 
+@pytest.mark.parametrize("last", [0, 10**12])
+def test_near_a_member_but_not_its_leader(spark, docs, monkeypatch, last):
+    """Every bucket's near pairs join their texts, in large and small buckets, also through members near a leader."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line, texts = " ".join(word() for _ in range(12)), []
+    for _ in range(12):
+        own = [word() for _ in range(28)]
+        for _ in range(8):  # a chain: each is near the one before, not the one before that
+            texts.append(f"{line} {' '.join(own)}")
+            for j in rng.sample(range(28), 6):
+                own[j] = word()
+    monkeypatch.setattr(om, "LAST", last)
+    given = docs(list(enumerate(texts)))
+    # every text of the shared line in one bucket, whatever its keys
+    sketches = spark.createDataFrame([(i, 40, [7]) for i in range(len(texts))], "doc long, n_words long, keys array<long>")
+    got = {(r.a, r.b) for r in om.links(sketches, given.selectExpr("doc_id as doc", "text")).collect()}
+    root = list(range(len(texts)))
+    for a, b in sorted(got):
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if om.near(texts[a], texts[b])}
+    assert got <= near
+    assert all(root[a] == root[b] for a, b in near) and len({root[a] for a, _ in near}) == 12
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in om.components(edges).collect()}
