@@ -43,7 +43,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentence_spans.remove_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return sentence_spans.remove_spans(docs, grow=True).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
-Every run of SPAN consecutive sentences of at least MIN_WORDS words is hashed and the hashes are joined over all
-documents. Of equal runs the first stands, by document id and place; the sentences of every later one are removed.
+Every run of SPAN consecutive sentences is hashed and the hashes are joined over all documents. A run of fewer than
+MIN_WORDS words grows by further sentences until it has them, or does not count without `grow`. Of equal runs the first
+stands, by document id and place; the sentences of every later one are removed.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,12 @@ from .common import slices, staged, texts
 SPAN = 2
 MIN_WORDS = 12
 LONG = 16
-"""A sentence of more words is cut at its commas, and the clauses count as sentences."""
+"""A sentence of more words is cut at its commas, and a clause of more words after one word in PIECE, chosen by its hash.
+The clauses and pieces count as sentences."""
+PIECE = 8
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _COMMA = re.compile(r"(?<=,)\s+")
+_WORD = re.compile(r"\S+\s*")
 
 
 def _split(text: str, start: int, end: int, at: re.Pattern) -> list[tuple[int, int]]:
@@ -36,11 +42,24 @@ def _split(text: str, start: int, end: int, at: re.Pattern) -> list[tuple[int, i
     return out
 
 
+def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Cuts after words of certain hashes, so that the same words are cut alike wherever they stand."""
+    out = []
+    for m in _WORD.finditer(text, start, end):
+        if m.end() == end or crc32(m.group().strip().lower().encode("utf-8", "surrogatepass")) % PIECE == 0:
+            out.append((start, m.end()))
+            start = m.end()
+    if start < end:
+        out.append((start, end))
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Ranges that tile the text: each sentence with the white space after it."""
     out = []
     for a, b in _split(text, 0, len(text), _END):
-        out += _split(text, a, b, _COMMA) if len(text[a:b].split()) > LONG else [(a, b)]
+        for c, d in _split(text, a, b, _COMMA) if len(text[a:b].split()) > LONG else [(a, b)]:
+            out += _pieces(text, c, d) if len(text[c:d].split()) > LONG else [(c, d)]
     return out
 
 
@@ -49,22 +68,43 @@ def tag(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=3).digest())
 
 
-def runs(text: str, span: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(first sentence, 128-bit hash) of every run that counts. Case and white space do not matter."""
+def bounds(counts: list[int], span: int, min_words: int, grow: bool) -> list[tuple[int, int]]:
+    """(first, end) of every run that counts in sentences of so many words.
+
+    With `grow` a text too short for any run is one run by itself.
+    """
+    before = [0, *accumulate(counts)]
+    out, j = [], 0
+    for i in range(len(counts) - span + 1):
+        j = max(j, i + span)
+        while grow and j < len(counts) and before[j] - before[i] < min_words:
+            j += 1
+        end = j if grow else i + span
+        if before[end] - before[i] >= min_words:
+            out.append((i, end))
+    return [(0, len(counts))] if grow and not out and before[-1] else out
+
+
+def runs(text: str, span: int, min_words: int, grow: bool = False) -> list[tuple[int, bytes]]:
+    """(first sentence, 128-bit hash) of every run that counts. Case and white space do not matter.
+
+    A whole text too short for any run equals whole texts only.
+    """
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     out = []
-    for i in range(len(words) - span + 1):
-        run = words[i : i + span]
-        if sum(map(len, run)) >= min_words:
-            out.append((i, blake2b("\n".join(map(" ".join, run)).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+    for i, j in bounds(list(map(len, words)), span, min_words, grow):
+        run = words[i:j]
+        whole = j - i < span or sum(map(len, run)) < min_words
+        body = ("\n" if whole else "") + "\n".join(map(" ".join, run))
+        out.append((i, blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
     return out
 
 
-def _emit(batches: Iterator[pa.RecordBatch], span: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _emit(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         doc, at, key = [], [], []
         for i, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-            found, mark = runs(text, span, min_words), tag(text)
+            found, mark = runs(text, span, min_words, grow), tag(text)
             doc += [i] * len(found)
             at += [(s << 24) | mark for s, _ in found]
             key += [h for _, h in found]
@@ -74,12 +114,13 @@ def _emit(batches: Iterator[pa.RecordBatch], span: int, min_words: int) -> Itera
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         kept, total, gone = [], [], []
         for text, lists in zip(part.column("text").to_pylist(), part.column("list").to_pylist(), strict=True):
             tiles, mark = sentences(text or ""), tag(text or "")
-            out = {s + j for x in lists or () if x & 0xFFFFFF == mark for s in (x >> 24,) for j in range(span)}
+            ends = dict(bounds([len(text[a:b].split()) for a, b in tiles], span, min_words, grow)) if lists else {}
+            out = {j for x in lists or () if x & 0xFFFFFF == mark and x >> 24 in ends for j in range(x >> 24, ends[x >> 24])}
             kept.append(text if not out else "".join(text[a:b] for i, (a, b) in enumerate(tiles) if i not in out))
             total.append(len(tiles))
             gone.append(len(out))
@@ -87,23 +128,24 @@ def _cut(batches: Iterator[pa.RecordBatch], span: int, names: list[str]) -> Iter
         yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])
 
 
-def remove_spans(df: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_spans(df: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", grow: bool = False) -> DataFrame:
     """`df` with the remaining text, n_sentences and n_removed.
 
     A run that repeats inside its own document counts as well. Null and empty texts have no sentences and stay as they
     are; rows without a key neither lose nor claim a run; rows that share key and text are one document, so repeated rows
-    do not take from each other. A text of fewer sentences than `span` stays. An empty table stays empty. Further columns
+    do not take from each other. A text of fewer sentences than `span` stays, with `grow` its first copy only. An empty table stays empty. Further columns
     are carried; ones named like an added one are replaced.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null")
-    spans = staged(docs.mapInArrow(lambda it: _emit(it, span, min_words), "h bigint, g bigint, doc bigint, at bigint"), "spans")
+    spans = staged(docs.mapInArrow(lambda it: _emit(it, span, min_words, grow), "h bigint, g bigint, doc bigint, at bigint"), "spans")
     # folded before the shuffle: a hash that a third of the documents share costs one row for each task
     first = spans.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-    first = first.filter("first != last").select("h", "g", "first")
+    # each shuffle is released before the next one is written
+    first = staged(first.filter("first != last").select("h", "g", "first"), "first")
     later = spans.join(first, ["h", "g"]).filter(F.struct("doc", "at") > F.col("first"))
-    lists = later.groupBy("doc").agg(F.collect_set("at").alias("list"))
+    lists = staged(later.groupBy("doc").agg(F.collect_set("at").alias("list")), "lists")
     base = df.drop("n_sentences", "n_removed", "list", "doc").withColumnRenamed(text, "text")
     names, kinds = base.columns, {f.name: f.dataType.simpleString() for f in base.schema.fields}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_sentences bigint, n_removed bigint"
     joined = base.withColumn("doc", F.col(f"`{key}`").cast("long")).join(lists, "doc", "left").drop("doc")
-    return joined.mapInArrow(lambda it: _cut(it, span, names), schema).withColumnRenamed("text", text)
+    return joined.mapInArrow(lambda it: _cut(it, span, min_words, grow, names), schema).withColumnRenamed("text", text)

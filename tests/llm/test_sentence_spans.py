@@ -55,3 +55,18 @@ def test_repeated_rows_extra_columns_and_empty(docs):
     got = sorted((r.doc_id, r.n_removed, r.lang) for r in ss.remove_spans(df).collect())
     assert got == [(1, 0, "en"), (1, 0, "en"), (1, 0, "en"), (2, 2, "en")]
     assert ss.remove_spans(df.limit(0)).count() == 0
+
+
+def test_short_sentences_and_single_ones(docs):
+    """Passages of short sentences, exact copies of one sentence and parts of sentences without commas all go."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    short, plain, one = "".join(f"{w}.!! " for w in some(50)), " ".join(some(100)), " ".join(some(10))
+    rows = [(1, short), (2, f"{word()} {word()}. {short}{word()}."), (3, one), (4, one), (5, f"{one} {word()}")]
+    rows += [(6, " ".join([*some(40), plain, *some(40)])), (7, " ".join([*some(60), plain, *some(20)])), (8, "yes."), (9, "yes."), (10, "")]
+    got = {r.doc_id: r.text for r in ss.remove_spans(docs(rows), grow=True).collect()}
+    assert [got[i] for i in (1, 3, 5, 6, 8, 10)] == [rows[i - 1][1] for i in (1, 3, 5, 6, 8, 10)]
+    assert not set(got[2].split()) & set(short.split()) and len(got[2].split()) == 3
+    assert got[4] == got[9] == ""
+    assert set(rows[6][1].split()) - set(plain.split()) <= set(got[7].split()) and len(set(got[7].split()) & set(plain.split())) < 40
