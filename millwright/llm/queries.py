@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity, wrapper
+from . import (
+    decontamination, fingerprints, merkle, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity,
+    wrapper,
+)
 from .common import table
 
 TOKENIZERS = os.environ.get("MILLWRIGHT_TOKENIZERS")
@@ -71,11 +74,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op13_merkle_multiproofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
-        op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup,
+        op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup, op13_merkle_multiproofs,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle_multiproofs": merkle.ORACLE}
