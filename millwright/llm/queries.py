@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     decontamination, fingerprints, merkle, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity,
-    wrapper,
+    whitening, wrapper,
 )
 from .common import table
 
@@ -74,6 +74,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_multiproofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
-        op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup, op13_merkle_multiproofs,
+        op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup, op11_bit_sliced_whitening,
+        op13_merkle_multiproofs,
     )
 }
 ORACLES: dict[str, str] = {"op13_merkle_multiproofs": merkle.ORACLE}
