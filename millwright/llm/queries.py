@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, fingerprints, merkle, order_minhash, packing, sentence_spans, sharding, suffix_dedup, token_counts, toxicity,
-    whitening, wrapper,
+    decontamination, fingerprints, hashing_search, merkle, order_minhash, packing, sentence_spans, sharding, suffix_dedup,
+    token_counts, toxicity, whitening, wrapper,
 )
 from .common import table
 
@@ -78,6 +78,10 @@ def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_multiproofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ QUERIES = {
     for f in (
         op1_jump_shards, op2_decontamination, op3_toxicity, op4_sentence_spans, op5_best_fit_packing, op6_token_counts,
         op7_wrapper_text, op8_order_minhash, op9_iblt_fingerprints, op10_suffix_dedup, op11_bit_sliced_whitening,
-        op13_merkle_multiproofs,
+        op12_multi_index_hashing, op13_merkle_multiproofs,
     )
 }
 ORACLES: dict[str, str] = {"op13_merkle_multiproofs": merkle.ORACLE}
