@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ranges, staged
 from .whitening import usable
 
 SAMPLE = 8192
@@ -177,9 +177,7 @@ class Index:
             asked = self.flips[j, share] ^ word
             hit = np.searchsorted(values, asked)
             hit = hit[values[np.minimum(hit, len(values) - 1)] == asked]
-        if len(values) == len(order):
-            return order[hit]
-        return np.concatenate([order[starts[h] : starts[h + 1]] for h in hit]) if len(hit) else order[:0]
+        return order[ranges(starts[hit], starts[hit + 1] - starts[hit])]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose codes differ from `code` in at most `radius` bits."""
