@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.timex import US_PER_HOUR, US_PER_S, at, floor_us, half_up, us
 from ..session import cut
+from .bitmaps import bitmaps, overlaid
 from .scan import attach, percentiles, running
 
 REGIME_ROLES = ("cycle_time_mean", "run_state_duty", "run_time_delta", "axis_move_total", "production_count_delta")
@@ -48,17 +49,15 @@ def _shift(perm: Column, machine: Column, seed: int, modulus: Column) -> Column:
 def null_counts(occ: DataFrame, n_perm: int, seed: int, per_day: int | None = None) -> DataFrame:
     """Co-stop buckets of every permutation; circular shifts by any bucket, or by whole days.
 
-    Only occupied cells are expanded. A (permutation, bucket) pair is folded before the shuffle and
-    the pairs spread over all tasks, so neither a machine nor a permutation is one task's job.
+    Each machine's buckets are a bitmap that every permutation turns; tasks overlay their machines with saturating
+    bit-sliced counters, and only these are shuffled, so no cell is copied per permutation.
     """
     h = F.col("h")
     modulus = h if per_day is None else F.greatest(F.lit(1).cast("bigint"), F.floor(h / per_day))
     step = 1 if per_day is None else per_day
-    rows = occ.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    shift = _shift(F.col("perm"), F.col("machine"), seed, modulus) * step
-    hits = rows.groupBy("perm", F.pmod(F.col("b_idx") + shift, h).alias("b")).agg(F.count(F.lit(1)).alias("m"))
-    counts = hits.groupBy("perm").agg(F.count_if(F.col("m") >= 2).alias("co"))
-    return counts
+    shifts = F.transform(F.sequence(F.lit(0), F.lit(n_perm - 1)), lambda p: _shift(p, F.col("machine"), seed, modulus) * step)
+    maps = bitmaps(occ, "machine", "b_idx", "h").withColumn("shifts", shifts)
+    return overlaid(maps, "h", "shifts").select(F.col("turn").alias("perm"), F.col("places").alias("co"))
 
 
 def synchronization(
