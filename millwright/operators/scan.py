@@ -320,43 +320,6 @@ def islands(
     return joined.select(*names, (F.col("__off") + F.col("__loc")).alias(out))
 
 
-def island_totals(
-    df: DataFrame, by: Sequence[str], t: str, max_gap_us: int, aggs: Mapping[str, tuple[str, Column]],
-    *, spread: tuple[str, Column] | None = None, slice_s: int | None = None,
-) -> DataFrame:
-    """Aggregates of each maximal run of `islands`, one row per run, without sending its rows on.
-
-    `spread` names a column and an array of its values; each row counts once for every value. The copies are made after
-    the one shuffle by (key, slice), and only one row per key, value, slice and run inside it leaves the slice.
-    """
-    by = list(by)
-    width = slice_seconds(df, slice_s) * US_PER_S
-    rows = df.withColumn("__us", F.unix_micros(t)).withColumn("__slice", floor_div(F.col("__us"), width))
-    rows, keys, sl = placed(rows, by, "__slice")
-    names = list(by)
-    if spread:
-        rows = rows.withColumn(spread[0], F.explode(spread[1]))
-        keys, names = [*keys, spread[0]], [*names, spread[0]]
-    w = Window.partitionBy(*keys, sl).orderBy("__us")
-    step = rows.withColumn("__brk", F.coalesce((F.col("__us") - F.lag("__us").over(w) > max_gap_us).cast("bigint"), F.lit(0)))
-    local = step.withColumn("__loc", F.sum("__brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = [F.min("__us").alias("__first"), F.max("__us").alias("__last")]
-    parts = local.groupBy(*keys, sl, "__loc").agg(
-        *ends, *[F.first(c).alias(f"__by_{c}") for c in by], *[_AGG[k](c).alias(n) for n, (k, c) in aggs.items()]
-    )
-    slices = parts.groupBy(*keys, sl).agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.max("__loc").alias("__n"))
-    ws = Window.partitionBy(*keys).orderBy(sl)
-    fresh = F.coalesce((F.col("__first") - F.lag("__last").over(ws) > max_gap_us).cast("bigint"), F.lit(1))
-    slices = slices.withColumn("__fresh", fresh)
-    before = F.coalesce(F.sum(F.col("__n") + F.col("__fresh")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = slices.select(*keys, sl, (before + F.col("__fresh")).alias("__off"))
-    whole = parts.join(offset, [*keys, sl]).withColumn("__island", F.col("__off") + F.col("__loc"))
-    out = whole.groupBy(*keys, "__island").agg(
-        *[F.first(f"__by_{c}").alias(f"__by_{c}") for c in by], *[_CARRY[k](n).alias(n) for n, (k, _) in aggs.items()]
-    )
-    return out.select(*[F.col(f"__by_{c}").alias(c) for c in by], *names[len(by):], *aggs)
-
-
 def value_slices(folded: DataFrame, by: Sequence[str], value: str, steps: int) -> DataFrame:
     """Add `__slice`, the range of its key that a value falls into, with bounds drawn from the data.
 

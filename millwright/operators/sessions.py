@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timex import US_PER_HOUR, US_PER_MIN, US_PER_S, at, floor_div, floor_us, half_even, us
-from .scan import asof, island_totals, islands, row_index, running, slice_seconds
+from .levelsets import level_runs
+from .scan import asof, islands, row_index, running, slice_seconds
 
 
 def extract_windows(
@@ -52,7 +53,7 @@ def risk_episodes(
     scored: DataFrame, thresholds: float | Sequence[float], *, merge_gap_min: int = 20, min_buckets: int = 3,
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Episodes of risk at or above a threshold, for one or many thresholds in one job.
+    """Episodes of risk at or above a threshold, for one or many thresholds in one job (see `levelsets`).
 
     Positions, labels and risk are accumulated once over all rows of a machine, so the size, mean and
     hit of an episode (which include the rows below the threshold inside it) are differences of
@@ -67,19 +68,14 @@ def risk_episodes(
         rows, ["machine"], order, "__slice",
         {"rn": ("count", F.lit(1)), "cy": ("sum", F.col("y").cast("bigint")), "cr": ("sum", F.col("__r"))},
     )
-    levels = F.filter(F.array(*[F.lit(x) for x in many]), lambda x: x <= F.col("risk"))
-    g = island_totals(
-        acc, ["machine"], "ts", merge_gap_min * US_PER_MIN,
-        {
-            "start": ("min", F.col("ts")), "end": ("max", F.col("ts")), "peak_risk": ("max", F.col("risk")), "a": ("min", F.col("rn")),
-            "b": ("max", F.col("rn")), "y0": ("min", F.col("cy") - F.col("y")), "y1": ("max", F.col("cy")),
-            "r0": ("min", F.col("cr") - F.col("__r")), "r1": ("max", F.col("cr")),
-        },
-        spread=("threshold", levels),
+    g = level_runs(
+        acc, ["machine"], "ts", "rn", "risk", many, merge_gap_min * US_PER_MIN,
+        {"start": F.col("ts"), "a": F.col("rn"), "y0": F.col("cy") - F.col("y"), "r0": F.col("cr") - F.col("__r")},
+        {"end": F.col("ts"), "b": F.col("rn"), "y1": F.col("cy"), "r1": F.col("cr")},
     )
     n = F.col("b") - F.col("a") + 1
     return g.where(n >= min_buckets).select(
-        "threshold", "machine", "start", "end", "peak_risk",
+        "threshold", "machine", "start", "end", F.col("peak").alias("peak_risk"),
         ((F.col("r1") - F.col("r0")).cast("double") / n).alias("mean_risk"), n.alias("n_buckets"),
         (F.col("y1") > F.col("y0")).alias("hit"),
     )
