@@ -73,4 +73,5 @@ SELECT machine, ts, event_id, sum(risk*pow(0.95::DOUBLE, -rn)) OVER w / sum(pow(
 def _(p):
     e = _arriving(p).where("m < 10")
     s = e.select("machine", "ts", "event_id", (F.pmod(F.col("k") * 37 + 11, F.lit(101)).cast("double") / 100).alias("value"))
-    return jobs.drain(jobs.ewma(s), "stream-ewma")
+    end = jobs.Closing(p.spark)
+    return jobs.drain(jobs.ewma(end.over(s, "ts"), delay="1 hour"), "stream-ewma", end, ordered=True)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Iterator
+from contextlib import nullcontext
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
 from ..session import ensure_checkpoint_dir
+from .ordered import Drift, ordered_state
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,7 +48,7 @@ class Closing:
         self._rows([FAR]).coalesce(1).write.mode("append").parquet(self.folder)
 
 
-def drain(stream: DataFrame, name: str, closing: Closing | None = None) -> DataFrame:
+def drain(stream: DataFrame, name: str, closing: Closing | None = None, ordered: bool = False) -> DataFrame:
     """Process everything available now into a Parquet sink with its own checkpoint, then read the sink.
 
     In append mode a window is written once the watermark has passed its end. With `closing` the input is taken to be
@@ -62,10 +59,11 @@ def drain(stream: DataFrame, name: str, closing: Closing | None = None) -> DataF
     base = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
     def go() -> None:
-        q = (
-            stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        )
+        with ordered_state(spark) if ordered else nullcontext():
+            q = (
+                stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            )
         q.awaitTermination()
 
     go()
@@ -113,34 +111,18 @@ def dedup_stops(stops: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stops.withWatermark("start", delay).dropDuplicatesWithinWatermark(["machine", "start"])
 
 
-def ewma(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Drift average per machine with two doubles of state; a NULL only decays.
+def ewma(rows: DataFrame, alpha: float = 0.05, delay: str = "10 minutes", forget_s: int | None = None) -> DataFrame:
+    """Drift average per machine in event time, whatever files and triggers the rows arrive in; a NULL only decays.
 
-    All rows of a machine in one trigger are put in time order before they are averaged, whatever batches they come in;
-    triggers follow arrival order, as a stream does. A trigger's rows of one machine are held at once: bound them by
-    `files_per_trigger`.
+    Rows wait in state until the watermark has passed them, then leave in the order of time and event id, so the answer is
+    that of the batch form over all rows that were not late. Later rows are dropped, as in the other jobs here, and rows
+    without a time are never due. The state of a machine is two doubles and the rows of the last `delay`; with `forget_s`
+    the average of a machine silent for that long in event time starts anew. Needs `ordered_state` around the start.
     """
-    q = 1.0 - alpha
-    block = max(1, min(4096, int(300 / -math.log(q))))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        num, den = state.get if state.exists else (0.0, 0.0)
-        rest = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
-        held = num / den if den > 0 else np.nan
-        for at in range(0, len(rest), block):
-            pdf = rest.iloc[at : at + block]
-            x = pdf["value"].to_numpy(dtype=float, na_value=np.nan)
-            there = ~np.isnan(x)
-            fall = q ** np.arange(1, len(x) + 1)
-            nums = fall * (num + np.cumsum(np.where(there, x, 0.0) / fall))
-            dens = fall * (den + np.cumsum(there / fall))
-            mean = np.where(np.cumsum(there) > 0, nums / np.where(dens > 0, dens, 1.0), held)
-            num, den, held = float(nums[-1]), float(dens[-1]), mean[-1]
-            yield pd.DataFrame({"machine": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "ewma": [None if v != v else v for v in mean]})
-        # long runs of NULL would let both vanish; their ratio is kept
-        state.update((num, den) if den > 1e-200 or held != held else (float(held) * 1e-200, 1e-200))
-
-    return rows.select("machine", "ts", "event_id", "value").groupBy("machine").applyInPandasWithState(
-        step, "machine string, ts timestamp, event_id bigint, ewma double", "num double, den double", "append",
-        GroupStateTimeout.NoTimeout,
+    timed = rows.select("machine", "ts", "event_id", "value").withWatermark("ts", delay)
+    timed = timed.withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("machine").transformWithState(
+        statefulProcessor=Drift(alpha, forget_s), outputStructType="machine string, us bigint, event_id bigint, ewma double",
+        outputMode="Append", timeMode="EventTime",
     )
+    return out.select("machine", F.timestamp_micros("us").alias("ts"), "event_id", "ewma")

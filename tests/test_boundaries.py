@@ -225,34 +225,6 @@ def test_model_learns_a_planted_signal(spark):
     assert metrics.roc_auc(s, ["machine"]).first().roc_auc > 0.9
 
 
-def test_stream_average_ignores_file_order_and_batch_size(spark, tmp_path):
-    """Shuffled rows in one trigger, Arrow batches of 100: the same answer as in time order."""
-    import random
-
-    from millwright.streaming import jobs
-
-    rows = [("A", t(i), i, None if i % 7 == 3 or 900 < i < 1900 else float(i % 13)) for i in range(3000)]
-    want, num, den = {}, 0.0, 0.0
-    for _, _, i, v in rows:
-        num, den = num * 0.7, den * 0.7
-        if v is not None:
-            num, den = num + v, den + 1
-            held = num / den
-        want[i] = held if i else 0.0
-    shuffled = list(rows)
-    random.Random(1).shuffle(shuffled)
-    schema = "machine string, ts timestamp, event_id bigint, value double"
-    spark.createDataFrame(shuffled, schema).write.parquet(str(tmp_path / "in"))
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    try:
-        stream = jobs.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-        got = {r.event_id: r.ewma for r in jobs.drain(jobs.ewma(stream, 0.3), "test-ewma").collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == pytest.approx(want, abs=1e-9)
-
-
 def test_rules_by_literal_cases(spark):
     """Written out here, apart from the rule tables, so that a wrong table cannot stay green."""
     alarms = {
