@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import metrics
+from . import grouped, metrics
 from .anomaly import melt
 from .predict import chrono_split, robust_znorm
 from .scan import attach, percentiles
@@ -199,20 +199,32 @@ def ablation(split: DataFrame, sets: dict[str, Sequence[str]], name: str = "logr
     return metrics.report(out, ["features"])
 
 
-def per_machine(split: DataFrame, columns: Sequence[str], name: str = "logreg", min_rows: int = 300, **kw) -> DataFrame:
-    """One model per machine with enough rows and both classes on both sides."""
-    ok = split.groupBy("machine").agg(
-        F.count_if(F.col("part") == "train").alias("n"),
+def own_model_machines(split: DataFrame, min_rows: int = 300) -> DataFrame:
+    """Machines with enough training rows and both classes on both sides, with their counts."""
+    return split.groupBy("machine").agg(
+        F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"),
         F.count_distinct(F.when(F.col("part") == "train", F.col("y"))).alias("ct"),
         F.count_distinct(F.when(F.col("part") == "test", F.col("y"))).alias("ce"),
-    ).where((F.col("n") >= min_rows) & (F.col("ct") == 2) & (F.col("ce") == 2))
-    out = None
-    for r in ok.orderBy("machine").collect():  # one row per machine that gets its own model
-        s = train_and_score(split.where(F.col("machine") == r["machine"]), columns, name, **kw).select("machine", "y", "risk")
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        return metrics.report(split.where(F.lit(False)).select("machine", "y", F.lit(0.0).alias("risk")), ["machine"])
-    return metrics.report(out, ["machine"])
+    ).where((F.col("n_train") >= min_rows) & (F.col("ct") == 2) & (F.col("ce") == 2)).select("machine", "n_train", "n_test")
+
+
+def per_machine_scores(split: DataFrame, columns: Sequence[str], min_rows: int = 300, l2: float = 1.0) -> DataFrame:
+    """Held-out risk of every machine's own logistic regression (balanced classes), all machines fitted together."""
+    chosen = own_model_machines(split, min_rows)
+    rows = split.join(chosen.select("machine"), "machine", "left_semi")
+    x = grouped.standardised(rows, "machine", columns, F.col("part") == "train", ["ts", "y"])
+    x = stage(x.withColumn("y", F.col("y").cast("double")), "own-models")
+    train = x.where("__train")
+    sizes = train.groupBy("machine").agg(F.count(F.lit(1)).alias("__n"), F.sum("y").alias("__p"))
+    own = F.when(F.col("y") == 1, F.col("__p")).otherwise(F.col("__n") - F.col("__p"))
+    fitted = grouped.fit_logistic(train.join(sizes, "machine").withColumn("w", F.col("__n") / (2.0 * own)), "machine", l2)
+    test = x.where("NOT __train").join(fitted.select("machine", "beta"), "machine")
+    return test.select("machine", "ts", "y", grouped.probability("x", "beta").alias("risk"))
+
+
+def per_machine(split: DataFrame, columns: Sequence[str], min_rows: int = 300, l2: float = 1.0) -> DataFrame:
+    """Metrics of one logistic regression per machine on its own held-out rows."""
+    return metrics.report(per_machine_scores(split, columns, min_rows, l2).select("machine", "y", "risk"), ["machine"])
 
 
 def one_hot(split: DataFrame, columns: Sequence[str], name: str = "random_forest", **kw) -> DataFrame:

@@ -196,9 +196,21 @@ def _(p):
     return models.ablation(views.split_supervised(p), {"recency": recency, "telemetry": DEVICE, "all": FEATURES})
 
 
+# the given tables have 51 to 219 training rows a machine; the operator's default of 300 would leave none
+OWN_ROWS = 150
+
+
 @query("per_machine_models")
 def _(p):
-    return models.per_machine(views.split_supervised(p), FEATURES, min_rows=150)
+    return models.per_machine(views.split_supervised(p), FEATURES, min_rows=OWN_ROWS)
+
+
+@query("per_machine_models_rows", f"""SELECT machine, ts, CAST(y AS INTEGER) AS y, true AS in_range FROM o_supsplit WHERE part='test' AND machine IN (
+  SELECT machine FROM o_supsplit GROUP BY 1 HAVING count(*) FILTER (part='train') >= {OWN_ROWS}
+  AND count(DISTINCT y) FILTER (part='train') = 2 AND count(DISTINCT y) FILTER (part='test') = 2)""")
+def _(p):
+    s = models.per_machine_scores(views.split_supervised(p), FEATURES, min_rows=OWN_ROWS)
+    return s.select("machine", "ts", F.col("y").cast("int").alias("y"), F.col("risk").between(0, 1).alias("in_range"))
 
 
 @query("machine_onehot")
