@@ -4,9 +4,9 @@ Every distinct text gets TABLES keys. A key draws the two least of the text's oc
 keeps them in text order, so texts agree in a key more often the closer they are in edit distance. Members of a bucket
 are aligned with its leader, and those that are not near it with a next one. A bucket whose members are then joined is
 settled; in every other one, each pair of members that no chain of links joins is a candidate, those near a leader too.
-Small buckets are joined with themselves, the others by the words of which near texts must share one (prefix filter);
-bags of words drop candidates that cannot be near, and the rest are aligned. No step loses a near pair of a bucket, so
-the classes, the components of the verified links, are those of comparing all pairs of every bucket at any input size.
+Lengths in bands and coarse and fine bags of words, compared in blocks inside tasks, drop candidates that cannot be near;
+only the rest become rows and are aligned. No step loses a near pair of a bucket, so the classes, the components of
+the verified links, are those of comparing all pairs of every bucket at any input size.
 """
 
 from __future__ import annotations
@@ -20,18 +20,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import ranges, slices, staged, text_buffer
+from .common import slices, staged, text_buffer
 
 K = 5
 TABLES = 16
 SIMILARITY = 0.8
 LEADERS = 2
 """Leaders that the members of a bucket meet before the pairs of an unsettled one are enumerated."""
-LAST = 2_000
-"""An unsettled bucket of more pairs than this is split by the words that near texts must share; both ways are exact."""
-COUNTS = 1 << 18
-"""Buckets of hashes by which the words of split buckets are counted, to take rare ones first."""
 BAG = 128
+FINE_BAG = 4096
+BAG_ROWS = 256
+BLOCK = 512
+"""Members of a bucket that a task compares with as many others."""
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -107,73 +107,27 @@ def _most(n: np.ndarray, similarity: float) -> np.ndarray:
     return ((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def _labelled(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    word, begin, _ = words(*text_buffer(part.column("text")))
-    return labelled_kmers(word, begin, 1)
-
-
-def word_counts(hot: DataFrame) -> np.ndarray:
-    """How often the occurrence-labelled words of `hot` (text) fall into each of COUNTS buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTS, np.int64)
-        for part in slices(batches, "text"):
-            n += np.bincount((_labelled(part)[0] % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["at", "n"])
-
-    got = hot.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTS, np.uint32)
-    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), 0xFFFFFFFF)
-    return out
-
-
-def prefixes(hot: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(key, doc) of hot (doc, text, keys): a key for each of the given ones and each of a text's rarest words.
-
-    Near texts share all words but as many as they may differ by; so of both the rarest of one more share a word.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            h, before = _labelled(part)
-            n = np.diff(before)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, counts[(h % np.uint64(COUNTS)).astype(np.int64)], row))
-            taken = np.minimum(_most(n, similarity) + 1, n)
-            lists = part.column("keys")
-            key = lists.flatten().to_numpy().view(np.uint64)
-            at = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
-            token = h[order[ranges(before[:-1][at], taken[at])]]
-            out = rolling.mix(np.repeat(key, taken[at]) + token * np.uint64(0xA24BAED4963EE407), 13)
-            doc = np.repeat(part.column("doc").to_numpy()[at], taken[at])
-            for i in range(0, len(out), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(out[i : i + (1 << 16)].view(np.int64)), pa.array(doc[i : i + (1 << 16)])], ["key", "doc"])
-
-    return hot.select("doc", "text", "keys").mapInArrow(run, "key bigint, doc bigint")
-
-
 def bags(docs: DataFrame) -> DataFrame:
-    """(doc, n, bag) of docs (doc, text): words in all and in each of BAG classes of hashes, at most 255."""
+    """(doc, bag) of docs (doc, text): words in each of BAG classes of hashes, then in each of FINE_BAG, at most 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in (x.slice(at, BAG_ROWS) for x in slices(batches, "text") for at in range(0, x.num_rows, BAG_ROWS)):
             word, begin, _ = words(*text_buffer(part.column("text")))
             n = np.diff(begin)
-            at = np.repeat(np.arange(len(n)), n) * BAG + (word % np.uint64(BAG)).astype(np.int64)
-            bag = np.minimum(np.bincount(at, minlength=len(n) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array([x.tobytes() for x in bag], pa.binary())], ["doc", "n", "bag"])
+            row = np.repeat(np.arange(len(n)), n)
+            both = np.zeros((len(n), BAG + FINE_BAG), np.uint8)
+            for first, size in ((0, BAG), (BAG, FINE_BAG)):
+                count = np.bincount(row * size + (rolling.mix(word, size) % np.uint64(size)).astype(np.int64), minlength=len(n) * size)
+                both[:, first : first + size] = np.minimum(count, 255).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([x.tobytes() for x in both], pa.binary())], ["doc", "bag"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, bag binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc bigint, bag binary")
 
 
-def _may_be_near(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of (a, b, n, x, y): an edit takes at most one word from each bag."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("x", "y"))
-            apart = np.maximum(np.maximum(x - y, 0).sum(axis=1), np.maximum(y - x, 0).sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= _most(batch.column("n").to_numpy(), similarity)))
+def _apart(bags: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The larger of what either bag has over the other, for each row of `bags` against `one`."""
+    off = bags.astype(np.int16) - one
+    return np.maximum(np.maximum(off, 0).sum(axis=1), np.maximum(-off, 0).sum(axis=1))
 
 
 def distance_within(a: list, b: list, most: int) -> bool:
@@ -265,40 +219,54 @@ def _shared(member: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _open(member: DataFrame, linked: DataFrame) -> DataFrame:
-    """(key, doc, n_words, part, pairs) of the buckets whose members the links do not all join; part: the component."""
+    """(key, doc, n_words, part) of the buckets whose members the links do not all join; part: the component."""
     root = components(linked).withColumnRenamed("node", "doc")
     parts = member.join(root.hint("merge"), "doc", "left").select("key", "doc", "n_words", F.coalesce("root", "doc").alias("part"))
     parts = staged(parts, "parts")
-    unlike = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-    return staged(parts.join(unlike.select("key", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs")), "key"), "open")
+    unlike = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+    return staged(parts.join(unlike.select("key"), "key"), "open")
 
 
-def _pairs(member: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: members (key, doc, n_words, part) of one bucket, of lengths that allow it and of different parts."""
-    x = member.select("key", F.col("doc").alias("a"), F.col("n_words").alias("n"), F.col("part").alias("p"))
-    y = member.select("key", F.col("doc").alias("b"), F.col("n_words").alias("m"), F.col("part").alias("q"))
-    close = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    return x.hint("merge").join(y, "key").filter("a < b and p != q").filter(close).select("a", "b").distinct()
+def _blocks(member: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: members (key, doc, n_words, part, bag) of one bucket and different parts whose lengths and bags allow it.
+
+    Inside a bucket the work of comparing bags grows with the square of the unlike texts of a band (under a microsecond
+    each); rows do not. A near pair's lengths lie in one band or in neighbouring ones, so a band meets itself and the next; a band of more than
+    BLOCK members is dealt into groups, and a task compares the bags of two groups. Only what may be near leaves it.
+    """
+    band = F.floor(F.log(F.col("n_words").cast("double")) / float(-np.log(similarity)) + 1e-9)
+    there = member.withColumn("cell", F.explode(F.array(band, band + 1))).withColumn("home", F.col("cell") == band)
+    size = there.groupBy("key", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"), F.max("home").alias("met")).filter("met").drop("met")
+    there = there.hint("merge").join(size, ["key", "cell"]).withColumn("g", F.pmod(F.xxhash64("doc"), F.col("groups")))
+    there = there.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumns({"i": F.least("g", "o"), "j": F.greatest("g", "o")})
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        doc, part, n, home, g = (table[c].to_numpy() for c in ("doc", "part", "n_words", "home", "g"))
+        bag = np.frombuffer(b"".join(table["bag"].to_pylist()), np.uint8).reshape(-1, BAG + FINE_BAG)
+        inner, found = key[2].as_py() == key[3].as_py(), []
+        for x in range(len(doc)):
+            y = np.flatnonzero((part != part[x]) & (home | home[x]) & (doc > doc[x]))
+            y = y[np.minimum(n[y], n[x]) >= similarity * np.maximum(n[y], n[x]) - 1e-9]
+            if not inner:  # pairs inside a group are its own task's
+                y = y[g[y] != g[x]]
+            most = _most(np.maximum(n[y], n[x]), similarity)
+            for kind in (slice(0, BAG), slice(BAG, None)):  # an edit takes at most one word from a bag
+                ok = _apart(bag[y, kind], bag[x, kind]) <= most
+                y, most = y[ok], most[ok]
+            found += [(doc[x], b) for b in doc[y]]
+        return pa.table([[a for a, _ in found], [b for _, b in found]], schema=PAIR)
+
+    rows = there.select("key", "cell", "i", "j", "doc", "part", "n_words", "home", "g", "bag")
+    return rows.groupBy("key", "cell", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def candidates(member: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of unsettled buckets, member (key, doc, n_words, part, pairs), whose words allow that they are near."""
-    out = _pairs(member.filter(F.col("pairs") <= LAST), similarity)
-    large = member.filter(F.col("pairs") > LAST)
-    if not large.isEmpty():
-        keys = large.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-        hot = staged(texts.hint("merge").join(keys, "doc").select("doc", "text", "keys"), "hot")
-        split = staged(prefixes(hot, word_counts(hot), similarity), "prefixes")
-        # a word that all of a bucket's members have in one part or that only one has makes no pair
-        part = large.select("doc", "n_words", "part").distinct()
-        split = split.join(part.hint("merge"), "doc")
-        unlike = split.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-        out = out.unionByName(_pairs(staged(split.join(unlike.hint("merge"), "key"), "split"), similarity)).distinct()
+    """(a, b): pairs of unsettled buckets, member (key, doc, n_words, part), whose words allow that they are near."""
     bag = staged(bags(texts.join(member.select("doc").distinct().hint("merge"), "doc", "left_semi")), "bags")
-    both = out.hint("merge").join(bag.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bag").alias("x")), "a")
-    both = both.hint("merge").join(bag.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bag").alias("y")), "b")
-    both = both.select("a", "b", F.greatest("na", "nb").alias("n"), "x", "y")
-    return both.mapInArrow(lambda it: _may_be_near(it, similarity), "a bigint, b bigint")
+    return _blocks(member.hint("merge").join(bag, "doc"), similarity)
 
 
 def links(found: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

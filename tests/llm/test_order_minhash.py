@@ -63,8 +63,8 @@ def test_classes_equal_all_pairs(spark, docs):
     assert got[given[len(rows)][0]].n_copies == 5
 
 
-@pytest.mark.parametrize("last", [0, 1_000_000])
-def test_common_line(spark, docs, monkeypatch, last):
+@pytest.mark.parametrize("block", [3, 512])
+def test_common_line(spark, docs, monkeypatch, block):
     """Many unlike short texts share a line; the pairs among them are found all the same, in a few rounds."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -74,7 +74,7 @@ def test_common_line(spark, docs, monkeypatch, last):
         own = [word() for _ in range(16)]
         rows += [(i, f"{line} {' '.join(own)}"), (i + 1, f"{line} {' '.join(own[:-2] + [word(), word()])}")]
     rounds = []
-    monkeypatch.setattr(om, "LAST", last)
+    monkeypatch.setattr(om, "BLOCK", block)
     whole = om._shared
     monkeypatch.setattr(om, "_shared", lambda m: rounds.append(1) or whole(m))
     got = {r.doc_id: r.class_id for r in om.classes(docs(rows)).collect()}
@@ -82,8 +82,8 @@ def test_common_line(spark, docs, monkeypatch, last):
     assert len(rounds) < 14
 
 
-@pytest.mark.parametrize("last", [0, 10**12])
-def test_pairs_that_share_common_words_only(docs, monkeypatch, last):
+@pytest.mark.parametrize("block", [3, 512])
+def test_pairs_that_share_common_words_only(docs, monkeypatch, block):
     """Near texts whose whole k-mers all stand in a common line are found, however large the buckets are."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -91,13 +91,13 @@ def test_pairs_that_share_common_words_only(docs, monkeypatch, last):
     for i in range(0, 60, 2):
         own = [word() for _ in range(20)]
         rows += [(i, f"{line} {' '.join(own)}"), (i + 1, f"{line} {' '.join(word() if j % 4 == 0 else x for j, x in enumerate(own))}")]
-    monkeypatch.setattr(om, "LAST", last)
+    monkeypatch.setattr(om, "BLOCK", block)
     got = {r.doc_id: r.class_id for r in om.classes(docs(rows)).collect()}
     assert got == {i: i - i % 2 for i in range(60)}
 
 
-@pytest.mark.parametrize("last", [0, 10**12])
-def test_near_a_member_but_not_its_leader(spark, docs, monkeypatch, last):
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_a_member_but_not_its_leader(spark, docs, monkeypatch, block):
     """Every bucket's near pairs join their texts, in large and small buckets, also through members near a leader."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -108,7 +108,7 @@ def test_near_a_member_but_not_its_leader(spark, docs, monkeypatch, last):
             texts.append(f"{line} {' '.join(own)}")
             for j in rng.sample(range(28), 6):
                 own[j] = word()
-    monkeypatch.setattr(om, "LAST", last)
+    monkeypatch.setattr(om, "BLOCK", block)
     given = docs(list(enumerate(texts)))
     # every text of the shared line in one bucket, whatever its keys
     sketches = spark.createDataFrame([(i, 40, [7]) for i in range(len(texts))], "doc long, n_words long, keys array<long>")
@@ -121,6 +121,26 @@ def test_near_a_member_but_not_its_leader(spark, docs, monkeypatch, last):
     assert all(root[a] == root[b] for a, b in near) and len({root[a] for a, _ in near}) == 12
 
 
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_blocks_lose_no_near_pair(spark, monkeypatch, block):
+    """Bags of one bucket in blocks: every near pair of different parts comes out once, unlike ones mostly don't."""
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    texts = []
+    for _ in range(12):
+        own = [word() for _ in range(rng.choice([6, 25, 100, 101, 400]))]
+        texts += [" ".join(word() if rng.random() < rng.choice([0.05, 0.15]) else x for x in own) + " x" * rng.randint(0, 9) for _ in range(5)]
+    texts += ["", "one", "one", "a b"]
+    monkeypatch.setattr(om, "BLOCK", block)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    part = [i // 2 for i in range(len(texts))]  # neighbours are joined already
+    member = spark.createDataFrame([(7, i, len(t.split()), part[i]) for i, t in enumerate(texts) if t.split()], "key long, doc long, n_words long, part long")
+    got = [(r.a, r.b) for r in om.candidates(member, docs, 0.8).collect()]
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if part[a] != part[b] and om.near(texts[a], texts[b])}
+    assert len(got) == len(set(got)) and near <= set(got) and all(part[a] != part[b] for a, b in got)
+    assert len(got) < 3 * len(near) + 20
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in om.components(edges).collect()}
