@@ -9,6 +9,7 @@ number of sequences is above the bound of what is left; a deal that gains nothin
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,43 +17,66 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import staged, texts
+from .common import slices, staged, texts
 
 GROUP = 2048
 """Pieces of a group on average."""
 LOOSE = 0.995
 """A sequence filled to a smaller share is taken apart when its group misses its bound."""
 CACHE = 400_000
-"""Words in each of the two generations that a process keeps."""
+"""Words of a generation, of which a process keeps two."""
 
 #: Outside these, normalisation may do more than lower the case, or white space be cut differently; such texts go to the
 #: library whole.
 UNSURE = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
 
 
-class Ids(dict):
-    """Word between white space -> its ids as little-endian unsigned 32-bit numbers; no token reaches over white space,
-    nor from a letter to the comma or stop after it. Words seen lately survive when the table is full."""
+#: The tokenizer's own cut of a word without apostrophes: letters, single numbers, the rest.
+PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Ids:
+    """Ids of words between white space as little-endian unsigned 32-bit numbers; no token reaches over white space, nor
+    over the cuts of `PARTS`, so a new word is put together from its parts and only new parts go to the model.
+
+    Two generations of words are kept: when the newer one is full it becomes the older, whose words come back on use.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.model, self.new, self.old = tokenizer, tokenizer.model, {}, {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytewise = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x180) if not chr(c).isspace()}
+
+    def _part(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.translate(self.bytewise))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+    def _word(self, word: str) -> bytes:
+        ids = self.new.get(word) or self.old.get(word)
         if ids is None:
-            if word[-1] in ",." and word[:-1].isalpha():
-                return self[word[:-1]] + self[word[-1]]
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+            if word.isalpha():
+                ids = self._part(word)
+            elif "'" in word:  # contractions are cut otherwise
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                parts = PARTS.findall(word)
+                ids = b"".join(map(self._word, parts)) if len(parts) > 1 else self._part(word)
+        self.new[word] = ids
         return ids
 
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The table of ids, with all of `words` in it."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        for word in words.difference(self.new):
+            self._word(word)
+        return self.new
+
 
 @lru_cache(maxsize=2)
 def _loaded(path: str):
@@ -62,12 +86,20 @@ def _loaded(path: str):
     return tokenizer, Ids(tokenizer), [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
 
-def encode(text: str, path: str) -> bytes:
-    """Ids of one text, 4 bytes each."""
+def encoded(texts: list[str], path: str) -> Iterator[bytes]:
+    """Ids of each text, 4 bytes each; all words of the texts are looked up once."""
     tokenizer, ids, marks = _loaded(path)
-    if UNSURE.search(text) or any(m in text for m in marks):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(map(ids.__getitem__, text.lower().split()))
+    cut = [None if UNSURE.search(x) or any(m in x for m in marks) else x.lower().split() for x in texts]
+    table = ids.learn(set().union(*(x for x in cut if x)))
+    for text, words in zip(texts, cut, strict=True):
+        if words is None:
+            yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            yield b"".join(map(table.__getitem__, words))
+
+
+def encode(text: str, path: str) -> bytes:
+    return next(encoded([text], path))
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,10 +107,10 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices((x.rename_columns(["key", "text"]) for x in batches), "text"):
             rows, n, start, length, crc = [], [], [], [], []
-            for row, x in enumerate(texts(batch.column(1))):
-                ids = encode(x, path) + end
+            for row, ids in enumerate(encoded(texts(batch.column(1)), path)):
+                ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]
                     rows.append(row)
