@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millwright.session import stage
 
@@ -30,6 +31,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def numbered(df: DataFrame, *added: str) -> tuple[DataFrame, list[str]]:
+    """`df` without the columns `added`, the others renamed c0, c1, ... so that no working column clashes, and their names."""
+    names = [n for n in df.columns if n.lower() not in added]
+    return df.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]), names
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where `column` reaches `limit` bytes, so that working memory does not follow the batch size."""
     for batch in batches:

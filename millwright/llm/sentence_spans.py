@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
 Every run of SPAN consecutive sentences is hashed and the hashes are joined over all documents. A run of fewer than
-MIN_WORDS words grows by further sentences until it has them, or does not count without `grow`. Of equal runs the first
-stands, by document id and place; the sentences of every later one are removed.
+MIN_WORDS words grows by further sentences until it has them, the last one of a text backwards, or does not count without
+`grow`. Of equal runs the first stands, by document id and place; the sentences of every later one are removed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts
+from .common import numbered, slices, staged, texts
 
 SPAN = 2
 MIN_WORDS = 12
@@ -71,7 +71,7 @@ def tag(text: str) -> int:
 def bounds(counts: list[int], span: int, min_words: int, grow: bool) -> list[tuple[int, int]]:
     """(first, end) of every run that counts in sentences of so many words.
 
-    With `grow` a text too short for any run is one run by itself.
+    With `grow` the last run begins early enough to reach the end, and a text too short for any run is one run by itself.
     """
     before = [0, *accumulate(counts)]
     out, j = [], 0
@@ -82,21 +82,26 @@ def bounds(counts: list[int], span: int, min_words: int, grow: bool) -> list[tup
         end = j if grow else i + span
         if before[end] - before[i] >= min_words:
             out.append((i, end))
+    if grow and out and out[-1][1] < len(counts):
+        i = len(counts) - span
+        while before[-1] - before[i] < min_words:
+            i -= 1
+        out.append((i, len(counts)))
     return [(0, len(counts))] if grow and not out and before[-1] else out
 
 
 def runs(text: str, span: int, min_words: int, grow: bool = False) -> list[tuple[int, bytes]]:
-    """(first sentence, 128-bit hash) of every run that counts. Case and white space do not matter.
+    """(number, 128-bit hash) of every run that counts. Case and white space do not matter.
 
     A whole text too short for any run equals whole texts only.
     """
     words = [text[a:b].lower().split() for a, b in sentences(text)]
     out = []
-    for i, j in bounds(list(map(len, words)), span, min_words, grow):
+    for number, (i, j) in enumerate(bounds(list(map(len, words)), span, min_words, grow)):
         run = words[i:j]
         whole = j - i < span or sum(map(len, run)) < min_words
         body = ("\n" if whole else "") + "\n".join(map(" ".join, run))
-        out.append((i, blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+        out.append((number, blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
     return out
 
 
@@ -114,17 +119,17 @@ def _emit(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bo
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+def _cut(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool, names: list[str], body: str) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, body):
         kept, total, gone = [], [], []
-        for text, lists in zip(part.column("text").to_pylist(), part.column("list").to_pylist(), strict=True):
+        for text, lists in zip(part.column(body).to_pylist(), part.column("list").to_pylist(), strict=True):
             tiles, mark = sentences(text or ""), tag(text or "")
-            ends = dict(bounds([len(text[a:b].split()) for a, b in tiles], span, min_words, grow)) if lists else {}
-            out = {j for x in lists or () if x & 0xFFFFFF == mark and x >> 24 in ends for j in range(x >> 24, ends[x >> 24])}
+            found = bounds([len(text[a:b].split()) for a, b in tiles], span, min_words, grow) if lists else []
+            out = {j for x in lists or () if x & 0xFFFFFF == mark and x >> 24 < len(found) for j in range(*found[x >> 24])}
             kept.append(text if not out else "".join(text[a:b] for i, (a, b) in enumerate(tiles) if i not in out))
             total.append(len(tiles))
             gone.append(len(out))
-        cols = [pa.array(kept, pa.string()) if n == "text" else part.column(n) for n in names]
+        cols = [pa.array(kept, pa.string()) if n == body else part.column(n) for n in names]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])
 
 
@@ -133,8 +138,8 @@ def remove_spans(df: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, ke
 
     A run that repeats inside its own document counts as well. Null and empty texts have no sentences and stay as they
     are; rows without a key neither lose nor claim a run; rows that share key and text are one document, so repeated rows
-    do not take from each other. A text of fewer sentences than `span` stays, with `grow` its first copy only. An empty table stays empty. Further columns
-    are carried; ones named like an added one are replaced.
+    do not take from each other. A text of fewer sentences than `span` stays, with `grow` its first copy only. An empty
+    table stays empty. Further columns are carried whatever their names; ones named like an added one are replaced.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc is not null")
     spans = staged(docs.mapInArrow(lambda it: _emit(it, span, min_words, grow), "h bigint, g bigint, doc bigint, at bigint"), "spans")
@@ -144,8 +149,8 @@ def remove_spans(df: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, ke
     first = staged(first.filter("first != last").select("h", "g", "first"), "first")
     later = spans.join(first, ["h", "g"]).filter(F.struct("doc", "at") > F.col("first"))
     lists = staged(later.groupBy("doc").agg(F.collect_set("at").alias("list")), "lists")
-    base = df.drop("n_sentences", "n_removed", "list", "doc").withColumnRenamed(text, "text")
-    names, kinds = base.columns, {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_sentences bigint, n_removed bigint"
-    joined = base.withColumn("doc", F.col(f"`{key}`").cast("long")).join(lists, "doc", "left").drop("doc")
-    return joined.mapInArrow(lambda it: _cut(it, span, min_words, grow, names), schema).withColumnRenamed("text", text)
+    base, names = numbered(df, "n_sentences", "n_removed")
+    body, columns = f"c{names.index(text)}", base.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields) + ", n_sentences bigint, n_removed bigint"
+    joined = base.withColumn("doc", F.col(f"c{names.index(key)}").cast("long")).join(lists, "doc", "left").drop("doc")
+    return joined.mapInArrow(lambda it: _cut(it, span, min_words, grow, columns, body), schema).toDF(*names, "n_sentences", "n_removed")

@@ -52,8 +52,8 @@ def test_equals_brute_force(spark, docs):
 def test_repeated_rows_extra_columns_and_empty(docs):
     text = "this is the first sentence of them all here. and this would be the second sentence of it.\n"
     df = docs([(1, text), (1, text), (2, text), (1, "other")]).withColumn("list", F.lit(1)).withColumn("n_removed", F.lit("x"))
-    got = sorted((r.doc_id, r.n_removed, r.lang) for r in ss.remove_spans(df).collect())
-    assert got == [(1, 0, "en"), (1, 0, "en"), (1, 0, "en"), (2, 2, "en")]
+    got = sorted((r.doc_id, r.n_removed, r.lang, r.list) for r in ss.remove_spans(df).collect())
+    assert got == [(1, 0, "en", 1), (1, 0, "en", 1), (1, 0, "en", 1), (2, 2, "en", 1)]
     assert ss.remove_spans(df.limit(0)).count() == 0
 
 
@@ -70,3 +70,33 @@ def test_short_sentences_and_single_ones(docs):
     assert not set(got[2].split()) & set(short.split()) and len(got[2].split()) == 3
     assert got[4] == got[9] == ""
     assert set(rows[6][1].split()) - set(plain.split()) <= set(got[7].split()) and len(set(got[7].split()) & set(plain.split())) < 40
+
+
+def test_last_run_grows_backwards(docs):
+    """Short last sentences of copies go as well, and a text that only ends alike keeps what stands before its last run."""
+    words = iter(f"w{i}" for i in range(1000))
+    some = lambda n: " ".join(next(words) for _ in range(n)) + ". "
+    assert ss.bounds([15, 3, 3], 2, 12, True) == [(0, 2), (0, 3)] and ss.bounds([6, 6, 5], 2, 12, True) == [(0, 2), (0, 3)]
+    assert ss.bounds([9, 8, 7, 5, 1], 2, 12, True) == [(0, 2), (1, 3), (2, 4), (2, 5)]
+    assert ss.bounds([9, 8, 7, 5, 1], 2, 12, False) == [(0, 2), (1, 3), (2, 4)]
+    first, second, end = some(15) + some(3) + some(3), some(6) + some(6) + some(5), some(14) + some(2) + some(1)
+    rows = [(1, first), (2, first.upper()), (3, second), (4, second), (5, some(13) + end), (6, some(16) + end)]
+    got = {r.doc_id: r.text for r in ss.remove_spans(docs(rows), grow=True).collect()}
+    assert got[2] == got[4] == "" and got[1] == first and got[5] == rows[4][1]
+    assert got[6] == rows[5][1][: -len(end)]
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    copy = "this is the first sentence of them all here. and this would be the second sentence of it.\n"
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(1, copy, "a"), (2, copy, "b"), (3, long, "c"), (4, f"before. {long}", "d"), (5, None, None)]
+    names = ["id", "body", "text"]
+    df = spark.createDataFrame(rows, "id long, body string, text string")
+    for n in ("doc", "list", "at", "c0", "c1", "h", "g", "first"):
+        df, names = df.withColumn(n, F.lit(n)), [*names, n]
+    out = ss.remove_spans(df, key="id", text="body", grow=True)
+    assert out.columns == [*names, "n_sentences", "n_removed"]
+    got = {r.id: r for r in out.collect()}
+    assert got[2].body == "" and got[3].body == long and len(got[4].body) < 500 and got[5].body is None
+    assert [got[i].text for i in range(1, 6)] == ["a", "b", "c", "d", None]
+    assert all(r[n] == n for r in got.values() for n in names[3:])
