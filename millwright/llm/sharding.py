@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 BUCKETS = 4096
 """Slots are numbered in this many hash ranges per shard, so no shard is sorted in one task."""
 
@@ -42,16 +44,20 @@ def shard(df: DataFrame, keys: list[str], shards: int, grown: int | None = None,
     gapless from 0 in a shard. They are numbered inside hash ranges (BUCKETS for each shard) whose counts are then added
     up; the range is drawn from the key and from `size`, so the rows of a repeated key with different sizes spread.
     Rows that agree in key and size are numbered in any order. An empty table stays empty. Columns of `df` named like an
-    added one are replaced.
+    added one are replaced, others are carried whatever their names.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    if size is not None:
+        df = df.withColumn("slot", size)  # replaced below
+    carried, names = numbered(df, "shard", "grown_shard")
+    keys = [F.col(f"c{names.index(k)}") for k in keys]
     added = {"shard": jump_column(F.col("_h"), shards)}
     if grown is not None:
         added["grown_shard"] = jump_column(F.col("_h"), grown)
-    spread = [F.col("_h"), *([] if size is None else [size])]
+    spread = [F.col("_h"), *([] if size is None else [F.col(f"c{names.index('slot')}")])]
     placed = (
-        df.drop("shard", "slot", "grown_shard").withColumn("_h", F.xxhash64(*[F.col(f"`{k}`") for k in keys])).withColumns(added)
+        carried.withColumn("_h", F.xxhash64(*keys)).withColumns(added)
         .withColumn("_b", F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).cast("int"))
     )
     counts = placed.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -59,8 +65,11 @@ def shard(df: DataFrame, keys: list[str], shards: int, grown: int | None = None,
         F.col("shard").alias("_s"), F.col("_b").alias("_r"),
         (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_before"),
     )
-    order = Window.partitionBy("shard", "_b").orderBy(*spread, *[F.col(f"`{k}`") for k in keys])
+    order = Window.partitionBy("shard", "_b").orderBy(*spread, *keys)
     out = placed.withColumn("_i", F.row_number().over(order)).join(
         before, (F.col("shard") == F.col("_s")) & (F.col("_b") == F.col("_r"))
     )
-    return out.withColumn("slot", F.col("_before") + F.col("_i") - 1).drop("_h", "_b", "_i", "_s", "_r", "_before")
+    old = [(f"c{i}", n) for i, n in enumerate(names) if n.lower() != "slot"]
+    return out.select(
+        *[F.col(c).alias(n) for c, n in old], *added, (F.col("_before") + F.col("_i") - 1).alias("slot"),
+    )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import SLICE_BYTES, ranges, slices, staged, text_buffer
+from .common import SLICE_BYTES, numbered, ranges, slices, staged, text_buffer
 
 LENGTH = 50
 K = 16
@@ -264,9 +264,9 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = K, limit: int = GROUP_
     return found.filter("mh is null").select("doc", "at").unionByName(compared.filter("body is null").select("doc", "at")).unionByName(folded)
 
 
-def _cover(batches: Iterator[pa.RecordBatch], length: int, names: list[str], texts: bool) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", SLICE_BYTES):
-        buf, offsets = text_buffer(part.column("text"))
+def _cover(batches: Iterator[pa.RecordBatch], length: int, names: list[str], body: str, texts: bool) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, body, SLICE_BYTES):
+        buf, offsets = text_buffer(part.column(body))
         size = np.diff(offsets)
         tags = _tags(buf, offsets)
         lists = part.column("list")
@@ -292,9 +292,9 @@ def _cover(batches: Iterator[pa.RecordBatch], length: int, names: list[str], tex
         parts = [kept[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
         added = [pa.array(size), pa.array(removed), pa.array(runs[offsets[1:]] - runs[offsets[:-1]])]
         if texts:
-            old = part.column("text")
+            old = part.column(body)
             new = [o if not r else p.decode("utf-8", "ignore") for o, p, r in zip(old.to_pylist(), parts, removed, strict=True)]
-            cols = [pa.array(new, pa.string()) if n == "text" else part.column(n) for n in names]
+            cols = [pa.array(new, pa.string()) if n == body else part.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(cols + added, [*names, "n_bytes", "n_removed", "n_spans"])
         else:
             cols = [part.column(n) for n in names]
@@ -310,21 +310,21 @@ def remove_repeats(
     With `texts` the rows keep all columns and get the remaining text (a code point cut in two goes whole); without, only
     the key and the SHA-256 of the remaining bytes come out. Null text counts as empty and stays null. Rows without a key
     neither lose bytes nor take them from others. Rows that share a key do not take from each other. Texts shorter than
-    `length` stay; an empty table stays empty; further columns are carried, ones named like an added one replaced.
+    `length` stay; an empty table stays empty; further columns are carried whatever their names, ones named like an added
+    one replaced.
     """
     if not 24 <= length <= 250:
         raise ValueError("length must be 24 to 250 bytes")
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     found = spans(docs, length, min(K, length // 2), limit)
     lists = found.groupBy("doc").agg(F.collect_list("at").alias("list"))
-    if texts:
-        base = df.drop("n_bytes", "n_removed", "n_spans", "list", "doc").withColumnRenamed(text, "text")
-    else:
-        base = df.select(key, F.col(f"`{text}`").alias("text"))
-    names = [c for c in base.columns if texts or c != "text"]
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", n_bytes bigint, n_removed bigint, n_spans bigint"
+    added = ["n_bytes", "n_removed", "n_spans"]
+    base, names = numbered(df if texts else df.select(f"`{key}`", f"`{text}`"), *added)
+    body = f"c{names.index(text)}"
+    carried = [f for f in base.schema.fields if texts or f.name != body]
+    columns = [f.name for f in carried]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in carried) + ", n_bytes bigint, n_removed bigint, n_spans bigint"
     schema += "" if texts else ", kept_sha256 string"
-    joined = base.withColumn("doc", F.col(f"`{key}`").cast("long")).join(lists, "doc", "left").drop("doc")
-    out = joined.mapInArrow(lambda it: _cover(it, length, names, texts), schema)
-    return out.withColumnRenamed("text", text) if texts else out
+    joined = base.withColumn("doc", F.col(f"c{names.index(key)}").cast("long")).join(lists, "doc", "left").drop("doc")
+    out = joined.mapInArrow(lambda it: _cover(it, length, columns, body, texts), schema)
+    return out.toDF(*[names[int(c[1:])] for c in columns], *added, *([] if texts else ["kept_sha256"]))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import slices, staged, texts
+from .common import numbered, slices, staged, texts
 
 SIZES = (3, 4, 5)
 BITS = 20
@@ -186,17 +186,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of `docs` that the classifier does not reject, all columns as they were; one narrow pass after the fit."""
+    """Rows of `docs` that the classifier does not reject, all columns as they were, whatever their names; one narrow pass
+    after the fit. Null and empty texts get the bias alone; repeated rows stay or go together."""
     buckets, weights, bias = fit(docs, labels, F.coalesce(held_out(key), F.lit(True)), key, text, max_rows=max_rows)
-    base = docs.withColumnRenamed(text, "text")
+    base, names = numbered(docs)
+    body = f"c{names.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _index(buckets)
-        for part in slices(batches, "text"):
+        for part in slices(batches, body):
             z = np.full(part.num_rows, bias)
             if len(weights):
-                row, feature = features(texts(part.column("text")), at)
+                row, feature = features(texts(part.column(body)), at)
                 z += np.bincount(row, weights[feature], minlength=part.num_rows)
             yield part.filter(pa.array(z < 0))
 
-    return base.mapInArrow(run, base.schema).withColumnRenamed("text", text)
+    return base.mapInArrow(run, base.schema).toDF(*names)

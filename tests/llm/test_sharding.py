@@ -47,3 +47,15 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert sharding.shard(df.limit(0), ["doc_id"], 4).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(df, ["doc_id"], 0)
+
+
+def test_working_names_do_not_clash(spark):
+    df, names = spark.range(300).select(F.col("id").alias("doc_id")), ["_h", "_b", "_i", "_s", "_r", "_n", "_before", "c0", "c1"]
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    got = sharding.shard(df, ["doc_id"], 4, 5, size=F.col("doc_id") % 7)
+    assert got.columns == ["doc_id", *names, "shard", "grown_shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == 300 and all(r[n] == n for r in rows for n in names)
+    want = sharding.shard(df.select("doc_id"), ["doc_id"], 4, 5).select("doc_id", "shard", "grown_shard").collect()
+    assert sorted((r.doc_id, r.shard, r.grown_shard) for r in rows) == sorted(map(tuple, want))

@@ -65,3 +65,18 @@ def test_texts_and_other_columns(docs):
 
 def test_empty_table(docs):
     assert suffix_dedup.remove_repeats(docs([(1, "")]).limit(0), texts=False).count() == 0
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    line = "an agreeable line of prose that is longer than fifty bytes in all, surely"
+    long = " ".join(str(i * i) for i in range(100_000))
+    rows = [(1, line, "a"), (2, f"own{line}end", "b"), (3, long, "c"), (4, f"x{long}y", "d")]
+    df, names = spark.createDataFrame(rows, "id long, body string, text string"), ["id", "body", "text"]
+    for n in ("doc", "list", "at", "c0", "c1", "mh"):
+        df, names = df.withColumn(n, F.lit(n)), [*names, n]
+    out = suffix_dedup.remove_repeats(df, key="id", text="body")
+    assert out.columns == [*names, "n_bytes", "n_removed", "n_spans"]
+    got = {r.id: r for r in out.collect()}
+    assert (got[1].body, got[2].body, got[3].body, got[4].body) == (line, "ownend", long, "xy")
+    assert [got[i].text for i in range(1, 5)] == ["a", "b", "c", "d"]
+    assert all(r[n] == n for r in got.values() for n in names[3:])

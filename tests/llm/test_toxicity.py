@@ -55,3 +55,12 @@ def test_odd_inputs(spark, docs):
     assert tx.toxicity(df.limit(0), labels).count() == 0
     none = tx.toxicity(df, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"plain words number {i} of the kind" if i % 2 else f"you awful nasty {i} thing", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, text long").selectExpr("*", "'k' as c0", "'k' as y", "'k' as score")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, *_ in rows], "doc_id long, toxic int")
+    kept = tx.keep_clean(df, labels, text="body")
+    assert kept.columns == df.columns
+    assert sorted(r.text for r in kept.collect()) == list(range(1, 60, 2))
