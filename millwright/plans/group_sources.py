@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources import tables
+from . import views
 from .registry import query
 
 
@@ -64,3 +65,16 @@ def _(p):
     one = p.spark.read.schema(schema).option("header", True).csv(as_csv).select("machine", "trans_date", F.col("stop").alias("csv_stop"))
     two = p.spark.read.schema(schema).json(as_json).select("machine", "trans_date", F.col("stop").alias("json_stop"), "products")
     return one.join(two, ["machine", "trans_date"])
+
+
+@query("telemetry_by_day", """
+SELECT r.machine, r.canonical_role AS role, t.readingdef_uid, t.time, t.value
+FROM fx_telemetry t JOIN o_roles r USING (readingdef_uid) WHERE t.time IS NOT NULL AND EXISTS (
+  SELECT 1 FROM fx_stops s WHERE s.machine = r.machine AND NOT s.is_planned AND s.started_on < TIMESTAMP '2024-01-05 00:00:00'
+    AND s.duration_milliseconds < 4 * 3600000 AND t.time >= s.started_on AND t.time <= COALESCE(s.ended_on, s.started_on))""", "value")
+def _(p):
+    """Readings during the shorter unplanned stops of the first days, from telemetry ingested by date; other dates stay unread."""
+    folder = _folder(p, "by-day")
+    tables.write_by_day(tables.feature_scan(p.telemetry, views.roles(p)), folder)
+    stops = p.stops.where("NOT is_planned AND started_on < TIMESTAMP '2024-01-05 00:00:00' AND duration_milliseconds < 4 * 3600000")
+    return tables.window_rows(p.spark, folder, stops, ["machine"])

@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import in_any_interval
+
 # Columns whose text is a 't'/'f' boolean, and columns that hold UTC instants.
 BOOLEAN_COLUMNS = [
     "purge", "sync", "remove", "is_enabled", "is_planned", "is_unit_on", "is_test_prod", "exclude_from_oee",
@@ -153,6 +155,45 @@ def feature_scan(telemetry: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
+def utc_day(ts: str) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
+
+
+def write_by_day(df: DataFrame, path: str, ts: str = "time", file_rows: int = 5_000_000) -> None:
+    """Ingest into one partition `day` (UTC) per date. Days are balanced by size: small ones share a task, a large one is
+    split over several, so neither many tiny files nor one huge one comes out. Rows without an instant keep a partition."""
+    by_day = df.withColumn("day", utc_day(ts)).hint("rebalance", F.col("day"))
+    by_day.write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("day").parquet(path)
+
+
+def days_of(spark: SparkSession, path: str) -> list[str]:
+    """Dates that a table written by `write_by_day` has, from its folder names alone."""
+    return sorted(d for d in (x.rsplit("day=", 1)[1] for x in _list(spark, f"{path}/day=*")) if d[:2] != "__")
+
+
+def scan_days(spark: SparkSession, path: str, windows: DataFrame, start: str = "started_on", end: str = "ended_on") -> DataFrame:
+    """Rows of the dates that some window touches; files of other dates are not opened.
+
+    The dates reach the scan as a dynamic partition filter. The sent side is at most one row for each date of the table,
+    wherever the windows end; a missing end or one before the start stands for the start.
+    """
+    table, days = spark.read.parquet(path), days_of(spark, path)
+    if not days:
+        return table.limit(0)
+    first, last = F.lit(days[0]).cast("date"), F.lit(days[-1]).cast("date")
+    low, high = utc_day(start), F.greatest(utc_day(start), F.coalesce(utc_day(end), utc_day(start)))
+    met = windows.select(low.alias("__a"), high.alias("__z")).where((F.col("__a") <= last) & (F.col("__z") >= first)).distinct()
+    touched = met.select(F.explode(F.sequence(F.greatest("__a", first), F.least("__z", last))).alias("day")).distinct()
+    return table.join(F.broadcast(touched), "day", "left_semi")
+
+
+def window_rows(spark: SparkSession, path: str, windows: DataFrame, by: Sequence[str], ts: str = "time", start: str = "started_on", end: str = "ended_on") -> DataFrame:
+    """Rows that lie in a closed window of their key, each once however many windows hold it, without reading other dates."""
+    near = scan_days(spark, path, windows.where(F.col(start).isNotNull()), start, end)
+    inside = in_any_interval(near, windows, by, F.unix_micros(ts), F.unix_micros(start), F.unix_micros(end), out="__in")
+    return inside.where("__in").drop("__in", "day")
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

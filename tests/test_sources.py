@@ -59,3 +59,39 @@ def test_nested_columns_survive_parquet_and_json(spark, tmp_path):
     assert sorted(r.machine for r in back.collect()) == ["A", "B"] and back.first().top_roles[0].dev_score == 1.5
     tables.write_csv(df.select("machine"), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+
+
+def _files(spark, df):
+    """Files that the scan of a partitioned table opened."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(x.metrics().apply("numFiles").value() for x in found if "PartitionFilters: [" in x.toString() and x.metrics().contains("numFiles"))
+
+
+def test_windows_open_the_files_of_their_dates_only(spark, tmp_path):
+    path, start = str(tmp_path / "days"), dt.datetime(2026, 1, 1, 0, 30, tzinfo=UTC)
+    at = lambda h: start + dt.timedelta(hours=h)
+    rows = [(f"m{h % 3}", at(h), float(h)) for h in range(24 * 20)] + [("m0", None, -1.0)]
+    tables.write_by_day(spark.createDataFrame(rows, "machine string, time timestamp, value double"), path)
+    assert tables.days_of(spark, path) == [f"2026-01-{d:02d}" for d in range(1, 21)]
+    spans = [("m0", at(30), at(40)), ("m0", at(31), at(35)), ("m1", at(47), at(50)), ("m2", at(101), None), ("m1", None, at(5)),
+             ("m2", dt.datetime(2025, 1, 1, tzinfo=UTC), dt.datetime(2025, 1, 2, tzinfo=UTC)), ("m2", at(130), at(120))]
+    windows = spark.createDataFrame(spans, "machine string, started_on timestamp, ended_on timestamp")
+    want = sorted(
+        (m, v) for m, t, v in rows if t and any(m == k and a and a <= t <= (z or a) for k, a, z in spans)
+    )
+    got = tables.window_rows(spark, path, windows, ["machine"])
+    assert got.columns == ["machine", "time", "value"]
+    assert sorted((r.machine, r.value) for r in got.collect()) == want and len(want) > 5
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = tables.scan_days(spark, path, windows.where("started_on is not null"))
+        near.collect()
+        assert "dynamicpruning" in near._jdf.queryExecution().toString()
+        assert 0 < _files(spark, near) <= 5 * 2 < len(list((tmp_path / "days").glob("day=*/*.parquet")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    far = spark.createDataFrame([("m1", at(470), dt.datetime(9999, 1, 1, tzinfo=UTC))], windows.schema)
+    assert {r.value for r in tables.window_rows(spark, path, far, ["machine"]).collect()} == {472.0, 475.0, 478.0}
+    assert tables.window_rows(spark, path, windows.limit(0), ["machine"]).count() == 0
