@@ -61,7 +61,7 @@ def make_models(n_inputs: int, *, trees: int = 120, rounds: int = 20, seed: int
         "logreg": (LogisticRegression(weightCol="weight", maxIter=100, **common), True, False),
         "random_forest": (RandomForestClassifier(weightCol="weight", numTrees=trees, seed=seed, **common), False, False),
         "gbt": (GBTClassifier(**boost, **common), False, True),
-        "mlp": (MultilayerPerceptronClassifier(layers=[n_inputs, 64, 24, 2], maxIter=60, seed=seed, **common), True, False),
+        "mlp": (MultilayerPerceptronClassifier(layers=[n_inputs, 64, 24, 2], maxIter=300, seed=seed, **common), True, False),
     }
 
 
@@ -72,10 +72,55 @@ def prepare(split: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, columns: Sequence[str], name: str, **kw) -> PipelineModel:
+    if name == "mlp":
+        return fit_mlp(train, columns, **kw)[0]
     est, scale, indicators = make_models(len(columns), **kw)[name]
     return Pipeline(stages=[*preprocess(columns, scale=scale, indicators=indicators), est]).fit(train)
 
 
+def log_loss(model, rows: DataFrame) -> float | None:
+    """Mean cross-entropy of a fitted classifier; None without rows."""
+    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-12)), F.lit(1 - 1e-12))
+    return model.transform(rows).agg(F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+
+def fit_mlp(
+    train: DataFrame, columns: Sequence[str], *, held: float = 0.1, step: int = 20, patience: int = 2, tol: float = 1e-4, **kw,
+) -> tuple[PipelineModel, list[tuple[int, float | None]]]:
+    """Perceptron with early stopping, and (iterations, loss) of each round.
+
+    The latest `held` of every machine's rows is validated on and not learned from. A round goes on from the weights of the
+    one before; after `patience` rounds without a gain of `tol`, or at the family's iteration limit, the best round's
+    model stays. Without validation rows it learns from all rows for the whole limit, in one round.
+    """
+    parts = chrono_split(train.drop("part"), 1 - held, ties=tuple(columns))
+    learn, later = parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test")
+    cols = usable_columns(learn, columns)
+    both = cols and learn.agg(F.count_distinct("y")).first()[0] == 2 and not later.isEmpty()
+    if not both:
+        learn, cols = train, usable_columns(train, columns)
+    est = make_models(len(cols), **kw)["mlp"][0]
+    ready = Pipeline(stages=preprocess(cols, scale=True)).fit(learn)
+    learn = stage(ready.transform(learn).select("features", "y"), "mlp")
+    limit = est.getMaxIter()
+    if not both:
+        return PipelineModel([*ready.stages, est.fit(learn)]), [(limit, None)]
+    later = stage(ready.transform(later).select("features", "y"), "mlp-later")
+    best, rounds, weights = None, [], None
+    for done in range(step, limit + 1, step):
+        turn = est.copy({est.maxIter: step})
+        if weights is not None:
+            turn.setInitialWeights(weights)
+        model = turn.fit(learn)
+        weights, loss = model.weights, log_loss(model, later)
+        rounds.append((done, loss))
+        if best is None or loss < best[1] - tol:
+            best = (done, loss, model)
+        elif done - best[0] >= patience * step:
+            break
+    return PipelineModel([*ready.stages, best[2]]), rounds
+
+
 def score(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ("machine", "ts", "y")) -> DataFrame:
     p = model.transform(rows)
     return p.select(*keep, vector_to_array("probability")[1].alias("risk"))
