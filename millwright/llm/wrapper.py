@@ -13,12 +13,12 @@ import html
 import json
 import re
 import zlib
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +33,12 @@ CONSTANT = 0.9
 """Share of the aligned trees in which a template node has the text of the reference."""
 COMMON = 0.5
 """Share of a layout's trees that a template node must be aligned in; rarer nodes tell too little."""
-LIST = 2500
-"""Lists of children with more pairs than this are matched in order between equal children met once in both."""
+LOOP = 1000
+"""Lists of children with more pairs of nodes than this, all below them counted, are matched row by row instead of pair by pair."""
+CELLS = 1 << 24
+"""Cells of such a table whose way back is held at once, 1 byte each."""
+KEPT = 1 << 20
+"""Values of one level, 8 bytes each, kept for equal trees met again."""
 
 DEPTH = 150
 """Elements nested deeper are empty siblings, with their content in the deepest one, as browsers do."""
@@ -213,42 +217,110 @@ def hash_text(text: str) -> int:
     return zlib.crc32(data) << 20 | len(data) & 0xFFFFF
 
 
-def _prepared(tree: list) -> tuple:
-    """(label, text hash, children, size, hash of all below)"""
-    children = [_prepared(c) for c in tree[2]]
-    deep = hash((tree[0], tree[1], *(c[4] for c in children)))
-    return tree[0], tree[1], children, 1 + sum(c[3] for c in children), deep
+def _prepared(tree: list, other: set[int], alone: int, labels: dict, ids: dict) -> tuple:
+    """(label, text, children, size, number of all below); `alone` stands for every text that the other tree has nowhere."""
+    children = [_prepared(c, other, alone, labels, ids) for c in tree[2]]
+    label, text = labels.setdefault(tree[0], len(labels)), tree[1] if tree[1] in other else alone
+    number = ids.setdefault((label, text, *(c[4] for c in children)), len(ids))
+    return label, text, children, 1 + sum(c[3] for c in children), number
 
 
 def _starts(children: list, at: int) -> list[int]:
     return list(accumulate((c[3] for c in children), initial=at + 1))[:-1]
 
 
-def _anchors(x: list, y: list) -> list[tuple[int, int]]:
-    """Longest rising sequence of equal children that each list holds once."""
-    once = [{d: i for i, d in enumerate(c[4] for c in z)} for z in (x, y)]
-    n = [Counter(c[4] for c in z) for z in (x, y)]
-    tails: list[int] = []
-    ends: list[tuple] = []
-    for d, i in once[0].items():
-        if n[0][d] == 1 == n[1][d]:
-            j = once[1][d]
-            k = bisect_left(tails, j)
-            link = (i, j, ends[k - 1] if k else None)
-            tails[k:k + 1], ends[k:k + 1] = [j], [link]
-    out, link = [], ends[-1] if ends else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
+def _row(above: np.ndarray, values: np.ndarray, first: np.ndarray | int, least: np.ndarray | int) -> np.ndarray:
+    """Next row of the tables of lists that stand one after the other, each beginning at `first` with `least`."""
+    row = np.empty_like(above)
+    row[1:] = above[:-1]
+    row[first] = least
+    row += values
+    return np.maximum.accumulate(np.maximum(row, above, out=row))
+
+
+class _Level:
+    """Trees of a list, and all their children as the next level. A match counts nodes << bits | equal texts."""
+
+    def __init__(self, trees: list, bits: int):
+        whole = lambda values: np.fromiter(values, np.int64, len(trees))
+        self.label, self.text, self.one = whole(t[0] for t in trees), whole(t[1] for t in trees), 1 << bits
+        self.rows: dict[int, np.ndarray] = {}
+        children = [c for t in trees for c in t[2]]
+        self.below = _Level(children, bits) if children else None
+        if children:
+            counts, sizes = whole(len(t[2]) for t in trees), whole(t[3] for t in trees)
+            self.parents = np.flatnonzero(counts)
+            ends = np.cumsum(counts)[self.parents]
+            self.first, self.last = ends - counts[self.parents], ends - 1
+            # every list counts from more than the one before it can reach, so one running maximum serves them all
+            reach = (sizes << bits) + sizes
+            self.least = (np.cumsum(reach) - reach)[self.parents]
+            self.start = np.repeat(self.least, counts[self.parents])
+
+    def against(self, tree: tuple) -> np.ndarray:
+        """The largest match of the tree with each of this level."""
+        out = self.rows.get(tree[4])
+        if out is not None:
+            return out
+        same = self.label == tree[0]
+        out = same * (self.one + (self.text == tree[1]))
+        if tree[2] and self.below and same.any():
+            row = self.start
+            for c in tree[2]:
+                row = _row(row, self.below.against(c), self.first, self.least)
+            out[self.parents] += same[self.parents] * (row[self.last] - self.least)
+        if (len(self.rows) + 1) * len(out) > KEPT:
+            self.rows.clear()
+        self.rows[tree[4]] = out
+        return out
+
+
+def _chain(x: list, y: list, bits: int) -> list[tuple[int, int]]:
+    """The pairs of two lists that the largest match takes, a row of the table at a time.
+
+    Rows are kept at the borders of blocks, and a block is filled again when the way back comes to it.
+    """
+    level, width = _Level(y, bits), max(CELLS // len(y), isqrt(8 * len(x))) + 1
+    blocks, borders = range(0, len(x), width), [np.zeros(len(y), np.int64)]
+    for at in blocks[:-1]:
+        row = borders[-1]
+        for tree in x[at : at + width]:
+            row = _row(row, level.against(tree), 0, 0)
+        borders.append(row)
+    out, p, q = [], len(x) - 1, len(y) - 1
+    for at in reversed(blocks):
+        row, ways = borders.pop(), []
+        for tree in x[at : min(at + width, p + 1)]:
+            above, row = row, _row(row, level.against(tree), 0, 0)
+            way = (row != above).astype(np.int8)  # 0: as above, 1: as to the left, 2: by a pair
+            way[1:] += way[1:] & (row[1:] != row[:-1])
+            way[0] *= 2
+            ways.append(way)
+        while p >= at and q >= 0:
+            way = ways[p - at][q]
+            if way == 2:
+                out.append((p, q))
+            p, q = p - (way != 1), q - (way != 0)
     return out[::-1]
 
 
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: (size, pairs of preorder numbers) of the largest order-preserving match of two trees.
 
-    Of the largest matches one with the most equal texts is taken. Long lists of children (LIST) are first split at equal
-    children that each side has once, and then matched label by label in order, so their cost follows their length.
+    Of the largest matches one with the most equal texts is taken, of those the one whose table, filled in order, is left
+    upwards before sideways. Lists of whatever length are matched so; LOOP decides how a table is filled, not what it holds.
     """
+    texts_of = [set(hashes_of(t)) for t in (a, b)]
+    labels: dict[str, int] = {}
+    ids: dict[tuple, int] = {}
+    first, second = _prepared(a, texts_of[1], -1, labels, ids), _prepared(b, texts_of[0], -2, labels, ids)
+    bits = min(first[3], second[3]).bit_length()
+
+    def by_row(x: list, y: list) -> bool:
+        """Not where all the work is in one pair of children: what lies below is then done once, however deep it is nested."""
+        if sum(c[3] for c in x) * sum(c[3] for c in y) <= LOOP:
+            return False
+        return len(x) * len(y) > LOOP or sum(c[0] == d[0] and c[3] * d[3] > LOOP for c in x for d in y) > 1
 
     def children(x: list, xs: list[int], y: list, ys: list[int]) -> tuple[int, int, list]:
         """Best (matched, with equal text, pairs) of two lists of trees that begin at these numbers."""
@@ -270,27 +342,9 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
         x, xs, y, ys = x[low:len(x) - high], xs[low:len(xs) - high], y[low:len(y) - high], ys[low:len(ys) - high]
         if not x or not y:
             return total, equal, pairs
-        if len(x) * len(y) > LIST:
-            anchors = _anchors(x, y)
-            if anchors:
-                p = q = 0
-                for i, j in [*anchors, (len(x), len(y))]:
-                    take(children(x[p:i], xs[p:i], y[q:j], ys[q:j]))
-                    if i < len(x):
-                        take(go(x[i], xs[i], y[j], ys[j]))
-                    p, q = i + 1, j + 1
-                return total, equal, pairs
-            waiting: dict[str, list[int]] = {}
-            for j in range(len(y) - 1, -1, -1):
-                waiting.setdefault(y[j][0], []).append(j)
-            last = -1
-            for i, c in enumerate(x):
-                rest = waiting.get(c[0], [])
-                while rest and rest[-1] <= last:
-                    rest.pop()
-                if rest:
-                    last = rest.pop()
-                    take(go(c, xs[i], y[last], ys[last]))
+        if by_row(x, y):
+            for i, j in _chain(x, y, bits):
+                take(go(x[i], xs[i], y[j], ys[j]))
             return total, equal, pairs
         best = [[(0, 0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
         for p, c in enumerate(x, 1):
@@ -316,7 +370,7 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
         n, e, pairs = children(x[2], _starts(x[2], i), y[2], _starts(y[2], j)) if x[2] and y[2] else (0, 0, [])
         return n + 1, e + (x[1] == y[1]), [(i, j), *pairs]
 
-    found = go(_prepared(a), 0, _prepared(b), 0)
+    found = go(first, 0, second, 0)
     return found[0], found[2]
 
 

@@ -127,3 +127,46 @@ def test_page_of_thousands_of_blocks(spark):
     df = spark.createDataFrame([(i, "http://t.example.com", f"<article>{big(i)}</article>") for i in range(4)], "page_id long, url string, html string")
     got = {r.page_id: r for r in w.main_text(df).collect()}
     assert all(got[i].text.count("\n\n") == 9_999 and got[i].text.endswith(str(4_999**2)) for i in range(4))
+
+
+def largest(x, y):
+    """(matched, equal texts) of the largest match of two trees, from the definition."""
+    if x[0] != y[0]:
+        return 0, 0
+    table = [[(0, 0)] * (len(y[2]) + 1) for _ in range(len(x[2]) + 1)]
+    for p, c in enumerate(x[2]):
+        for q, d in enumerate(y[2]):
+            n, e = largest(c, d)
+            table[p + 1][q + 1] = max(table[p][q + 1], table[p + 1][q], (table[p][q][0] + n, table[p][q][1] + e))
+    return table[-1][-1][0] + 1, table[-1][-1][1] + (x[1] == y[1])
+
+
+def test_long_lists_are_matched_exactly(monkeypatch):
+    """The largest match with the most equal texts at every length, the same pairs however the table is filled."""
+    rng = random.Random(4)
+
+    def tree(depth, most):
+        below = [tree(depth - 1, most) for _ in range(rng.randint(most // 2, most))] if depth else []
+        return [rng.choice("ab"), rng.randrange(6), below]
+
+    for depth, most in [(1, 100), (1, 60), (2, 9), (3, 4)] * 4:
+        a, b = ["r", 0, tree(depth, most)[2]], ["r", 0, tree(depth, most)[2]]
+        size, pairs = w.match(a, b)
+        texts = w.hashes_of(a), w.hashes_of(b)
+        assert (size, sum(texts[0][i] == texts[1][j] for i, j in pairs)) == largest(a, b) and len(pairs) == size
+        for loop, cells, kept in (10**9, 1, 1), (-1, 1, 1), (-1, 1 << 24, 1 << 20):
+            with monkeypatch.context() as m:
+                m.setattr(w, "LOOP", loop), m.setattr(w, "CELLS", cells), m.setattr(w, "KEPT", kept)
+                assert sorted(w.match(a, b)[1]) == sorted(pairs)
+
+
+def test_template_does_not_depend_on_the_length_of_lists(spark):
+    """A line repeated after every item is template on short and long pages, also where an extra block shifts the list."""
+    rows, want = [], {}
+    for host, items in enumerate((3, 80)):
+        for i in range(8):
+            blocks = [f"Extra {i}"] * (i % 2) + [x for k in range(items) for x in (f"Item {i} {k}", "Read on")] + [f"End {i}"]
+            rows.append((100 * host + i, f"http://h{host}.example.com", "<div>" + "".join(f"<p>{x}</p>" for x in blocks) + "</div>"))
+            want[100 * host + i] = "\n\n".join(x for x in blocks if x != "Read on")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in w.main_text(df).collect()} == want
