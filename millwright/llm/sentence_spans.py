@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, staged, texts
+from .common import numbered, ranges, slices, staged, texts
 
 SPAN = 2
 MIN_WORDS = 12
@@ -26,41 +26,55 @@ LONG = 16
 """A sentence of more words is cut at its commas, and a clause of more words after one word in PIECE, chosen by its hash.
 The clauses and pieces count as sentences."""
 PIECE = 8
-_END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_COMMA = re.compile(r"(?<=,)\s+")
-_WORD = re.compile(r"\S+\s*")
-
-
-def _split(text: str, start: int, end: int, at: re.Pattern) -> list[tuple[int, int]]:
-    out = []
-    for m in at.finditer(text, start, end):
-        if m.start() > start:
-            out.append((start, m.end()))
-            start = m.end()
-    if start < end:
-        out.append((start, end))
-    return out
-
-
-def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Cuts after words of certain hashes, so that the same words are cut alike wherever they stand."""
-    out = []
-    for m in _WORD.finditer(text, start, end):
-        if m.end() == end or crc32(m.group().strip().lower().encode("utf-8", "surrogatepass")) % PIECE == 0:
-            out.append((start, m.end()))
-            start = m.end()
-    if start < end:
-        out.append((start, end))
-    return out
+_WORD = re.compile(r"\S+")
+
+
+def split(text: str) -> tuple[list[str], list[int]]:
+    """The lower-case words of a text and, for each of its sentences, the number of words up to its end.
+
+    A sentence ends with a line or with a word that ends in a stop. Where a piece of a long clause ends follows from the
+    hash of its last word, so that the same words are cut alike wherever they stand.
+    """
+    words: list[str] = []
+    ends: list[int] = []
+    for line in text.lower().split("\n"):
+        start = len(words)
+        words += line.split()
+        last = len(words)
+        if start == last:
+            continue
+        stops = [k for k, w in enumerate(words[start:], start + 1) if w[-1] in ".!?"]
+        if not stops or stops[-1] != last:
+            stops.append(last)
+        for stop in stops:
+            if stop - start <= LONG:
+                ends.append(stop)
+            else:
+                _clauses(words, start, stop, ends)
+            start = stop
+    return words, ends
+
+
+def _clauses(words: list[str], start: int, stop: int, ends: list[int]) -> None:
+    commas = [k for k, w in enumerate(words[start : stop - 1], start + 1) if w[-1] == ","]
+    for end in [*commas, stop]:
+        if end - start > LONG:
+            ends += [k for k, w in enumerate(words[start : end - 1], start + 1) if not crc32(w.encode("utf-8", "surrogatepass")) % PIECE]
+        ends.append(end)
+        start = end
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Ranges that tile the text: each sentence with the white space after it."""
-    out = []
-    for a, b in _split(text, 0, len(text), _END):
-        for c, d in _split(text, a, b, _COMMA) if len(text[a:b].split()) > LONG else [(a, b)]:
-            out += _pieces(text, c, d) if len(text[c:d].split()) > LONG else [(c, d)]
-    return out
+    return _tiles(text, split(text)[1])
+
+
+def _tiles(text: str, ends: list[int]) -> list[tuple[int, int]]:
+    if not text:
+        return []
+    starts = [m.start() for m in _WORD.finditer(text)]
+    edges = [0, *(starts[k] for k in ends[:-1]), len(text)]
+    return list(zip(edges, edges[1:]))
 
 
 def tag(text: str) -> int:
@@ -76,12 +90,13 @@ def bounds(counts: list[int], span: int, min_words: int, grow: bool) -> list[tup
     before = [0, *accumulate(counts)]
     out, j = [], 0
     for i in range(len(counts) - span + 1):
-        j = max(j, i + span)
-        while grow and j < len(counts) and before[j] - before[i] < min_words:
+        least = before[i] + min_words
+        if j < i + span or not grow:
+            j = i + span
+        while grow and before[j] < least and j < len(counts):
             j += 1
-        end = j if grow else i + span
-        if before[end] - before[i] >= min_words:
-            out.append((i, end))
+        if before[j] >= least:
+            out.append((i, j))
     if grow and out and out[-1][1] < len(counts):
         i = len(counts) - span
         while before[-1] - before[i] < min_words:
@@ -90,44 +105,46 @@ def bounds(counts: list[int], span: int, min_words: int, grow: bool) -> list[tup
     return [(0, len(counts))] if grow and not out and before[-1] else out
 
 
-def runs(text: str, span: int, min_words: int, grow: bool = False) -> list[tuple[int, bytes]]:
-    """(number, 128-bit hash) of every run that counts. Case and white space do not matter.
+def _counts(ends: list[int]) -> list[int]:
+    return [b - a for a, b in zip([0, *ends], ends)]
+
+
+def runs(text: str, span: int, min_words: int, grow: bool = False) -> list[bytes]:
+    """128-bit hash of every run that counts, in order. Case and white space do not matter.
 
     A whole text too short for any run equals whole texts only.
     """
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    out = []
-    for number, (i, j) in enumerate(bounds(list(map(len, words)), span, min_words, grow)):
-        run = words[i:j]
-        whole = j - i < span or sum(map(len, run)) < min_words
-        body = ("\n" if whole else "") + "\n".join(map(" ".join, run))
-        out.append((number, blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()))
-    return out
+    words, ends = split(text)
+    found = bounds(_counts(ends), span, min_words, grow)
+    whole = b"\n" if len(ends) < span or len(words) < min_words else b""
+    parts = [" ".join(words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+    return [blake2b(whole + b"\n".join(parts[i:j]), digest_size=16).digest() for i, j in found]
 
 
 def _emit(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        doc, at, key = [], [], []
-        for i, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-            found, mark = runs(text, span, min_words, grow), tag(text)
-            doc += [i] * len(found)
-            at += [(s << 24) | mark for s, _ in found]
-            key += [h for _, h in found]
+        counts, marks, key = [], [], []
+        for text in texts(part.column(1)):
+            found = runs(text, span, min_words, grow)
+            counts.append(len(found))
+            marks.append(tag(text))
+            key += found
         halves = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], ["h", "g", "doc", "at"]
-        )
+        at = ranges(np.zeros(len(counts), np.int64), np.array(counts)) << 24 | np.repeat(np.array(marks), counts)
+        doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], ["h", "g", "doc", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], span: int, min_words: int, grow: bool, names: list[str], body: str) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, body):
         kept, total, gone = [], [], []
         for text, lists in zip(part.column(body).to_pylist(), part.column("list").to_pylist(), strict=True):
-            tiles, mark = sentences(text or ""), tag(text or "")
-            found = bounds([len(text[a:b].split()) for a, b in tiles], span, min_words, grow) if lists else []
-            out = {j for x in lists or () if x & 0xFFFFFF == mark and x >> 24 < len(found) for j in range(*found[x >> 24])}
-            kept.append(text if not out else "".join(text[a:b] for i, (a, b) in enumerate(tiles) if i not in out))
-            total.append(len(tiles))
+            ends, out = split(text or "")[1], set()
+            if lists:
+                found, mark = bounds(_counts(ends), span, min_words, grow), tag(text or "")
+                out = {j for x in lists if x & 0xFFFFFF == mark and x >> 24 < len(found) for j in range(*found[x >> 24])}
+            kept.append(text if not out else "".join(text[a:b] for i, (a, b) in enumerate(_tiles(text, ends)) if i not in out))
+            total.append(len(ends) or int(bool(text)))
             gone.append(len(out))
         cols = [pa.array(kept, pa.string()) if n == body else part.column(n) for n in names]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])

@@ -1,6 +1,9 @@
 """Removed sentences against a brute-force pass over all runs in order."""
 
+import cProfile
 import random
+import re
+from zlib import crc32
 
 from pyspark.sql import functions as F
 
@@ -100,3 +103,48 @@ def test_clashing_names_and_a_very_long_text(spark):
     assert got[2].body == "" and got[3].body == long and len(got[4].body) < 500 and got[5].body is None
     assert [got[i].text for i in range(1, 6)] == ["a", "b", "c", "d", None]
     assert all(r[n] == n for r in got.values() for n in names[3:])
+
+
+def by_patterns(text):
+    """The tiles by regular expressions on the characters."""
+    def cut(start, end, at):
+        edges = [start, *(m.end() for m in re.finditer(at, text[:end]) if m.start() > start and m.end() < end), end]
+        return list(zip(edges, edges[1:])) if start < end else []
+
+    long = lambda a, b: len(text[a:b].split()) > ss.LONG
+    out = []
+    for a, b in cut(0, len(text), r"(?<=[.!?])\s+|\s*\n\s*"):
+        for c, d in cut(a, b, r"(?<=,)\s+") if long(a, b) else [(a, b)]:
+            edges = [c, d]
+            if long(c, d):
+                words = list(re.finditer(r"\S+\s*", text[c:d]))
+                edges[1:1] = [c + m.end() for m in words[:-1] if crc32(m[0].strip().lower().encode()) % ss.PIECE == 0]
+            out += zip(edges, edges[1:])
+    return out
+
+
+def test_sentences_of_odd_texts():
+    rng = random.Random(6)
+    gaps = ["\n", " ", "  ", "\t", "\r\n", " \n\n ", "\x0b", "\x1c", "\x85", "\xa0", " ", "　"]
+    words = ["Bc.", "d,", "!", "İ.", "ΑΣ", "Σ,", ",", ".", "ǅ!", "̇", "a​", "日本。", "﻿", "😀?"]
+    for _ in range(3000):
+        odd, text = rng.random(), rng.choice(["", *gaps])
+        for _ in range(rng.choice([0, 1, 3, 20, 60])):
+            text += rng.choice(words) if rng.random() < odd / 2 else f"W{rng.randrange(99)}"
+            text += rng.choice(gaps) if rng.random() < odd else " "
+        text = text if rng.random() < 0.5 else text.rstrip()
+        tiles = ss.sentences(text)
+        assert tiles == by_patterns(text), repr(text)
+        found, ends = ss.split(text)
+        assert found == text.lower().split()
+        assert [b - a for a, b in zip([0, *ends], ends)] == [n for n in (len(text[a:b].split()) for a, b in tiles) if n]
+
+
+def test_calls_a_word():
+    """Splitting and hashing take few calls for each word, however long sentences and clauses are."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", "", "", ",", "."] if rng.random() < 0.4 else [""])
+    text = " ".join(word() for _ in range(20_000))
+    profile = cProfile.Profile()
+    profile.runcall(ss.runs, text, 2, 12, True)
+    assert sum(x.callcount for x in profile.getstats()) < 3 * 20_000
