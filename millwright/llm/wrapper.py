@@ -37,7 +37,7 @@ LOOP = 1000
 """Lists of children with more pairs of nodes than this, all below them counted, are matched row by row instead of pair by pair."""
 CELLS = 1 << 24
 """Cells of such a table whose way back is held at once, 1 byte each."""
-KEPT = 1 << 20
+KEPT = 1 << 18
 """Values of one level, 8 bytes each, kept for equal trees met again."""
 
 DEPTH = 150
