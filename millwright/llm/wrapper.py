@@ -238,12 +238,22 @@ def _row(above: np.ndarray, values: np.ndarray, first: np.ndarray | int, least:
     return np.maximum.accumulate(np.maximum(row, above, out=row))
 
 
+def _count(nodes, alike, texts, bits: int):
+    """What a match is worth: matched nodes first, then those in equal elements with children, then equal texts."""
+    return (nodes << bits | alike) << bits | texts
+
+
+def _whole(tree: tuple, bits: int) -> int:
+    return _count(tree[3], tree[3] if tree[2] else 0, tree[3], bits)
+
+
 class _Level:
-    """Trees of a list, and all their children as the next level. A match counts nodes << bits | equal texts."""
+    """Trees of a list, and all their children as the next level, for matches counted as in `match`."""
 
     def __init__(self, trees: list, bits: int):
         whole = lambda values: np.fromiter(values, np.int64, len(trees))
-        self.label, self.text, self.one = whole(t[0] for t in trees), whole(t[1] for t in trees), 1 << bits
+        self.label, self.text, self.number = whole(t[0] for t in trees), whole(t[1] for t in trees), whole(t[4] for t in trees)
+        self.bits = bits
         self.rows: dict[int, np.ndarray] = {}
         children = [c for t in trees for c in t[2]]
         self.below = _Level(children, bits) if children else None
@@ -253,7 +263,7 @@ class _Level:
             ends = np.cumsum(counts)[self.parents]
             self.first, self.last = ends - counts[self.parents], ends - 1
             # every list counts from more than the one before it can reach, so one running maximum serves them all
-            reach = (sizes << bits) + sizes
+            reach = _count(sizes, sizes, sizes, bits)
             self.least = (np.cumsum(reach) - reach)[self.parents]
             self.start = np.repeat(self.least, counts[self.parents])
 
@@ -263,12 +273,13 @@ class _Level:
         if out is not None:
             return out
         same = self.label == tree[0]
-        out = same * (self.one + (self.text == tree[1]))
+        out = same * _count(1, 0, self.text == tree[1], self.bits)
         if tree[2] and self.below and same.any():
             row = self.start
             for c in tree[2]:
                 row = _row(row, self.below.against(c), self.first, self.least)
             out[self.parents] += same[self.parents] * (row[self.last] - self.least)
+            out[self.number == tree[4]] = _whole(tree, self.bits)
         if (len(self.rows) + 1) * len(out) > KEPT:
             self.rows.clear()
         self.rows[tree[4]] = out
@@ -307,7 +318,8 @@ def _chain(x: list, y: list, bits: int) -> list[tuple[int, int]]:
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: (size, pairs of preorder numbers) of the largest order-preserving match of two trees.
 
-    Of the largest matches one with the most equal texts is taken, of those the one whose table, filled in order, is left
+    Of the largest matches one with the most nodes in equal elements with children is taken, so that few values of cells do
+    not outweigh equal rows, of those one with the most equal texts, and of those the one whose table, filled in order, is left
     upwards before sideways. Lists of whatever length are matched so; LOOP decides how a table is filled, not what it holds.
     """
     texts_of = [set(hashes_of(t)) for t in (a, b)]
@@ -318,60 +330,50 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
     def by_row(x: list, y: list) -> bool:
         """Not where all the work is in one pair of children: what lies below is then done once, however deep it is nested."""
-        if sum(c[3] for c in x) * sum(c[3] for c in y) <= LOOP:
+        if sum(c[3] for c in x) * sum(c[3] for c in y) <= LOOP or second[3].bit_length() + 2 * bits > 60:
             return False
         return len(x) * len(y) > LOOP or sum(c[0] == d[0] and c[3] * d[3] > LOOP for c in x for d in y) > 1
 
-    def children(x: list, xs: list[int], y: list, ys: list[int]) -> tuple[int, int, list]:
-        """Best (matched, with equal text, pairs) of two lists of trees that begin at these numbers."""
-        total, equal, pairs = 0, 0, []
-
-        def take(found: tuple) -> None:
-            nonlocal total, equal
-            total, equal = total + found[0], equal + found[1]
-            pairs.extend(found[2])
-
+    def children(x: list, xs: list[int], y: list, ys: list[int]) -> tuple[int, list]:
+        """Best (count, pairs) of two lists of trees that begin at these numbers."""
         low, high = 0, 0
         while low < min(len(x), len(y)) and x[low][4] == y[low][4]:
             low += 1
         while high < min(len(x), len(y)) - low and x[-1 - high][4] == y[-1 - high][4]:
             high += 1
-        same = [(i, i) for i in range(low)] + [(len(x) - k, len(y) - k) for k in range(1, high + 1)]
-        for i, j in same:  # equal trees lose nothing by being matched with each other
-            take((x[i][3], x[i][3], [(xs[i] + k, ys[j] + k) for k in range(x[i][3])]))
+        # equal trees lose nothing by being matched with each other
+        found = [go(x[i], xs[i], y[j], ys[j]) for i, j in [*((i, i) for i in range(low)), *((-k, -k) for k in range(1, high + 1))]]
         x, xs, y, ys = x[low:len(x) - high], xs[low:len(xs) - high], y[low:len(y) - high], ys[low:len(ys) - high]
-        if not x or not y:
-            return total, equal, pairs
-        if by_row(x, y):
-            for i, j in _chain(x, y, bits):
-                take(go(x[i], xs[i], y[j], ys[j]))
-            return total, equal, pairs
-        best = [[(0, 0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p, c in enumerate(x, 1):
-            for q, d in enumerate(y, 1):
-                option = max(best[p - 1][q], best[p][q - 1], key=lambda o: o[:2])
-                if c[0] == d[0]:
-                    n, e, own = go(c, xs[p - 1], d, ys[q - 1])
-                    before = best[p - 1][q - 1]
-                    if (before[0] + n, before[1] + e) > option[:2]:
-                        option = (before[0] + n, before[1] + e, (before[2], own))
-                best[p][q] = option
-        n, e, link = best[-1][-1]
-        found = []
-        while link:
-            link, own = link
-            found += own
-        take((n, e, found))
-        return total, equal, pairs
-
-    def go(x: tuple, i: int, y: tuple, j: int) -> tuple[int, int, list]:
+        if x and y and by_row(x, y):
+            found += [go(x[i], xs[i], y[j], ys[j]) for i, j in _chain(x, y, bits)]
+        elif x and y:
+            best = [[(0, None)] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for p, c in enumerate(x, 1):
+                for q, d in enumerate(y, 1):
+                    up, left = best[p - 1][q], best[p][q - 1]
+                    option = up if up[0] >= left[0] else left
+                    if c[0] == d[0]:
+                        own = go(c, xs[p - 1], d, ys[q - 1])
+                        before = best[p - 1][q - 1]
+                        if before[0] + own[0] > option[0]:
+                            option = (before[0] + own[0], (before[1], own))
+                    best[p][q] = option
+            link = best[-1][-1][1]
+            while link:
+                link, own = link
+                found.append(own)
+        return sum(n for n, _ in found), [pair for _, pairs in found for pair in pairs]
+
+    def go(x: tuple, i: int, y: tuple, j: int) -> tuple[int, list]:
+        if x[4] == y[4]:
+            return _whole(x, bits), [(i + k, j + k) for k in range(x[3])]
         if x[0] != y[0]:
-            return 0, 0, []
-        n, e, pairs = children(x[2], _starts(x[2], i), y[2], _starts(y[2], j)) if x[2] and y[2] else (0, 0, [])
-        return n + 1, e + (x[1] == y[1]), [(i, j), *pairs]
+            return 0, []
+        n, pairs = children(x[2], _starts(x[2], i), y[2], _starts(y[2], j)) if x[2] and y[2] else (0, [])
+        return n + _count(1, 0, x[1] == y[1], bits), [(i, j), *pairs]
 
-    found = go(first, 0, second, 0)
-    return found[0], found[2]
+    pairs = go(first, 0, second, 0)[1]
+    return len(pairs), pairs
 
 
 def hashes_of(tree: list) -> list[int]:
