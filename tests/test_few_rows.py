@@ -43,6 +43,11 @@ def test_forest_without_a_stop(spark):
     assert risks(models.train_and_score(split(spark, [0] * 30, [0, 1]), ["a", "b"], "random_forest", trees=3)) == [0.0] * 4
 
 
+def test_importance(spark):
+    assert models.importance(split(spark, [], [0, 1]), ["a", "b"]).collect() == []
+    assert models.importance(split(spark, [0, 1] * 5, [0, 1]), ["empty"], trees=3).collect() == []
+
+
 def test_comparisons(spark):
     """Families, feature sets and regimes are reported for the groups with held-out rows, learned from or not."""
     one = split(spark, [], [0, 1], ["m0"])
