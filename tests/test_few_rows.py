@@ -48,6 +48,14 @@ def test_importance(spark):
     assert models.importance(split(spark, [0, 1] * 5, [0, 1]), ["empty"], trees=3).collect() == []
 
 
+def test_one_hot(spark):
+    """Held-out rows are reported on though nothing was learned; without held-out rows there is no report."""
+    r = models.one_hot(split(spark, [], [0, 1, 1]), ["a"], trees=3).collect()
+    assert [(x["model"], x["tp"] + x["fn"], x["fp"] + x["tn"], x["roc_auc"]) for x in r] == [("random_forest+machine", 4, 2, 0.5)]
+    assert models.one_hot(split(spark, [], []), ["a"], trees=3).collect() == []
+    assert len(models.one_hot(split(spark, [0, 1] * 5, [0, 1]), ["empty"], trees=3).collect()) == 1
+
+
 def test_comparisons(spark):
     """Families, feature sets and regimes are reported for the groups with held-out rows, learned from or not."""
     one = split(spark, [], [0, 1], ["m0"])
