@@ -56,6 +56,12 @@ def test_one_hot(spark):
     assert len(models.one_hot(split(spark, [0, 1] * 5, [0, 1]), ["empty"], trees=3).collect()) == 1
 
 
+def test_imputed_scaled(spark):
+    for train in ([], [0, 1]):
+        rows = models.imputed_scaled(split(spark, train, [0, 1, 1]), ["a", "empty"] if not train else ["empty"]).collect()
+        assert len(rows) == 2 * (len(train) + 3) and all(r["x"] == [] for r in rows)
+
+
 def test_comparisons(spark):
     """Families, feature sets and regimes are reported for the groups with held-out rows, learned from or not."""
     one = split(spark, [], [0, 1], ["m0"])
