@@ -62,6 +62,14 @@ def test_imputed_scaled(spark):
         assert len(rows) == 2 * (len(train) + 3) and all(r["x"] == [] for r in rows)
 
 
+def test_ladder_keeps_its_steps(spark):
+    space = {"maxIter": (2,), "maxDepth": (2,)}
+    for test, pr_auc in (([], None), ([0, 1], 0.5)):
+        r = models.tuning_search(split(spark, [], test), ["a"], ["b"], trials=1, space=space, rounds=2).collect()
+        assert sorted(x["step"] for x in r) == ["default", "features", "search", "search", "tuned"] and sum(x["selected"] for x in r) == 1
+        assert [x["test_pr_auc"] for x in r if x["step"] != "search"] == [pr_auc] * 3
+
+
 def test_comparisons(spark):
     """Families, feature sets and regimes are reported for the groups with held-out rows, learned from or not."""
     one = split(spark, [], [0, 1], ["m0"])
