@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..session import ensure_checkpoint_dir
-from .ordered import Drift, ordered_state
+from .ordered import Drift, event_time, ordered_state
 
 
 def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -119,10 +119,14 @@ def ewma(rows: DataFrame, alpha: float = 0.05, delay: str = "10 minutes", forget
     without a time are never due. The state of a machine is two doubles and the rows of the last `delay`; with `forget_s`
     the average of a machine silent for that long in event time starts anew. Needs `ordered_state` around the start.
     """
-    timed = rows.select("machine", "ts", "event_id", "value").withWatermark("ts", delay)
-    timed = timed.withColumn("us", F.unix_micros("ts"))
-    out = timed.groupBy("machine").transformWithState(
-        statefulProcessor=Drift(alpha, forget_s), outputStructType="machine string, us bigint, event_id bigint, ewma double",
-        outputMode="Append", timeMode="EventTime",
+    timed = rows.where(F.col("ts").isNotNull()).select(
+        "machine", event_time(F.unix_micros("ts")).alias("at"), F.unix_micros("ts").alias("us"), F.col("event_id").isNotNull().cast("tinyint").alias("named"),
+        F.coalesce("event_id", F.lit(0).cast("bigint")).alias("event_id"), F.col("value").cast("double").alias("value"),
+    ).withWatermark("at", delay)
+    out = timed.groupBy("machine").transformWithStateInPandas(
+        statefulProcessor=Drift(alpha, forget_s), outputStructType=Drift.OUT, outputMode="Append", timeMode="EventTime",
+    )
+    average = F.when(F.col("known"), F.coalesce("ewma", F.lit(float("nan"))))
+    return out.select(
+        "machine", F.timestamp_micros("us").alias("ts"), F.when(F.col("named"), F.col("event_id")).alias("event_id"), average.alias("ewma")
     )
-    return out.select("machine", F.timestamp_micros("us").alias("ts"), "event_id", "ewma")
